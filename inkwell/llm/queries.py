@@ -1,10 +1,28 @@
 """Queries of problems 2 to 9 and, where SQL can express them on whole tables, their SQL."""
 
-from inkwell.llm import bpe, frequency
+from inkwell.llm import bpe, frequency, neardup, split
 from inkwell.operators.hotkeys import mentions
 from inkwell.runtime import table
 
 RARE_BELOW, COMMON_SHARE = 3, 0.2
+CHUNK_WORDS, CHUNK_OVERLAP = 400, 100
+
+
+def _similar(spark, folder):
+    """What p2_found asks for: three words, a similarity of 0.5, texts of at least 20 words."""
+    return neardup.near_duplicates(table(spark, folder, "documents"), threshold=0.5, shingle=3, least=20)
+
+
+def p2_found(spark, folder):
+    return neardup.all_pairs(_similar(spark, folder)).toDF("doc_id_a", "doc_id_b")
+
+
+def p2_pairs(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents")).pairs.toDF("doc_id_a", "doc_id_b", "jaccard")
+
+
+def p2_groups(spark, folder):
+    return neardup.groups(neardup.near_duplicates(table(spark, folder, "documents"))).withColumnRenamed("id", "doc_id")
 
 
 def p4_terms(spark, folder):
@@ -16,18 +34,38 @@ def p4_found(spark, folder):
     return p4_terms(spark, folder).where("mark IS NOT NULL").select("term", "mark")
 
 
+def p5_pieces(spark, folder):
+    return split.split(table(spark, folder, "documents"), CHUNK_WORDS, CHUNK_OVERLAP)
+
+
+def p5_found(spark, folder):
+    return split.oversized(table(spark, folder, "documents"), CHUNK_WORDS, CHUNK_OVERLAP)
+
+
 def p7_ids(spark, folder):
     return bpe.encode(table(spark, folder, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p7_ids": p7_ids}
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_pairs": p2_pairs,
+    "p2_groups": p2_groups,
+    "p4_found": p4_found,
+    "p4_terms": p4_terms,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
+    "p7_ids": p7_ids,
+}
 
 _P4 = """WITH l AS (SELECT unnest(map_keys(term_to_chunks)) AS term, unnest(map_values(term_to_chunks)) AS ids FROM indices),
 m AS (SELECT term, unnest(CASE WHEN coalesce(len(ids), 0) = 0 THEN [NULL] ELSE ids END) AS chunk_id FROM l),
 t AS (SELECT term, count(chunk_id) AS n_mentions, count(DISTINCT chunk_id) AS n_records FROM m GROUP BY term),
 f AS (SELECT *, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records >= 0.2 * (SELECT count(DISTINCT chunk_id) FROM m) THEN 'common' END AS mark FROM t)
 """
+# the longest runs of characters without the property White_Space
+_P5 = r"[^\t-\r\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 ORACLES = {
+    "p5_found": f"SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(text, '{_P5}')) > 400",
     "p4_terms": _P4 + "SELECT term, n_mentions, n_records, mark FROM f",
     "p4_found": _P4 + "SELECT term, mark FROM f WHERE mark IS NOT NULL",
 }
