@@ -1,6 +1,6 @@
 """Queries of problems 2 to 9 and, where SQL can express them on whole tables, their SQL."""
 
-from inkwell.llm import bpe, frequency, neardup, split
+from inkwell.llm import bpe, frequency, neardup, pairs, split
 from inkwell.operators.hotkeys import mentions
 from inkwell.runtime import table
 
@@ -42,6 +42,10 @@ def p5_found(spark, folder):
     return split.oversized(table(spark, folder, "documents"), CHUNK_WORDS, CHUNK_OVERLAP)
 
 
+def p6_found(spark, folder):
+    return pairs.defects(table(spark, folder, "queryrequest"), table(spark, folder, "querystatusresponse"))
+
+
 def p7_ids(spark, folder):
     return bpe.encode(table(spark, folder, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "p4_terms": p4_terms,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p6_found": p6_found,
     "p7_ids": p7_ids,
 }
 
