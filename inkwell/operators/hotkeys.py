@@ -24,27 +24,20 @@ def mentions(indices: DataFrame) -> DataFrame:
     return lists.select("term", F.explode_outer("_ids").alias("chunk_id"))
 
 
-def numbered(df: DataFrame, key: str, order: str, weight: str, buckets: int | None = None) -> DataFrame:
-    """Adds `_pos` (0, 1, ... within a key) and `_before` (weight of the rows before it) to rows unique by (key, order).
+def numbered(df: DataFrame, key: str, order: list[str], weight: str, bucket: Column) -> DataFrame:
+    """Adds `_bucket`, `_pos` (0, 1, ... within a key) and `_before` (weight of the earlier rows of the key) to each row.
 
-    The order within a key is (bucket of the value, value): the same after any recomputation, since the bucket is a hash of the
-    value and not a task number. A key that owns all rows still occupies `buckets` groups of equal size.
+    `bucket` is a non-negative integer computed from the row; rows of a key are ordered by (bucket, order), so a bucket that rises with the
+    order columns keeps their order. It must not depend on the task that computes it: the numbers are then the same after any recomputation.
+    A key that owns all rows still forms one group for each bucket. Rows with a null key are left out.
     """
-    buckets = buckets or 4 * width(df.sparkSession)
-    spread = df.withColumn("_bucket", F.pmod(F.xxhash64(order), F.lit(buckets)).cast("int"))
-    spread = spread.repartition("_bucket", key)
+    spread = df.where(F.col(key).isNotNull()).withColumn("_bucket", bucket.cast("int")).repartition("_bucket", key)
     counts = spread.groupBy("_bucket", key).agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_w"))
     earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col("_bucket"),
-        F.col(key),
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_rows_before"),
-        F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_weight_before"),
-    )
-    inside = Window.partitionBy("_bucket", key).orderBy(order)
-    running = inside.rowsBetween(Window.unboundedPreceding, -1)
-    local = spread.withColumn("_row", F.row_number().over(inside)).withColumn("_run", F.coalesce(F.sum(weight).over(running), F.lit(0)))
-    # null-safe on the key only would forbid the shared hash partitioning; keys are never null here (map keys, cleaned sources)
+    offsets = counts.select("_bucket", key, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(n) for c, n in (("_n", "_rows_before"), ("_w", "_weight_before"))])
+    inside = Window.partitionBy("_bucket", key).orderBy(*order)
+    run = F.coalesce(F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = spread.withColumn("_row", F.row_number().over(inside)).withColumn("_run", run)
     joined = local.join(offsets, ["_bucket", key])
     return joined.withColumn("_pos", F.col("_rows_before") + F.col("_row") - 1).withColumn("_before", F.col("_weight_before") + F.col("_run")).drop("_rows_before", "_weight_before", "_row", "_run")
 
@@ -57,7 +50,7 @@ def key_totals(rows: DataFrame, key: str = "term", value: str = "chunk_id", piec
     """
     # partial aggregation before the shuffle: copies of one (key, value) leave a map task as one row
     combined = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    order = numbered(combined, key, value, "_n")
+    order = numbered(combined, key, [value], "_n", F.pmod(F.xxhash64(value), F.lit(4 * width(rows.sparkSession))))
     place = F.struct("_bucket", F.col(value))
     states = order.groupBy(key, (F.floor(F.col("_pos") / piece)).alias("_piece")).agg(
         F.sum("_n").alias("_elements"),
