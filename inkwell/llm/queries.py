@@ -1,6 +1,6 @@
 """Queries of problems 2 to 9 and, where SQL can express them on whole tables, their SQL."""
 
-from inkwell.llm import bpe, frequency, neardup, pairs, split
+from inkwell.llm import bpe, frequency, mixing, neardup, pairs, split, subjects
 from inkwell.operators.hotkeys import mentions
 from inkwell.runtime import table
 
@@ -50,6 +50,31 @@ def p7_ids(spark, folder):
     return bpe.encode(table(spark, folder, "documents"))
 
 
+def _mix(spark, folder):
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "source_weights"))
+
+
+def p8_mix(spark, folder):
+    return _mix(spark, folder).records
+
+
+def p8_shares(spark, folder):
+    return _mix(spark, folder).shares
+
+
+def _assigned(spark, folder):
+    docs = table(spark, folder, "documents")
+    return subjects.assign(docs, subjects.fit(docs, table(spark, folder, "subject_labels"), table(spark, folder, "subject_areas")))
+
+
+def p9_found(spark, folder):
+    return _assigned(spark, folder).select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark, folder):
+    return subjects.composition(_assigned(spark, folder), table(spark, folder, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
@@ -60,6 +85,10 @@ QUERIES = {
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
 }
 
 _P4 = """WITH l AS (SELECT unnest(map_keys(term_to_chunks)) AS term, unnest(map_values(term_to_chunks)) AS ids FROM indices),
