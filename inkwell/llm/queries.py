@@ -1,6 +1,6 @@
 """Queries of problems 2 to 9 and, where SQL can express them on whole tables, their SQL."""
 
-from inkwell.llm import bpe, frequency, mixing, neardup, pairs, split, subjects
+from inkwell.llm import bpe, frequency, mixing, names, neardup, pairs, split, subjects
 from inkwell.operators.hotkeys import mentions
 from inkwell.runtime import table
 
@@ -25,6 +25,18 @@ def p2_groups(spark, folder):
     return neardup.groups(neardup.near_duplicates(table(spark, folder, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def _spellings(spark, folder):
+    return names.variants(names.name_mentions(table(spark, folder, "indices"), table(spark, folder, "detected_identities")))
+
+
+def p3_found(spark, folder):
+    return names.linked(_spellings(spark, folder))
+
+
+def p3_clusters(spark, folder):
+    return _spellings(spark, folder)
+
+
 def p4_terms(spark, folder):
     found = frequency.term_frequencies(mentions(table(spark, folder, "indices")), RARE_BELOW, COMMON_SHARE)
     return found.select("term", "n_mentions", "n_records", "mark")
@@ -79,6 +91,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_pairs": p2_pairs,
     "p2_groups": p2_groups,
+    "p3_found": p3_found,
+    "p3_clusters": p3_clusters,
     "p4_found": p4_found,
     "p4_terms": p4_terms,
     "p5_found": p5_found,
