@@ -18,12 +18,18 @@ from inkwell.runtime import stored
 
 DEFECTS = ("empty", "copies_question", "refusal", "other_language", "truncated")
 _TOKEN = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
+#: Words, and the marks that end a sentence or a heading.
+_PIECE = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*|[.!?…。！？:\n]")
+_ENDS = frozenset(".!?…。！？:\n")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
-_MARKER = re.compile(r"(?:^|\n)[ \t]*(?:\d+[.)]|[-*•–])[ \t]*$")
-_HEADING = re.compile(r"(?:^|\n)[ \t]*(?:\*\*[^*\n]+\*\*|#+ [^\n]*)[ \t]*$")
+_MARKER = re.compile(r"[ \t]*(?:\d+[.)]|[-*•–])[ \t]*")
+_HEADING = re.compile(r"[ \t]*(?:\*\*[^*]+\*\*|#+ .*)[ \t]*")
+_STOP = re.compile(r"[.!?。！？][\"')\]”»*_\s]*$")
 _QUOTED = re.compile("\"[^\"]*\"|“[^”]*”|«[^»]*»")
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]”»*]*\s+|\n+|(?<=:)\s+")
-_INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD])
+_SENTENCE = re.compile(r"[.!?…][\"')\]”»*]*\s+|\n+|:\s+")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
+#: Words and marks beyond which an answer is no placeholder, and no refusal.
+_BARE, _SHORT = 12, 75
 # Words around a repeated question.
 _LABELS = frozenset(
     "question answer you asked would like to know frage antwort sie fragten möchten wissen réponse vous avez demandé voulez savoir pregunta respuesta usted preguntó quiere saber q a that is the".split()
@@ -59,50 +65,98 @@ def containment(inner: list, outer: list, k: int) -> float:
     return sum(s in known for s in mine) / len(mine)
 
 
+class Words(dict):
+    """Number of each word met, from 2 on, with its lower-case form, its hashes and the languages whose function words it is."""
+
+    LANGUAGES = tuple(lexicon.FUNCTION_WORDS)
+
+    def __init__(self):
+        import numpy as np
+
+        super().__init__((e, 0) for e in _ENDS)
+        self.of = [(lang, frozenset(w.split())) for lang, w in lexicon.FUNCTION_WORDS.items()]
+        self.lower: list[str] = ["", ""]
+        self.hashes: list[int] = [0, 0]
+        self.masks: list[int] = [self.code("^"), self.code("^")]
+        self.bits: list[list[bool]] = [[False] * len(self.of)] * 2
+        self.np = np
+
+    @staticmethod
+    def code(text: str) -> int:
+        import xxhash
+
+        return xxhash.xxh3_64_intdigest(text)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self.lower)
+        low = word.lower().replace("’", "'")
+        self.lower.append(low)
+        self.hashes.append(self.code(word))
+        self.masks.append(self.code("9" if any(c.isdigit() for c in word) else "X" if word[0].isupper() else low))
+        self.bits.append([low in w for _, w in self.of])
+        return number
+
+    def languages(self, ids, first):
+        """(texts x languages): how many function words of each language a text has."""
+        counts = self.np.concatenate([self.np.zeros((1, len(self.of)), int), self.np.cumsum(self.np.asarray(self.bits, int)[ids], axis=0)])
+        return counts[first[1:]] - counts[first[:-1]]
+
+
+def _grams(word, m0, m1, m2):
+    """Three codes of a word in its place: the word as written, and with names and numbers masked the last two and three words."""
+    import numpy as np
+
+    a, b, c = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+    two = m1 * a + m0 * b
+    two ^= two >> np.uint64(31)
+    three = m2 * c + two * a
+    three ^= three >> np.uint64(29)
+    return [x.astype(np.uint64).view(np.int64) for x in (word, two * c, three * b)]
+
+
+def _language(counts, least: int) -> str | None:
+    """The language most function words point to; None where they are few or divided."""
+    first = counts.max()
+    if first < least:
+        return None
+    return Words.LANGUAGES[counts.argmax()] if first >= 1.4 * sorted(counts)[-2] else None
+
+
 class Judge:
     def __init__(self):
-        self.words = {lang: frozenset(w.split()) for lang, w in lexicon.FUNCTION_WORDS.items()}
         self.placeholders = frozenset(lexicon.PLACEHOLDERS)
         self.openers = sorted((tokens(o) for o in lexicon.OPENERS), key=len, reverse=True)
-        self.templates = [[t.split() for t in r.split("*")] for r in lexicon.REFUSALS]
-        self.templates = [([tokens(" ".join(part)) for part in t], len(t) > 1) for t in self.templates]
-        # a template is looked at only where a sentence has its rarest-looking word
-        self.asks = [(lang, re.compile(r"\b(?:in|auf|en|em)\s+(?:" + "|".join(n.split()) + r")\b", re.I)) for lang, n in lexicon.LANGUAGE_NAMES.items()]
+        parts = [[tokens(x) for x in r.split("*")] for r in lexicon.REFUSALS]
+        self.templates = [(p, len(p) > 1, frozenset(t for x in p for t in x)) for p in parts]
+        # a refusal has one of the two longest words of its template
+        self.triggers = frozenset(t for _, _, names in self.templates for t in sorted(names, key=lambda t: (-len(t), t))[:2])
+        self.asks = re.compile("|".join(rf"(?P<{lang}>\b(?:in|auf|en|em)\s+(?:{'|'.join(n.split())})\b)" for lang, n in lexicon.LANGUAGE_NAMES.items()), re.I)
         self.titles = frozenset(lexicon.TITLES)
 
-    def language(self, toks: list[str], least: int = 2) -> str | None:
-        """The language most function words point to; None where they are few or divided."""
-        score = sorted(((sum(t in w for t in toks), lang) for lang, w in self.words.items()), reverse=True)
-        (first, lang), (second, _) = score[0], score[1]
-        return lang if first >= least and first >= 1.4 * second else None
-
     def empty(self, answer: str) -> bool:
-        bare = _TAG.sub(" ", answer.translate(_INVISIBLE)).strip()
+        bare = _TAG.sub(" ", answer).strip()
         toks = tokens(bare)
         if not toks:
             return True
-        if len(toks) <= 3 and ("".join(toks) in self.placeholders or "/".join(toks) in self.placeholders or all(t in self.placeholders for t in toks)):
+        if len(toks) <= 3 and ("/".join(toks) in self.placeholders or all(t in self.placeholders for t in toks)):
             return True
         lines = [x for x in bare.splitlines() if x.strip()]
-        heading = re.fullmatch(r"\s*(?:\*\*[^*]+\*\*|#+ .*|[^.!?]{1,40}:)\s*", lines[0])
-        return len(lines) == 1 and heading is not None and len(toks) <= 3
+        return len(lines) == 1 and len(toks) <= 3 and re.fullmatch(r"\s*(?:\*\*[^*]+\*\*|#+ .*|[^.!?]{1,40}:)\s*", lines[0]) is not None
 
     def copies(self, question: list[str], answer: list[str]) -> bool:
         """The answer holds little but the question, once or more, whole or slightly changed."""
-        if len(question) < 2 or not answer:
+        if len(question) < 2 or not answer or len(answer) > 3 * len(question) + 20:
             return False
         known = set(question)
         rest = [t for t in answer if t in known or t not in _LABELS]
         if not rest or len(rest) < 0.6 * len(question) or len(rest) > 3 * len(question) + 4:
             return False
         repeats = max(1, round(len(rest) / len(question)))
-        lcs = common_length(question * repeats, rest)
-        return containment(rest, question, 2) >= 0.6 and lcs >= 0.75 * len(rest)
+        return containment(rest, question, 2) >= 0.6 and common_length(question * repeats, rest) >= 0.75 * len(rest)
 
     def refuses(self, answer: str) -> bool:
         """One sentence aligns with a refusal template, and what else there is stays short."""
-        plain = _QUOTED.sub(" ", answer)
-        sentences = [s for s in (tokens(s) for s in _SENTENCE.split(plain[:4000])) if s]
+        sentences = [s for s in map(tokens, _SENTENCE.split(_QUOTED.sub(" ", answer))) if s]
         if sum(map(len, sentences)) > 60:
             return False
         for at, s in enumerate(sentences[:3]):
@@ -110,7 +164,8 @@ class Judge:
                 if len(s) > len(o) and s[: len(o)] == o:
                     s = s[len(o) :]
                     break
-            if any(self._aligned(s, parts, slot) for parts, slot in self.templates):
+            words = set(s)
+            if any(len(names & words) >= 0.84 * len(names) and self._aligned(s, parts, slot) for parts, slot, names in self.templates):
                 return sum(map(len, sentences[:at])) <= 12
         return False
 
@@ -125,99 +180,86 @@ class Judge:
         head, tail = parts[0], parts[-1]
         return s[: len(head)] == head and (not tail or s[-len(tail) :] == tail)
 
-    def broken_form(self, answer: str) -> bool:
-        """The form alone shows that the answer goes on: a marker, an open bracket, a bare list item or heading at the end."""
-        a = answer.translate(_INVISIBLE).rstrip()
-        if a.endswith("[Truncated]") or a.endswith("…") or a.endswith("..."):
-            return True
-        if _MARKER.search(a) or (_HEADING.search(a) and "\n" in a) or a.count("**") % 2:
+    def broken_form(self, a: str) -> bool:
+        """The form alone shows that the answer goes on: a mark of omission, an open bracket, a bare list item or heading at the end."""
+        if a.endswith(("[Truncated]", "…", "...")) or a[-1] in ",;:(–—-&/[{":
             return True
-        if a[-1] in ",;:(–—-&/[{" or a.rfind("(") > a.rfind(")"):
+        line = a[a.rfind("\n") + 1 :]
+        if _MARKER.fullmatch(line) or (len(line) < len(a) and _HEADING.fullmatch(line)) or a.count("**") % 2 or a.rfind("(") > a.rfind(")"):
             return True
-        last = re.search(r"([^\W_]+)\.$", a)
-        return bool(last and last[1].lower() in self.titles)
+        return a[-1] == "." and a[a.rfind(" ") + 1 : -1].lower() in self.titles
 
-    def unfinished(self, answer: str) -> bool:
-        """No mark of a sentence end at the end, so that the last words have to tell."""
-        return not re.search(r"[.!?。！？][\"')\]”»*_\s]*$", answer.translate(_INVISIBLE).rstrip())
 
+#: Rows of both kinds that one reading of the pairs gives: a judged pair, with the codes of its open end, or counts of a code.
+_READ = "job_id string, defect string, tail array<bigint>, heard boolean, gram bigint, seen bigint, ended bigint"
 
-def mask(token: str) -> str:
-    return "9" if any(c.isdigit() for c in token) else "X" if token[0].isupper() else token
 
+def _read(batches):
+    """Judges pairs (job_id, question, answer), and counts how often the words of all answers stand at the end of a sentence."""
+    import numpy as np
 
-def grams(raw: list[str]) -> tuple[str, ...]:
-    """Of the last words: the last without and with regard to case, the last two as written, the last two and three masked."""
-    masked = ["^", "^", *map(mask, raw[-3:])]
-    pair = (raw[-2] if len(raw) > 1 else "^") + " " + raw[-1]
-    return ("1 " + raw[-1].lower(), "2 " + pair.lower(), "3 " + " ".join(masked[-2:]), "4 " + " ".join(masked[-3:]), "5 " + raw[-1])
+    judge, words = Judge(), Words()
 
+    def part(jobs, questions, answers):
+        n = len(answers)
+        asked = [[words[t] for t in _TOKEN.findall(q)] if q else [] for q in questions]
+        bare = [_INVISIBLE.sub("", a).rstrip() if a else "" for a in answers]
+        held = [[words[t] for t in _PIECE.findall(a)] for a in bare]
+        open_end = [bool(h) and not _STOP.search(a[-60:]) for a, h in zip(bare, held, strict=True)]
+        for h, o in zip(held, open_end, strict=True):
+            h.append(int(o))  # an open end is 1, any other end 0
+        first, qfirst = (np.concatenate([[0], np.cumsum([len(x) for x in lists])]) for lists in (held, asked))
+        ids = np.fromiter((i for h in held for i in h), np.int64, first[-1])
+        qids = np.fromiter((i for q in asked for i in q), np.int64, qfirst[-1])
+        own, theirs = words.languages(ids, first), words.languages(qids, qfirst)
+
+        after = np.append(ids[1:], 0)
+        masks = np.asarray(words.masks, np.uint64)[ids]
+        edge = np.uint64(words.masks[0])
+        back1 = np.concatenate([[edge], masks[:-1]])
+        back2 = np.where(back1 == edge, edge, np.concatenate([[edge, edge], masks[:-2]])[: len(masks)])
+        codes = _grams(np.asarray(words.hashes, np.uint64)[ids], masks, back1, back2)
+
+        counted = (ids > 1) & (after != 1)
+        gram, at = np.unique(np.concatenate([c[counted] for c in codes]), return_inverse=True)
+        seen = np.bincount(at, minlength=len(gram))
+        ended = np.bincount(at, weights=np.tile(after[counted] == 0, 3), minlength=len(gram)).astype(np.int64)
 
-def _judge(batches):
-    judge = Judge()
-    for batch in batches:
         defect, tail, heard = [], [], []
-        for question, answer in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            question, answer, found, last = question or "", answer or "", None, None
-            if judge.empty(answer):
+        for i in range(n):
+            a, h, found, last, known = bare[i], held[i], None, None, False
+            if len(h) <= _BARE and judge.empty(a):
                 found = "empty"
+            elif len(h) <= 4 * len(asked[i]) + 30 and judge.copies([words.lower[w] for w in asked[i]], [words.lower[w] for w in h if w > 1]):
+                found = "copies_question"
+            elif len(h) <= _SHORT and not judge.triggers.isdisjoint(words.lower[w] for w in h) and judge.refuses(a):
+                found = "refusal"
             else:
-                q, a = tokens(question), tokens(answer)
-                if judge.copies(q, a):
-                    found = "copies_question"
-                elif judge.refuses(answer):
-                    found = "refusal"
-                else:
-                    asked = {lang for lang, p in judge.asks if p.search(question)}
-                    own, theirs = judge.language(a, 2), judge.language(q, 1)
-                    if own and theirs and own != theirs and own not in asked:
-                        found = "other_language"
-                    elif judge.broken_form(answer):
-                        found = "truncated"
-                    elif judge.unfinished(answer):
-                        raw = _TOKEN.findall(_SENTENCE.split(answer.translate(_INVISIBLE).rstrip())[-1])
-                        last = list(grams(raw)) if raw else None
-                        # a name cut short is no word of its own anywhere, but a whole one may stand earlier in question or answer
-                        heard.append(bool(raw) and (raw[-1].lower() in q or raw[-1].lower() in a[:-1]))
-            if last is None:
-                heard.append(False)
+                mine, his = _language(own[i], 2), _language(theirs[i], 1)
+                if mine and his and mine != his and mine not in {m.lastgroup for m in judge.asks.finditer(questions[i])}:
+                    found = "other_language"
+                elif judge.broken_form(a):
+                    found = "truncated"
+                elif open_end[i] and h[-2] > 1:
+                    place = first[i + 1] - 2
+                    last = [int(c[place]) for c in codes]
+                    # a name cut short is no word of its own anywhere, but a whole one may stand earlier in question or answer
+                    low = words.lower[h[-2]]
+                    known = any(words.lower[w] == low for w in asked[i]) or any(words.lower[w] == low for w in h[:-2])
             defect.append(found)
             tail.append(last)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(defect, pa.string()), pa.array(tail, pa.list_(pa.string())), pa.array(heard)], names=["job_id", "defect", "tail", "heard"])
-
-
-def _endings(batches):
-    """Partial counts (gram, seen, ended) of every answer's sentences; the end of an answer without a mark counts for nothing."""
-    from collections import Counter
-
-    judge, seen, ended = Judge(), Counter(), Counter()
-
-    def flush():
-        keys = list(seen)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([ended[k] for k in keys], pa.int64())], names=["gram", "seen", "ended"])
+            heard.append(known)
+        names = [x.split()[0] for x in _READ.split(", ")]
+        nothing = pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays([jobs, pa.array(defect, pa.string()), pa.array(tail, pa.list_(pa.int64())), pa.array(heard), nothing, nothing, nothing], names=names)
+        m = len(gram)
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.bool_()), pa.array(gram), pa.array(seen), pa.array(ended)], names=names)
 
     for batch in batches:
-        for answer in batch.column(0).to_pylist():
-            if not answer:
-                continue
-            text = answer.translate(_INVISIBLE).rstrip()
-            sentences = [r for r in (_TOKEN.findall(s) for s in _SENTENCE.split(text)) if r]
-            open_end = judge.unfinished(answer)
-            for at, raw in enumerate(sentences):
-                n = len(raw)
-                low = [t.lower() for t in raw]
-                masked = ["^", "^", *map(mask, raw)]
-                stop = n - 1 if open_end and at == len(sentences) - 1 else n
-                found = [f"1 {low[i]}" for i in range(stop)] + [f"2 {low[i - 1] if i else '^'} {low[i]}" for i in range(stop)] + [f"3 {masked[i + 1]} {masked[i + 2]}" for i in range(stop)] + [f"4 {masked[i]} {masked[i + 1]} {masked[i + 2]}" for i in range(stop)] + [f"5 {raw[i]}" for i in range(stop)]
-                seen.update(found)
-                if stop == n:
-                    ended.update((found[n - 1], found[2 * n - 1], found[3 * n - 1], found[4 * n - 1], found[5 * n - 1]))
-            if len(seen) > 400_000:
-                yield flush()
-                seen.clear()
-                ended.clear()
-    if seen:
-        yield flush()
+        if len(words) > 500_000:
+            words = Words()
+        if batch.num_rows:
+            yield from part(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist())
 
 
 def latest_answers(requests: DataFrame, responses: DataFrame) -> DataFrame:
@@ -240,17 +282,16 @@ def defects(requests: DataFrame, responses: DataFrame, least: int = 4, share: fl
     is truncated where its last words, met at least `least` times in the collection, end a sentence in less than `share` of the cases,
     or where its last word occurs nowhere else. Empty tables give no rows; other columns are not read.
     """
-    judged = stored(latest_answers(requests, responses), "answers")
-    marked = stored(judged.mapInArrow(_judge, "job_id string, defect string, tail array<string>, heard boolean"), "judged")
-    counts = judged.select("answer").mapInArrow(_endings, "gram string, seen bigint, ended bigint")
+    read = stored(latest_answers(requests, responses).mapInArrow(_read, _READ), "answers")
+    marked = read.where("job_id IS NOT NULL")
     open_ends = marked.where("tail IS NOT NULL").select("job_id", "heard", F.posexplode("tail").alias("level", "gram"))
     needed = open_ends.select("gram").distinct()
-    known = counts.groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended")).join(needed, "gram", "left_semi")
-    scored = open_ends.join(known, "gram", "left").groupBy("job_id").agg(
+    counts = read.where("gram IS NOT NULL").join(needed, "gram", "left_semi").groupBy("gram").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
+    scored = open_ends.join(counts, "gram", "left").groupBy("job_id").agg(
         F.max("heard").alias("heard"),
-        *[F.max(F.when(F.col("level") == k, F.coalesce(c, F.lit(0)))).alias(f"{c}{k}") for k in range(5) for c in ("seen", "ended")],
+        *[F.max(F.when(F.col("level") == k, F.coalesce(c, F.lit(0)))).alias(f"{c}{k}") for k in range(3) for c in ("seen", "ended")],
     )
-    seldom = [(F.col(f"seen{k}") >= least) & (F.col(f"ended{k}") < share * F.col(f"seen{k}")) for k in range(5)]
+    seldom = [(F.col(f"seen{k}") >= least) & (F.col(f"ended{k}") < share * F.col(f"seen{k}")) for k in range(3)]
     unknown = (F.col("seen0") == 0) & ~F.col("heard")
-    cut = scored.where(unknown | seldom[0] | seldom[1] | seldom[2] | seldom[3] | seldom[4]).select("job_id", F.lit("truncated").alias("defect"))
+    cut = scored.where(unknown | seldom[0] | seldom[1] | seldom[2]).select("job_id", F.lit("truncated").alias("defect"))
     return marked.where("defect IS NOT NULL").select("job_id", "defect").union(cut)
