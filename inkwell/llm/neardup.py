@@ -114,8 +114,8 @@ def _sketcher(shingle: int, least: int):
             ends = np.searchsorted(both, np.arange(1, len(words) + 1, dtype=np.uint64) << np.uint64(32))
             sets = [x.tobytes() for x in np.split(shingles, ends[:-1])]
             return pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(keep, pa.int32())), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in signature], pa.binary()), pa.array(sets, pa.binary())],
-                names=["id", "fp", "signature", "shingles"],
+                [keys.take(pa.array(keep, pa.int32())), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in signature], pa.binary()), pa.array([x.tobytes() for x in signature.astype(np.uint8)], pa.binary()), pa.array(sets, pa.binary())],
+                names=["id", "fp", "signature", "low", "shingles"],
             )
 
         for batch in batches:
@@ -134,9 +134,9 @@ def _sketcher(shingle: int, least: int):
 
 
 def sketches(docs: DataFrame, shingle: int, least: int, key: str, text: str) -> DataFrame:
-    """(id, fp, signature, shingles) of the texts with at least `least` words; null texts and null keys take no part."""
+    """(id, fp, signature, low, shingles), low being the low byte of each component, of the texts with at least `least` words; null texts and null keys take no part."""
     rows = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_sketcher(shingle, least), "id bigint, fp binary, signature binary, shingles binary")
+    return rows.mapInArrow(_sketcher(shingle, least), "id bigint, fp binary, signature binary, low binary, shingles binary")
 
 
 def _keys(index: Index):
@@ -217,7 +217,7 @@ def _near(floor: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, COMPONENTS) for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COMPONENTS) for c in (2, 3))
             yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= floor))
 
     return run
@@ -277,12 +277,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, l
     met = stored(met.distinct(), "met")
     floor = max(0, int(COMPONENTS * threshold - 3.5 * (COMPONENTS * threshold * (1 - threshold)) ** 0.5))
     salts = width(spark)
-    crowd = met.where("hot").select(F.col("a").alias("key"), F.col("b").alias("id")).join(chosen.select("id", "signature"), "id")
+    crowd = met.where("hot").select(F.col("a").alias("key"), F.col("b").alias("id")).join(chosen.select("id", "low"), "id")
     salt = F.pmod(F.xxhash64("id"), F.lit(salts))
-    left = crowd.select("key", F.col("id").alias("a"), F.col("signature").alias("x"), salt.alias("salt"))
-    right = crowd.select("key", F.col("id").alias("b"), F.col("signature").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
+    left = crowd.select("key", F.col("id").alias("a"), F.col("low").alias("x"), salt.alias("salt"))
+    right = crowd.select("key", F.col("id").alias("b"), F.col("low").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
     blocks = left.join(right, ["key", "salt"]).where("a < b").select("a", "b", "x", "y").mapInArrow(_near(floor), "a bigint, b bigint")
-    plain = _with(met.where("NOT hot AND a <> b").select("a", "b"), chosen, "signature").mapInArrow(_near(floor), "a bigint, b bigint")
+    plain = _with(met.where("NOT hot AND a <> b").select("a", "b"), chosen, "low").mapInArrow(_near(floor), "a bigint, b bigint")
     near = plain.union(blocks).distinct()
     pairs = _with(near, chosen, "shingles").mapInArrow(_exact(threshold), "a bigint, b bigint, jaccard double")
     return NearDuplicates(pairs, members)
