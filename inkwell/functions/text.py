@@ -5,6 +5,8 @@ A null text gives null, or an empty array where an array is returned, unless a d
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,10 +14,34 @@ from inkwell.lexicons import YEAR
 
 _MARK = "\u0001"
 
+# White space and word edges as the regular expressions of this library mean them, whatever the version of the JVM.
+S = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BEGIN, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+_EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+
+
+def pinned(pattern: str) -> str:
+    """A pattern whose \\b and \\s mean Unicode words and white space on every JVM."""
+    return pattern.replace(r"\b(", BEGIN + "(").replace(r")\b", ")" + END).replace(r"\b", _EDGE).replace(r"\s", S)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often and however deep in lambdas the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def ngrams(w: Column, *sizes: int) -> Column:
+    """All runs of so many neighbouring words of an array, joined by blanks."""
+
+    def of(ws: Column, n: int) -> Column:
+        return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(0), F.size(ws) - n), lambda i: F.array_join(F.slice(ws, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(w, lambda ws: F.flatten(F.array(*[of(ws, n) for n in sizes])))
+
 
 def words(text: Column) -> Column:
     """The runs of characters between white space; the array is empty for blank and null texts."""
-    return F.coalesce(F.filter(F.split(text, r"\s+"), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.split(text, S + "+"), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def word_count(text: Column) -> Column:
@@ -27,41 +53,34 @@ def windows(text: Column, size: int = 400, overlap: int = 100) -> Column:
     size, overlap = size or 400, 100 if overlap is None else overlap
     if overlap >= size:
         raise ValueError("the overlap must be smaller than the window")
-    w = words(text)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))
+
+    def cut(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))
+
+    return let(words(text), cut)
 
 
 def sentences(text: Column) -> Column:
     """Sentences with their marks: cut after runs of .!? before white space, trimmed, without empty ones."""
-    parts = F.split(F.regexp_replace(text, r"([.!?]+)\s+", f"$1{_MARK}"), _MARK)
-    kept = F.filter(F.transform(parts, strip), lambda x: x != "")
-    return F.coalesce(F.when(F.size(kept) > 0, kept).otherwise(F.array(text)), F.array().cast("array<string>"))
+    parts = F.split(F.regexp_replace(text, rf"([.!?]+){S}+", f"$1{_MARK}"), _MARK)
+    kept = let(F.filter(F.transform(parts, strip), lambda x: x != ""), lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(text)))
+    return F.coalesce(kept, F.array().cast("array<string>"))
 
 
 def strip(text: Column) -> Column:
     """Without white space at either end (`trim` takes only blanks)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^{S}+|{S}+$", "")
 
 
 def shingles(text: Column, size: int = 5) -> Column:
     """The whole text and every run of `size` words, each once."""
-    w = words(text)
-    runs = F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " ")))
-    return F.array_distinct(F.concat(F.array(text), F.coalesce(runs, F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(F.array(text), ngrams(words(text), size)))
 
 
 def subphrases(sentence: Column, least: int = 5, most: int = 7) -> Column:
     """All runs of `least` to `most` words of a sentence, lower-cased; longer runs add nothing that these do not show."""
-    w = words(F.lower(sentence))
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(least), F.lit(most)),
-                lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>")),
-            )
-        )
-    )
+    return F.array_distinct(ngrams(words(F.lower(sentence)), *range(least, most + 1)))
 
 
 def strip_tags(text: Column, to: str = " ") -> Column:
@@ -112,18 +131,17 @@ def truncated(text: Column, most: int = 15000) -> Column:
 
 def first_words(text: Column, most: int = 100) -> Column:
     """The first `most` words and an ellipsis of a longer text, else the text as it is."""
-    w = words(text)
-    return F.when(F.size(w) > most, F.concat(F.array_join(F.slice(w, 1, most), " "), F.lit("..."))).otherwise(text)
+    return let(words(text), lambda w: F.when(F.size(w) > most, F.concat(F.array_join(F.slice(w, 1, most), " "), F.lit("..."))).otherwise(text))
 
 
 def years(text: Column) -> Column:
     """All years from 1600 to 2029, in order, repeats included."""
-    return F.coalesce(F.transform(F.regexp_extract_all(text, F.lit(YEAR), F.lit(1)), lambda y: y.cast("int")), F.array().cast("array<int>"))
+    return F.coalesce(F.transform(F.regexp_extract_all(text, F.lit(pinned(YEAR)), F.lit(1)), lambda y: y.cast("int")), F.array().cast("array<int>"))
 
 
 def first_year(text: Column) -> Column:
     """The first year, or null."""
-    return F.nullif(F.regexp_extract(text, YEAR, 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(text, pinned(YEAR), 1), F.lit("")).cast("int")
 
 
 def decade(year: Column) -> Column:
@@ -132,7 +150,7 @@ def decade(year: Column) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """Blocks between blank lines, trimmed, without empty ones."""
-    return F.coalesce(F.filter(F.transform(F.split(strip(text), r"\n\s*\n"), strip), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(F.split(strip(text), rf"\n{S}*\n"), strip), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def is_header(paragraph: Column) -> Column:
@@ -141,7 +159,7 @@ def is_header(paragraph: Column) -> Column:
 
 def sentence_count(text: Column) -> Column:
     """Sentences as a reviewer counts them: parts before a capital; where there is one part only, the runs of .!?, and at least one."""
-    parts = F.size(F.filter(F.transform(F.split(text, r"[.!?]+\s+(?=[A-Z])"), strip), lambda x: x != ""))
+    parts = F.size(F.filter(F.transform(F.split(text, rf"[.!?]+{S}+(?=[A-Z])"), strip), lambda x: x != ""))
     marks = F.size(F.regexp_extract_all(text, F.lit(r"[^.!?]*[.!?]+"), F.lit(0)))
     return F.greatest(F.when(parts == 1, marks).otherwise(parts), F.lit(1))
 
@@ -153,9 +171,9 @@ def limited_paragraphs(text: Column, most: int = 3) -> Column:
     """
 
     def regrouped(p: Column) -> Column:
-        marked = F.regexp_replace(p, r"([.!?])\s+(?=\p{Lu})", f"$1{_MARK}")
-        s = F.filter(F.transform(F.split(marked, _MARK), strip), lambda x: x != "")
-        groups = F.transform(F.sequence(F.lit(0), F.size(s) - 1, F.lit(most)), lambda i: F.array_join(F.slice(s, i + 1, F.lit(most)), " "))
+        marked = F.regexp_replace(p, rf"([.!?]){S}+(?=\p{{Lu}})", f"$1{_MARK}")
+        parts = F.filter(F.transform(F.split(marked, _MARK), strip), lambda x: x != "")
+        groups = let(parts, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 1, F.lit(most)), lambda i: F.array_join(F.slice(s, i + 1, F.lit(most)), " ")))
         return F.transform(groups, lambda g: F.when(g.rlike(r"[.!?]$"), g).otherwise(F.concat(g, F.lit("."))))
 
     fixed = F.flatten(F.transform(paragraphs(text), lambda p: F.when(is_header(p), F.array(p)).otherwise(regrouped(p))))
@@ -181,13 +199,13 @@ def any_word(text: Column, terms: list[str]) -> Column:
     """Any of the terms as whole words, without regard to case."""
     import re
 
-    return text.rlike(r"(?i)\b(?:" + "|".join(re.escape(t).replace(r"\ ", " ") for t in terms) + r")\b") if terms else F.lit(False)
+    return text.rlike(rf"(?i){BEGIN}(?:" + "|".join(re.escape(t).replace(r"\ ", " ") for t in terms) + f"){END}") if terms else F.lit(False)
 
 
 def first_match(text: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:
     """The name of the first rule whose pattern matches the lower-cased text."""
     low, out = F.lower(text), None
-    for name, pattern in rules:
+    for name, pattern in ((n, pinned(p)) for n, p in rules):
         out = F.when(low.rlike(pattern), name) if out is None else out.when(low.rlike(pattern), name)
     return out.otherwise(otherwise) if out is not None else F.lit(otherwise)
 
@@ -206,13 +224,13 @@ def json_block(text: Column, schema: str) -> Column:
 def law_codes(text: Column, prefixes: list[str]) -> Column:
     """Law codes such as BA1933, as written; the longest prefix is tried first."""
     ordered = "|".join(sorted(prefixes, key=lambda p: (-len(p), p)))
-    return F.coalesce(F.regexp_extract_all(text, F.lit(rf"\b((?:{ordered})\d{{4}})\b"), F.lit(1)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(rf"{BEGIN}((?:{ordered})\d{{4}}){END}"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def short_law_codes(text: Column, prefixes: list[str]) -> Column:
     """Codes with a two-digit year stand for both centuries: BA33 gives BA1833 and BA1933."""
     ordered = "|".join(sorted(prefixes, key=lambda p: (-len(p), p)))
-    found = F.regexp_extract_all(text, F.lit(rf"\b((?:{ordered})\d{{2}})\b"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(rf"{BEGIN}((?:{ordered})\d{{2}}){END}"), F.lit(1))
     both = F.transform(found, lambda c: F.array(F.regexp_replace(c, r"(\d{2})$", "18$1"), F.regexp_replace(c, r"(\d{2})$", "19$1")))
     return F.coalesce(F.array_distinct(F.flatten(both)), F.array().cast("array<string>"))
 

@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from inkwell import lexicons as L
 from inkwell.functions import text as X
 
-PROPER = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+PROPER = rf"{X.BEGIN}[A-Z][a-z]+(?:{X.S}+[A-Z][a-z]+)+{X.END}"
 ITALIC = r"(?i)<italic>([^<]+?)</italic>"
 _PUNCT_FIRST = r"""^[,.;:!?&\-—–()\[\]{}"'/\\|]"""
 _PUNCT_LAST = r"""[,.;:!?&\-—–"'/\\|]$"""
 
 
 def _found(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.array().cast("array<string>"))
+    return F.coalesce(F.regexp_extract_all(text, F.lit(X.pinned(pattern)), F.lit(group)), F.array().cast("array<string>"))
 
 
 def _terms(chunks: DataFrame, terms: Column) -> DataFrame:
@@ -30,14 +30,14 @@ def _terms(chunks: DataFrame, terms: Column) -> DataFrame:
 
 def surnames(chunks: DataFrame, generic: list[str] = L.GENERIC_NAME_WORDS) -> DataFrame:
     """The last word of every proper name of two or more capitalised words, raw and canonical, unless it is a generic word."""
-    last = F.transform(_found(F.col("text"), PROPER), lambda n: F.element_at(F.split(n, r"\s+"), -1))
+    last = F.transform(_found(F.col("text"), PROPER), lambda n: F.element_at(F.split(n, X.S + "+"), -1))
     kept = F.filter(last, lambda s: ~F.lower(X.canonical(s)).isin(generic))
     return _terms(chunks, F.flatten(F.transform(kept, lambda s: F.array_distinct(F.array(s, X.canonical(s))))))
 
 
 def middle_names(chunks: DataFrame, generic: list[str] = L.GENERIC_NAME_WORDS) -> DataFrame:
     """The words between first and last of every proper name of three or more words whose last word is not generic."""
-    parts = F.transform(_found(F.col("text"), PROPER), lambda n: F.split(n, r"\s+"))
+    parts = F.transform(_found(F.col("text"), PROPER), lambda n: F.split(n, X.S + "+"))
     kept = F.filter(parts, lambda p: (F.size(p) >= 3) & ~F.lower(X.canonical(F.element_at(p, -1))).isin(generic))
     return _terms(chunks, F.flatten(F.transform(kept, lambda p: F.slice(p, 2, F.size(p) - 2))))
 
@@ -69,7 +69,7 @@ def firms(chunks: DataFrame, generic: list[str] = L.GENERIC_NAME_WORDS) -> DataF
     alone = F.flatten(F.transform(alone, lambda s: F.filter(F.array(F.concat_ws(" ", s.n, s.k), F.when(s.k == "NB", F.concat(s.n, F.lit(" National Bank")))), lambda x: x.isNotNull())))
     italic = F.transform(F.filter(F.transform(_found(text, ITALIC, 1), X.strip), lambda f: F.length(f) < 100), X.canonical)
     italic = F.filter(italic, lambda f: (F.length(f) > 1) & ~f.rlike(_PUNCT_FIRST) & ~f.rlike(_PUNCT_LAST) & (f.contains(" ") | ~F.lower(f).isin(generic)))
-    expanded = F.filter(F.transform(italic, lambda f: F.when(F.lower(f).rlike(r" nb( |$)"), F.regexp_replace(f, r"(?i)\bNB\b", "National Bank"))), lambda x: x.isNotNull())
+    expanded = F.filter(F.transform(italic, lambda f: F.when(F.lower(f).rlike(r" nb( |$)"), F.regexp_replace(f, X.pinned(r"(?i)\bNB\b"), "National Bank"))), lambda x: x.isNotNull())
     return _terms(chunks, F.concat(banks, alone, italic, expanded))
 
 
@@ -103,7 +103,7 @@ def acronym_tokens(chunks: DataFrame, definitions: DataFrame) -> DataFrame:
 def acronym_places(chunks: DataFrame, acronyms: list[str], places: list[str] = L.PLACES) -> DataFrame:
     """An acronym before a known place, such as `FRS New York`."""
     alternatives = "|".join(map(re.escape, sorted(acronyms, key=len, reverse=True)))
-    hits = F.transform(_found(X.strip_tags(F.col("text")), rf"\b((?:{alternatives})\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b", 1), lambda t: F.regexp_replace(t, r"\s+", " "))
+    hits = F.transform(_found(X.strip_tags(F.col("text")), rf"\b((?:{alternatives})\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b", 1), lambda t: F.regexp_replace(t, X.S + "+", " "))
     return _terms(chunks, F.filter(hits, lambda t: F.lower(F.regexp_replace(t, r"^\S+ ", "")).isin(places)))
 
 
@@ -112,11 +112,10 @@ def acronym_names(chunks: DataFrame, definitions: DataFrame) -> DataFrame:
 
     The text's word n-grams, as long as the names are, join the names: the cost follows the text and not text times dictionary.
     """
-    name = F.regexp_replace(F.lower("full_name"), r"\s+", " ")
-    wanted = definitions.select("acronym", F.explode(F.array_distinct(F.array(name, F.regexp_replace(name, r"\band\b", "&")))).alias("full"))
+    name = F.regexp_replace(F.lower("full_name"), X.S + "+", " ")
+    wanted = definitions.select("acronym", F.explode(F.array_distinct(F.array(name, F.regexp_replace(name, X.pinned(r"\band\b"), "&")))).alias("full"))
     w = F.transform(X.words(F.lower(X.strip_tags(F.col("text")))), lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}&]+|[^\p{L}\p{N}&]+$", ""))
-    lengths = [2, 3, 4, 5, 6]
-    grams = F.flatten(F.array(*[F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i, n=n: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>")) for n in lengths]))
+    grams = X.ngrams(w, 2, 3, 4, 5, 6)
     hits = chunks.select("chunk_id", F.explode(F.array_distinct(grams)).alias("full")).join(wanted, "full").select("acronym", "chunk_id").distinct()
     return hits.select(F.explode(F.array("acronym", F.lower("acronym"))).alias("term"), "chunk_id")
 
@@ -156,26 +155,33 @@ def all_words(chunks: DataFrame, least: int = 4) -> DataFrame:
 
 def surname_search(chunks: DataFrame, surnames: DataFrame) -> DataFrame:
     """(surname, chunk_id): chunks with a surname as whole words, whatever the case; an equi-join on tokens and, for longer names, on n-grams."""
-    wanted = surnames.select("surname", F.regexp_replace(F.lower("surname"), r"\s+", " ").alias("key")).where("key <> ''").distinct()
+    wanted = surnames.select("surname", F.regexp_replace(F.lower("surname"), X.S + "+", " ").alias("key")).where("key <> ''").distinct()
     w = _found(F.lower("text"), r"[\p{L}\p{N}_]+")
-    grams = F.array_distinct(F.flatten(F.array(*[F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i, n=n: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)])))
+    grams = F.array_distinct(X.ngrams(w, 1, 2, 3))
     return chunks.select("chunk_id", F.explode(grams).alias("key")).join(wanted, "key").select("surname", "chunk_id").distinct()
 
 
+def _scored(label: str, weight: int):
+    return lambda n: F.struct(F.lit(label).alias("label"), F.lower(n).alias("name"), F.lit(weight).alias("weight"))
+
+
 def patterns_found(chunks: DataFrame, patterns: dict[str, list[tuple[str, int]]]) -> DataFrame:
     """(label, name, score): names captured by weighted patterns, weights added up; a substring guard spares the regular expression."""
     parts = []
     for label, shapes in patterns.items():
         for pattern, weight in shapes:
             guarded = F.when(F.lower("text").contains(label.lower()), _found(F.col("text"), pattern, 1)).otherwise(F.array().cast("array<string>"))
-            parts.append(F.transform(guarded, lambda n, label=label, weight=weight: F.struct(F.lit(label).alias("label"), F.lower(n).alias("name"), F.lit(weight).alias("weight"))))
+            parts.append(F.transform(guarded, _scored(label, weight)))
     rows = chunks.select(F.explode(F.concat(*parts)).alias("p")).select("p.*")
     return rows.groupBy("label", "name").agg(F.sum("weight").alias("score"))
 
 
 def related(chunks: DataFrame, shapes: list[tuple[str, str, bool]]) -> DataFrame:
     """(a, b, relation, directed): explicit relations captured by patterns (relation, pattern with two groups, directed); undirected ones both ways."""
-    parts = [F.transform(F.arrays_zip(_found(F.col("text"), p, 1).alias("a"), _found(F.col("text"), p, 2).alias("b")), lambda e, r=r, d=d: F.struct(e.a.alias("a"), e.b.alias("b"), F.lit(r).alias("relation"), F.lit(d).alias("directed"))) for r, p, d in shapes]
+    def edge(relation: str, directed: bool):
+        return lambda e: F.struct(e.a.alias("a"), e.b.alias("b"), F.lit(relation).alias("relation"), F.lit(directed).alias("directed"))
+
+    parts = [F.transform(F.arrays_zip(_found(F.col("text"), p, 1).alias("a"), _found(F.col("text"), p, 2).alias("b")), edge(r, d)) for r, p, d in shapes]
     edges = chunks.select(F.explode(F.concat(*parts)).alias("e")).select("e.*")
     back = edges.where("NOT directed").select(F.col("b").alias("a"), F.col("a").alias("b"), "relation", "directed")
     return edges.union(back).distinct()

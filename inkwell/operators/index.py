@@ -150,13 +150,13 @@ def group_volume(post: DataFrame, groups: dict[str, list[str]], residual: str =
 
 
 def compare_sets(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, both, only_left, only_right, relation): how two sets of values per key differ: equal, subset, superset, overlap, disjoint."""
+    """(key, in_both, only_left, only_right, relation): how two sets of values per key differ: equal, subset, superset, overlap, disjoint."""
     a = left.select(key, value).distinct().withColumn("_a", F.lit(1))
     b = right.select(key, value).distinct().withColumn("_b", F.lit(1))
     counted = a.join(b, [key, value], "full_outer").groupBy(key).agg(
-        F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("both"), F.count_if(F.col("_b").isNull()).alias("only_left"), F.count_if(F.col("_a").isNull()).alias("only_right")
+        F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("in_both"), F.count_if(F.col("_b").isNull()).alias("only_left"), F.count_if(F.col("_a").isNull()).alias("only_right")
     )
-    relation = F.when((F.col("only_left") == 0) & (F.col("only_right") == 0), "equal").when(F.col("both") == 0, "disjoint").when(F.col("only_left") == 0, "subset").when(F.col("only_right") == 0, "superset").otherwise("overlap")
+    relation = F.when((F.col("only_left") == 0) & (F.col("only_right") == 0), "equal").when(F.col("in_both") == 0, "disjoint").when(F.col("only_left") == 0, "subset").when(F.col("only_right") == 0, "superset").otherwise("overlap")
     return counted.withColumn("relation", relation)
 
 
@@ -175,6 +175,6 @@ def merged_sources(first: DataFrame, second: DataFrame, key: str, top: int = 10)
 
 def dominant(families: DataFrame, counts: DataFrame, top_families: int = 10, top: int = 3) -> DataFrame:
     """(identity, places): the `top` places by summed counts over the first `top_families` families; families (identity, surname, rank), counts (surname, place, n)."""
-    sums = families.where(F.col("rank") <= top_families).join(counts, "surname").groupBy("identity", "place").agg(F.sum("n").alias("n"))
+    sums = families.where(F.col("rank") <= top_families).select("identity", "surname").join(counts, "surname").groupBy("identity", "place").agg(F.sum("n").alias("n"))
     ranked = sums.withColumn("r", F.row_number().over(Window.partitionBy("identity").orderBy(F.desc("n"), "place"))).where(F.col("r") <= top)
     return ranked.groupBy("identity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "place"))), lambda s: s.place), ", ").alias("places"))

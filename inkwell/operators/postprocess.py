@@ -68,14 +68,18 @@ def upper_median(rows: DataFrame, column: str) -> DataFrame:
 def reduce_comma_mentions(chunks: DataFrame, term: str, most: int = 100) -> DataFrame:
     """Chunks that name the term only in a list of names keep the sentences with it and the one after the first, at most `most` words; adds `reduced`."""
     t, low, e = F.col("text"), F.lower("text"), re.escape(term.lower())
-    in_list = low.rlike(rf",\s+{e}(?:,|\s+and|\s*$)") | low.rlike(rf"^{e},\s+")
-    subject = low.rlike(rf"(?m)^[^.]*\b{e}\b") | low.rlike(rf"\b{e}\s+(?:was|were|is|are|became|founded|established|merged|acquired)") | low.rlike(rf"<italic>{e}") | low.rlike(rf"\b{e}\s+(?:family|families|bank|banking|firm|company)")
-    s = X.sentences(t)
-    has = F.transform(s, lambda x: F.contains(F.lower(x), F.lit(term.lower())))
-    first = F.array_position(has, F.lit(True))
-    # the sentence after the first mention gives the context, if the term is not in it anyway
-    kept = F.filter(s, lambda x, i: F.element_at(has, i + 1) | (i == first))
-    short = X.first_words(F.array_join(F.when(first > 0, kept).otherwise(s), " "), most)
+    in_list = low.rlike(X.pinned(rf",\s+{e}(?:,|\s+and|\s*$)")) | low.rlike(X.pinned(rf"^{e},\s+"))
+    subject = low.rlike(X.pinned(rf"(?m)^[^.]*\b{e}\b")) | low.rlike(X.pinned(rf"\b{e}\s+(?:was|were|is|are|became|founded|established|merged|acquired)")) | low.rlike(rf"<italic>{e}") | low.rlike(X.pinned(rf"\b{e}\s+(?:family|families|bank|banking|firm|company)"))
+
+    def has(x: Column) -> Column:
+        return F.contains(F.lower(x), F.lit(term.lower()))
+
+    def relevant(s: Column) -> Column:
+        first = F.array_position(F.transform(s, has), F.lit(True))
+        # the sentence after the first mention gives the context, if the term is not in it anyway
+        return X.let(first, lambda n: F.when(n > 0, F.filter(s, lambda x, i: has(x) | (i == n))).otherwise(s))
+
+    short = X.first_words(F.array_join(X.let(X.sentences(t), relevant), " "), most)
     reduce = F.contains(low, F.lit(term.lower())) & in_list & ~subject
     return chunks.withColumn("reduced", F.coalesce(reduce, F.lit(False))).withColumn("text", F.when(F.col("reduced"), short).otherwise(t))
 
@@ -140,7 +144,7 @@ def period_sample(chunks: DataFrame, phrases: list[str], terms: list[str], cap:
     t, low = F.col("text"), F.lower("text")
     match = F.lit(not phrases and not terms)
     for p in phrases:
-        match = match | (t.rlike(rf"\b{re.escape(p)}\b") if p.isupper() else F.contains(low, F.lit(p.lower())))
+        match = match | (t.rlike(X.pinned(rf"\b{re.escape(p)}\b")) if p.isupper() else F.contains(low, F.lit(p.lower())))
     for x in [] if phrases else terms:
         match = match | F.contains(low, F.lit(x.lower()))
     marked = periods(chunks, rules).withColumn("_m", match.cast("int"))

@@ -122,7 +122,7 @@ def proximity(post: DataFrame, chunks: DataFrame, first: str, second: str) -> Da
     low = F.lower("text")
     return found.select(
         "chunk_id",
-        low.rlike(rf"\b{a}\s+{b}\b").alias("phrase"),
-        low.rlike(rf"\b{b}\s+{a}\b").alias("reversed_phrase"),
+        low.rlike(X.pinned(rf"\b{a}\s+{b}\b")).alias("phrase"),
+        low.rlike(X.pinned(rf"\b{b}\s+{a}\b")).alias("reversed_phrase"),
         F.exists(F.split(low, "\n"), lambda x: x.contains(first.lower()) & x.contains(second.lower())).alias("same_line"),
     )

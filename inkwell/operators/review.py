@@ -94,9 +94,13 @@ def full_history(answers: DataFrame, sources: DataFrame) -> DataFrame:
 def crises_in(text: Column, words: list[str] = L.CRISIS_WORDS, years: list[str] = L.CRISIS_YEARS) -> Column:
     """Crises of a text: `word year` for a crisis word with a year in the same sentence, and `panic/crisis year` for each year of the list."""
     low = F.lower(text)
-    near = [F.transform(F.coalesce(F.regexp_extract_all(low, F.lit(rf"{re.escape(w)}[^.]*?\b(1[6-9]\d{{2}}|20[0-2]\d)\b"), F.lit(1)), F.array().cast("array<string>")), lambda y, w=w: F.concat(F.lit(w + " "), y)) for w in words]
+    def near(word: str) -> Column:
+        pattern = X.pinned(rf"{re.escape(word)}[^.]*?\b(1[6-9]\d{{2}}|20[0-2]\d)\b")
+        found = F.coalesce(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)), F.array().cast("array<string>"))
+        return F.transform(found, lambda y: F.concat(F.lit(word + " "), y))
+
     fixed = F.array_compact(F.array(*[F.when(text.contains(y), F.lit(f"panic/crisis {y}")) for y in years]))
-    return F.array_distinct(F.concat(*near, fixed))
+    return F.array_distinct(F.concat(*map(near, words), fixed))
 
 
 def panics_coverage(answers: DataFrame, sources: DataFrame) -> DataFrame:
