@@ -65,7 +65,7 @@ def sentences(text: Column) -> Column:
     """Sentences with their marks: cut after runs of .!? before white space, trimmed, without empty ones."""
     parts = F.split(F.regexp_replace(text, rf"([.!?]+){S}+", f"$1{_MARK}"), _MARK)
     kept = let(F.filter(F.transform(parts, strip), lambda x: x != ""), lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(text)))
-    return F.coalesce(kept, F.array().cast("array<string>"))
+    return F.when(text.isNotNull(), kept).otherwise(F.array().cast("array<string>"))
 
 
 def strip(text: Column) -> Column:
