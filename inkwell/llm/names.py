@@ -323,13 +323,22 @@ def variants(mentions: DataFrame, similarity: float = 0.5, rows: int = 4, miss:
     close = (F.col("kind") == "partners") | (F.levenshtein("a", "b", 3) >= 0)
     met = left.join(right, ["key", "kind"]).where("a < b").where(close).select("kind", "a", "na", "b", "nb").distinct()
     alike = met.mapInArrow(_similar(least), "kind string, a string, b string")
-    # persons of one surname: an initial and the name it stands for
-    same = cores.where("kind = 'person'").select("kind", F.col("core").alias("a"), F.col("core").alias("b"))
-    pairs = alike.union(same)
-    ends = pairs.join(nodes.select("kind", F.col("core").alias("a"), F.col("given").alias("ga"), F.col("node").alias("u")), ["kind", "a"]).join(
-        nodes.select("kind", F.col("core").alias("b"), F.col("given").alias("gb"), F.col("node").alias("v")), ["kind", "b"]
-    )
-    edges = ends.where("u <> v").select("u", "v", "ga", "gb").mapInArrow(_agreeing, "u string, v string").toDF("a", "b")
+    same = cores.select("kind", F.col("core").alias("a"), F.col("core").alias("b"))
+    pairs = alike.union(alike.select("kind", F.col("b").alias("a"), F.col("a").alias("b"))).union(same)
+    # given names meet on what is left of them without one letter, an initial meets every name it may stand for: no surname, however
+    # common, has its bearers compared with one another
+    initial = F.length("given") == 1
+    shorter = F.when(F.length("given") > 1, F.transform(F.sequence(F.lit(1), F.length("given")), lambda i: F.concat(F.substring("given", F.lit(1), i - 1), F.substring("given", i + 1, F.length("given")))))
+    slips = F.concat(F.array("given"), F.coalesce(shorter, F.array().cast("array<string>")))
+    letter = F.concat(F.lit("~"), F.substring("given", 1, 1))
+    asking = F.when(initial, F.array(letter)).otherwise(slips)
+    asked = F.when(F.length("given") > 0, F.array_append(slips, letter)).otherwise(slips)
+
+    def side(core: str, given: str, name: str, keys: Column) -> DataFrame:
+        return nodes.select("kind", F.col("core").alias(core), F.col("given").alias(given), F.col("node").alias(name), F.explode(F.array_distinct(keys)).alias("key"))
+
+    ends = pairs.join(side("a", "ga", "u", asking), ["kind", "a"]).join(side("b", "gb", "v", asked), ["kind", "b", "key"])
+    edges = ends.where("u <> v").select("u", "v", "ga", "gb").distinct().mapInArrow(_agreeing, "u string, v string").toDF("a", "b")
     clusters = stars(nodes.select("node", "weight"), edges)
     named = read.withColumn("node", node).join(clusters, "node", "left")
     return named.select("name", "mentions", "kind", F.coalesce("centre", "node").alias("cluster"))
