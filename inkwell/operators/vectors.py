@@ -26,20 +26,22 @@ def top_k(rows: DataFrame, query: list[float], k: int = 10, key: str = "vec_id",
     return normalized(rows.select(key, vector), vector).select(key, dot(F.col(vector), q).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def top_k_each(rows: DataFrame, every: int = 50, k: int = 10, key: str = "vec_id", vector: str = "embedding", blocks: int = 8) -> DataFrame:
+def top_k_each(rows: DataFrame, every: int = 50, k: int = 10, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
     """(query_id, key, similarity, rank): the k nearest other rows of every row whose key is divisible by `every`, against all rows.
 
-    Queries are a fixed fraction of the rows, so they are split into `blocks`, and each data row meets a block of queries at a time inside a Python task that
-    keeps k best per query: (query, block) results, k for each, are all that is shuffled. Ties go to the smaller key.
+    Queries and rows are cut into blocks of about `block` vectors, whatever their number, and every block of queries meets every block of rows in a Python
+    task that keeps k best per query: k results for each query and block are all that is shuffled afterwards. Ties go to the smaller key.
     """
     import numpy as np
     import pyarrow as pa
 
     unit = normalized(rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")), "v")
-    queries = unit.where(F.col("id") % every == 0).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    packed = queries.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("qs"))
-    spread = unit.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(4 * blocks)).cast("int")).groupBy("part").agg(F.collect_list(F.struct("id", "v")).alias("ds"))
-    pairs = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
+    asked = F.col("id") % every == 0
+    counts = unit.agg(F.count(F.lit(1)).alias("n"), F.count_if(asked).alias("q")).first()
+    blocks, parts = (-(-max(1, n) // block) for n in (counts.q, counts.n))
+    packed = unit.where(asked).groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("qs"))
+    spread = unit.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("ds"))
+    pairs = spread.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(packed, "block")
 
     def best(batches):
         for batch in batches:

@@ -41,13 +41,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Tables that `stored` has written and `sweep` has not removed.
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet under the shared folder and read it back: a cut that later stages read by column."""
+    """Write `df` as Parquet under the shared folder and read it back: a cut that later stages read by column. `sweep` removes it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Remove the tables that `stored` wrote, once the results that read them are no longer needed; how many there were."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 

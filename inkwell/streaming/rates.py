@@ -49,15 +49,24 @@ def admit(times: list[float], limit: int, seconds: int, held: list[float]) -> tu
 
 
 def admission(events: DataFrame, key: str, ts: str, event: str, limit: int, seconds: int = HOUR) -> DataFrame:
-    """(event, key, admitted) of a table: a fold per key over at most its own events, holding no more than `limit` times. Ties go by event id."""
-    rows = events.select(F.col(event).alias("event"), F.col(key).alias("key"), (_seconds(ts) / 1e6).alias("t")).where("t IS NOT NULL")
-    schema = f"{event} {events.schema[event].dataType.simpleString()}, {key} {events.schema[key].dataType.simpleString()}, admitted boolean"
+    """(event, key, admitted) of a table. Ties go by event id; events without a time or key are left out.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "event"])
-        return pd.DataFrame({event: pdf["event"], key: pdf["key"], "admitted": admit(pdf["t"].tolist(), limit, seconds, [])[0]})
+    Rows arrive sorted by key and time and pass by as a stream: a key with a third of all events costs the memory of `limit` times, not of its events.
+    """
+    rows = events.select(F.col(event).alias("event"), F.col(key).alias("key"), (_seconds(ts) / 1e6).alias("t")).where("t IS NOT NULL AND key IS NOT NULL")
+    schema = f"{event} {events.schema[event].dataType.simpleString()}, {key} {events.schema[key].dataType.simpleString()}, admitted boolean"
 
-    return rows.groupBy("key").applyInPandas(fold, schema)
+    def fold(frames):
+        last, held = None, []
+        for pdf in frames:
+            out = []
+            for k, times in pdf.groupby("key", sort=False)["t"]:
+                flags, held = admit(times.tolist(), limit, seconds, held if k == last else [])
+                last = k
+                out += flags
+            yield pd.DataFrame({event: pdf["event"], key: pdf["key"], "admitted": out})
+
+    return rows.repartition("key").sortWithinPartitions("key", "t", "event").mapInPandas(fold, schema)
 
 
 def admission_stream(events: DataFrame, key: str, ts: str, event: str, limit: int, seconds: int = HOUR) -> DataFrame:

@@ -111,7 +111,7 @@ def test_vectors_match_brute_force(spark):
     top = [r.vec_id for r in vectors.top_k(rows, v[3].tolist(), 5).collect()]
     assert top == sorted(range(120), key=lambda j: (-s[3, j], j))[:5]
     got: dict = {}
-    for r in vectors.top_k_each(rows, 50, 4, blocks=3).collect():
+    for r in vectors.top_k_each(rows, 50, 4, block=40).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
     for q in (0, 50, 100):
         assert [got[q][k] for k in (1, 2, 3, 4)] == sorted((j for j in range(120) if j != q), key=lambda j: (-s[q, j], j))[:4]
