@@ -59,8 +59,9 @@ def mix(docs: DataFrame, weights: DataFrame, total: float | None = None, seed: i
     # uniform in (0, 1) from the id: the draw is the same wherever and however often it is computed
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     drawn = sized.join(F.broadcast(plan), "source").withColumn("_key", -F.log(uniform) / F.col("quality"))
-    # rises with the key, so that buckets are ranges of keys
-    bucket = F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * F.lit(4 * width(docs.sparkSession)))
+    # rises with the key, so that buckets are ranges of keys; with the mean quality they are nearly equal in size
+    usual = sized.agg(F.avg("quality").alias("_q")).select("_q").scalar()
+    bucket = F.floor((F.lit(1.0) - F.exp(-F.col("_key") * usual)) * F.lit(4 * width(docs.sparkSession)))
     placed = numbered(drawn, "source", ["_key", "doc_id"], "n_tokens", bucket)
     extra = ((F.col("_before") + F.col("n_tokens") / 2) <= F.col("rest")) & (F.col("epochs") < F.col("max_repeats"))
     used = placed.withColumn("uses", F.col("epochs") + extra.cast("int")).where("uses > 0")

@@ -112,7 +112,24 @@ f AS (SELECT *, CASE WHEN n_records < 3 THEN 'rare' WHEN n_records >= 0.2 * (SEL
 """
 # the longest runs of characters without the property White_Space
 _P5 = r"[^\t-\r\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+def _shingled(n: int, least: int, of: str) -> str:
+    """e: one row per text and distinct run of n words; z: how many each text has; j: similar texts (a, b, jaccard)."""
+    run = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    return f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(w) - {n - 2}), lambda i: {run}))) AS l FROM d WHERE len(w) >= {max(n, least)}),
+e AS (SELECT doc_id, unnest(l) AS s FROM {of}), z AS (SELECT doc_id, len(l) AS n FROM l),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM e x JOIN e y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+j AS (SELECT a, b, k / (p.n + q.n - k) AS jaccard FROM c JOIN z p ON p.doc_id = a JOIN z q ON q.doc_id = b)
+"""
+
+
 ORACLES = {
+    "p2_found": _shingled(3, 20, "l") + "SELECT a AS doc_id_a, b AS doc_id_b FROM j WHERE jaccard >= 0.5",
+    # texts of one set are one class, under its smallest id
+    "p2_pairs": _shingled(5, 0, "(SELECT min(doc_id) AS doc_id, l FROM l GROUP BY l)") + "SELECT a AS doc_id_a, b AS doc_id_b, jaccard FROM j WHERE jaccard >= 0.8",
     "p5_found": f"SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(text, '{_P5}')) > 400",
     "p4_terms": _P4 + "SELECT term, n_mentions, n_records, mark FROM f",
     "p4_found": _P4 + "SELECT term, mark FROM f WHERE mark IS NOT NULL",
