@@ -190,3 +190,14 @@ def related(chunks: DataFrame, shapes: list[tuple[str, str, bool]]) -> DataFrame
 def terms_present(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, chunk_id): index terms that occur in the text word for word, whatever the case."""
     return surname_search(chunks, terms.select(F.col("term").alias("surname"))).withColumnRenamed("surname", "term")
+
+
+def disambiguated(mentions: DataFrame, chunks: DataFrame, term: str, contexts: list[tuple[str, list[str]]]) -> DataFrame:
+    """Mentions in which an ambiguous term is replaced by the first name of `contexts` one of whose words its chunk has; without any it is dropped."""
+    named = None
+    for name, words in contexts:
+        hit = X.any_of(F.col("text"), words)
+        named = F.when(hit, name) if named is None else named.when(hit, name)
+    own = F.lower("term") == term.lower()
+    read = mentions.where(own).join(chunks.select("chunk_id", "text"), "chunk_id").select(named.alias("term"), "chunk_id").where("term IS NOT NULL")
+    return mentions.where(~own).select("term", "chunk_id").unionByName(read)

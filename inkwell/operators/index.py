@@ -29,13 +29,26 @@ def meaningful(found: DataFrame, stop: list[str], lexicon: list[str], more_than:
     return found.where((F.length("term") > 1) & ~F.lower("term").isin(stop) & (F.col("df") > more_than) & name)
 
 
-def linkable(found: DataFrame, stop: list[str]) -> DataFrame:
-    """Terms fit for links: four characters or more, no stop word, no number, no single repeated character, no word form in -ing, -ed, -ly; of several
-    words, or with a capital, or of eight letters or more."""
-    t = F.col("term")
-    plain_form = t.rlike(r"^[a-z]+(?:ing|ed|ly)$")
+# Endings of common word forms.
+WORD_ENDINGS = "ed ing ly er est tion sion ment ness ity ies ied".split()
+
+
+def linkable(found: DataFrame, stop: list[str], endings: list[str] = WORD_ENDINGS) -> DataFrame:
+    """Terms fit for links: four characters or more, no stop word, no number, no single repeated character, no common word form unless it begins with a
+    capital; of several words, or with a capital anywhere, or of eight letters or more."""
+    t, low = F.col("term"), F.lower(F.trim("term"))
+    common_form = low.rlike(f"(?:{'|'.join(endings)})$") & ~t.rlike(r"^\p{Lu}")
     shaped = t.contains(" ") | t.rlike(r"\p{Lu}") | (F.length(t) >= 8)
-    return found.where((F.length(t) >= 4) & ~F.lower(t).isin(stop) & ~t.rlike(r"^\d+$") & ~t.rlike(r"^(.)\1*$") & ~plain_form & shaped)
+    return found.where((F.length(t) >= 4) & ~low.isin(stop) & ~low.rlike(r"^\d+$") & ~low.rlike(r"^(.)\1*$") & ~common_form & shaped)
+
+
+def presplit(found: DataFrame, size: int = 250) -> DataFrame:
+    """Adds `kept` (words in capitals of three letters or more need no further reading) and, for the others, `batch`, groups of `size` by name."""
+    from inkwell.operators.postprocess import placed
+
+    caps = F.col("term").rlike(r"^\p{Lu}{3,}$")
+    rest = placed(found.where(~caps).withColumn("_o", F.ascii("term")), "_o", "term").withColumn("batch", F.floor(F.col("place") / size)).drop("_o", "place")
+    return found.where(caps).withColumn("batch", F.lit(None).cast("bigint")).unionByName(rest).withColumn("kept", caps)
 
 
 def posting_lists(post: DataFrame) -> DataFrame:
@@ -129,6 +142,13 @@ def identity_volume(detected: DataFrame) -> DataFrame:
     return detected.groupBy("identity").agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"), F.count_distinct("chunk_id").alias("chunk_count"))
 
 
+def top_families(rollup: DataFrame, noise: list[str] = (), most: int = 25, least: int = 1) -> DataFrame:
+    """The first `most` names of each identity with at least `least` mentions and none of the noise words; rollup: (identity, surname, n, rank)."""
+    kept = rollup.where((F.col("n") >= least) & ~F.col("surname").isin(list(noise))).drop("rank")
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("identity").orderBy(F.desc("n"), "surname")))
+    return ranked.where(F.col("rank") <= most)
+
+
 def several_identities(detected: DataFrame) -> DataFrame:
     """(surname, identities, n): names found under more than one identity."""
     found = detected.groupBy("surname").agg(F.array_sort(F.collect_set("identity")).alias("identities"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from inkwell import lexicons as L
 from inkwell.functions import text as X
+from inkwell.runtime import steady
 
 RESULT = ("answer_id", "criterion", "passed", "score", "details", "issues")
 
@@ -124,6 +125,7 @@ def panics_coverage(answers: DataFrame, sources: DataFrame) -> DataFrame:
 def review(answers: DataFrame, sources: DataFrame, checks: dict | None = None) -> DataFrame:
     """All checks of all answers, a row each; `checks` maps a name to a function of (answers, sources)."""
     checks = checks or {"paragraph_length": lambda a, s: paragraph_length(a), "chronological_flow": lambda a, s: chronological_flow(a), "full_history": full_history, "panics_coverage": panics_coverage}
+    steady(answers.sparkSession)
     out = None
     for check in checks.values():
         rows = check(answers, sources)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkwell import lexicons as L
 from inkwell.functions import text as X
-from inkwell.operators import chunking, extract, index, postprocess, retrieve
+from inkwell.operators import chunking, extract, index, postprocess, retrieve, review
 from inkwell.plans import question as Q
 
 #: Called with the question and the contexts (grp, n, context); the default shows the passages. A language model goes here.
@@ -127,3 +127,13 @@ def polished(answer: str, related: list[str]) -> str:
 def limited(answers: DataFrame, most: int = 3) -> DataFrame:
     """Answers (answer_id, answer) with their paragraphs held to `most` sentences: the repair that a failed review calls for."""
     return answers.withColumn("answer", X.limited_paragraphs(F.col("answer"), most))
+
+
+def repaired(answers: DataFrame, sources: DataFrame, most: int = 3) -> DataFrame:
+    """(answer_id, answer, ask_again): one turn of the loop of review and repair.
+
+    An answer whose paragraphs are too long is regrouped; one that fails any other check, after that, is marked to be asked for again.
+    """
+    fixed = answers.select("answer_id", F.when(review.too_long(F.col("answer"), most), X.limited_paragraphs(F.col("answer"), most)).otherwise(F.col("answer")).alias("answer"))
+    failed = review.review(fixed, sources).where("NOT passed").select("answer_id").distinct().withColumn("_f", F.lit(True))
+    return fixed.join(failed, "answer_id", "left").select("answer_id", "answer", F.coalesce("_f", F.lit(False)).alias("ask_again"))

@@ -81,6 +81,15 @@ def windows(question: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def text_candidates(question: str) -> list[str]:
+    """What a prepared text may be filed under: the subject, its first word, its other number, and single, double and triple meaningful words."""
+    about = subject(question).lower()
+    w = [t.lower() for t in tokens(question) if t.lower() not in L.STOP_WORDS and len(t) > 2]
+    other = about[:-1] if about.endswith("s") else about + "s"
+    runs = ["_".join(w[i : i + n]) for n in (2, 3) for i in range(len(w) - n + 1)]
+    return list(dict.fromkeys(x for x in [about, *about.split()[:1], other, " ".join(about.split()[:3]), *w, *runs] if x))
+
+
 def bank_forms(phrase: str) -> list[str]:
     """A phrase and its forms with `NB` and `National Bank`."""
     return list(dict.fromkeys([phrase, re.sub(r"(?i)\bnational bank\b", "NB", phrase), re.sub(r"(?i)\bnb\b", "National Bank", phrase)]))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from inkwell import lexicons as L
-from inkwell.operators import folds, index, retrieve
+from inkwell.operators import extract, folds, index, retrieve
 from inkwell.queries import sql as Q
 from inkwell.queries.texts import GROUPS
 from inkwell.runtime import table
@@ -111,6 +111,19 @@ def groups_volume(spark, folder):
     return index.group_volume(_post(spark, folder), GROUPS)
 
 
+def top_families(spark, folder):
+    return index.top_families(identity_rollup(spark, folder), ["progress", "colonial", "industry"], 25, 2)
+
+
+def presplit_terms(spark, folder):
+    return index.presplit(postings_terms(spark, folder)).select("term", "kept", "batch")
+
+
+def disambiguated_terms(spark, folder):
+    found = extract.disambiguated(_mentions(spark, folder), _chunks(spark, folder), "quay court", [("quay court (harbour)", ["port ellery"]), ("quay court (town)", ["bank of aldermoor"])])
+    return index.terms(index.postings(found))
+
+
 def index_vs_detection(spark, folder):
     left = _identity_chunks(spark, folder)
     right = _post(spark, folder).select(F.lower(F.trim("term")).alias("identity"), "chunk_id").distinct().join(left.select("identity").distinct(), "identity", "left_semi")
@@ -221,7 +234,7 @@ def stale_files(spark, folder):
 
 
 _NAMES = ["postings_terms", "frequent_terms", "meaningful_terms", "linkable_terms", "posting_lists", "posting_duplicates", "term_group_merge", "cooccurrence_edges", "assoc_topk", "hierarchy_parents", "hierarchy_children",
-          "identity_augmented", "identity_rollup", "identity_volume", "identity_detections_merged", "several_identities", "identity_crosstab", "groups_volume", "index_vs_detection", "detection_accuracy", "merged_sources", "dominant_files",
+          "identity_augmented", "identity_rollup", "identity_volume", "identity_detections_merged", "several_identities", "identity_crosstab", "groups_volume", "top_families", "presplit_terms", "disambiguated_terms", "index_vs_detection", "detection_accuracy", "merged_sources", "dominant_files",
           "retrieve_intersection", "retrieve_grouped_variants", "retrieve_union", "retrieve_difference", "retrieve_with_fallback", "posting_overlap", "search_term", "retrieve_later", "retrieve_crisis", "retrieve_aliases",
           "retrieve_expanded", "phrase_proximity", "name_change_edges", "engine_stats", "endnotes_search", "endnotes_of_chunks", "stale_files"]
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -252,7 +265,7 @@ ORACLES = {
     "postings_terms": _T + "SELECT * FROM t",
     "frequent_terms": _T + f"SELECT * FROM t WHERE tf >= 2 OR term IN ({Q.listed(L.ACRONYMS)})",
     "meaningful_terms": _T + f"SELECT * FROM t WHERE length(term) > 1 AND lower(term) NOT IN ({Q.listed(L.STOP_WORDS)}) AND df > 25 AND (regexp_matches(term, '^\\p{{Lu}}') OR lower(term) IN ({Q.listed(g for gs in L.SAMPLE_GROUPS.values() for g in gs)}) OR regexp_matches(lower(term), 'nb|bank|co'))",
-    "linkable_terms": _T + f"SELECT * FROM t WHERE length(term) >= 4 AND lower(term) NOT IN ({Q.listed(L.STOP_WORDS)}) AND NOT regexp_matches(term, '^[0-9]+$') AND replace(term, substr(term, 1, 1), '') <> '' AND NOT regexp_matches(term, '^[a-z]+(?:ing|ed|ly)$') AND (contains(term, ' ') OR regexp_matches(term, '\\p{{Lu}}') OR length(term) >= 8)",
+    "linkable_terms": _T + f"SELECT * FROM t WHERE length(term) >= 4 AND lower(trim(term)) NOT IN ({Q.listed(L.STOP_WORDS)}) AND NOT regexp_matches(lower(trim(term)), '^[0-9]+$') AND replace(lower(trim(term)), substr(lower(trim(term)), 1, 1), '') <> '' AND NOT (regexp_matches(lower(trim(term)), '(?:{'|'.join(index.WORD_ENDINGS)})$') AND NOT regexp_matches(term, '^\\p{{Lu}}')) AND (contains(term, ' ') OR regexp_matches(term, '\\p{{Lu}}') OR length(term) >= 8)",
     "posting_lists": _P + "SELECT term, string_agg(chunk_id, ',' ORDER BY chunk_id) AS chunk_ids FROM post GROUP BY term",
     "posting_duplicates": _P + "SELECT count(*) AS terms, CAST(sum(n) AS BIGINT) AS ids, CAST(sum(k) AS BIGINT) AS distinct_ids, CAST(sum(n) - sum(k) AS BIGINT) AS duplicates FROM (SELECT term, sum(tf) AS n, count(*) AS k FROM post GROUP BY term)",
     "term_group_merge": _P + ", " + _MERGE.format(s=_values([("quay court", "quay court"), ("quay_court", "quay court"), ("vessel row", "quay court"), ("vessel_row", "quay court"), ("panic", "panic"), ("panic of 1907", "panic"), ("panic_of_1907", "panic"), ("panic of 1920", "panic"), ("panic_of_1920", "panic")]), o=_values([("quay court", "quay court"), ("quay court", "quay_court"), ("quay court", "vessel row"), ("panic", "panic"), ("panic", "panic of 1907"), ("panic", "panic of 1920")]), p="post") + "SELECT term, chunk_id, CAST(tf AS BIGINT) AS tf FROM u",
@@ -271,6 +284,9 @@ ORACLES = {
     "detection_accuracy": Q.DETECTIONS + ", f AS (SELECT identity, min(run_id) AS m FROM d GROUP BY identity), t AS (SELECT DISTINCT identity AS grp, surname FROM d JOIN f USING (identity) WHERE run_id = m), h AS (SELECT DISTINCT identity AS grp, surname, 1 AS hit FROM d JOIN f USING (identity) WHERE run_id <> m) SELECT grp, count(*) AS expected, count(hit) AS hit, count(hit) / count(*) AS accuracy FROM t LEFT JOIN h USING (grp, surname) GROUP BY grp",
     "merged_sources": Q.DETECTIONS + ", s AS (SELECT surname, count(*) AS score FROM d GROUP BY surname) SELECT surname, score, 'fixed' AS source FROM s WHERE score >= 12 UNION ALL SELECT * FROM (SELECT surname, score, 'detected' FROM s WHERE score < 12 ORDER BY score DESC, surname LIMIT 10)",
     "dominant_files": Q.DETECTIONS + ", f AS (SELECT identity, surname, row_number() OVER (PARTITION BY identity ORDER BY count(*) DESC, surname) AS rank FROM d GROUP BY identity, surname), p AS (SELECT DISTINCT run_id, coalesce(filename, 'Unknown') AS place FROM detected_identities), c AS (SELECT surname, place, count(*) AS n FROM d JOIN p USING (run_id) GROUP BY ALL), z AS (SELECT identity, place, sum(n) AS n FROM f JOIN c USING (surname) WHERE rank <= 10 GROUP BY ALL), q AS (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY n DESC, place) AS r FROM z QUALIFY r <= 3) SELECT identity, string_agg(place, ', ' ORDER BY r) AS places FROM q GROUP BY identity",
+    "top_families": Q.DETECTIONS + "SELECT identity, surname, count(*) AS n, row_number() OVER (PARTITION BY identity ORDER BY count(*) DESC, surname) AS rank FROM d WHERE surname NOT IN ('progress', 'colonial', 'industry') GROUP BY identity, surname HAVING count(*) >= 2 QUALIFY rank <= 25",
+    "presplit_terms": _T + "SELECT term, regexp_matches(term, '^\\p{Lu}{3,}$') AS kept, CASE WHEN NOT regexp_matches(term, '^\\p{Lu}{3,}$') THEN (row_number() OVER (PARTITION BY regexp_matches(term, '^\\p{Lu}{3,}$') ORDER BY term) - 1) // 250 END AS batch FROM t",
+    "disambiguated_terms": _P + _C + ", n AS (SELECT m.term, m.chunk_id FROM m WHERE m.chunk_id IS NOT NULL AND lower(m.term) <> 'quay court' UNION ALL SELECT CASE WHEN contains(lower(c.text), 'port ellery') THEN 'quay court (harbour)' WHEN contains(lower(c.text), 'bank of aldermoor') THEN 'quay court (town)' END, m.chunk_id FROM m JOIN c USING (chunk_id) WHERE lower(m.term) = 'quay court'), pp AS (SELECT term, chunk_id, count(*) AS tf FROM n WHERE term IS NOT NULL GROUP BY ALL) SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM pp GROUP BY term",
     "retrieve_intersection": _P + f"SELECT chunk_id FROM {_u(FIRST)} INTERSECT SELECT chunk_id FROM {_u(SECOND)}",
     "retrieve_grouped_variants": _P + f"SELECT chunk_id FROM {_u(FIRST, 'Port Ellery')} INTERSECT SELECT chunk_id FROM {_u(SECOND, THIRD)}",
     "retrieve_union": _P + f"SELECT * FROM {_u(SECOND, THIRD)}",

@@ -177,6 +177,15 @@ def paragraph_enforce(spark, folder):
     return engine.limited(_answers(spark, folder)).select("answer_id", "answer")
 
 
+def repaired_answers(spark, folder):
+    return engine.repaired(_answers(spark, folder), _sources(spark, folder)).select("answer_id", "ask_again", F.length("answer").alias("chars"))
+
+
+def prepared_text(spark, folder):
+    texts = per_term_dedup_text(spark, folder).select("term", F.col("n_sentences").cast("string").alias("text"))
+    return retrieve.prepared(texts, question.text_candidates("Tell me about Vessel Row"))
+
+
 def vector_topk(spark, folder):
     e = table(spark, folder, "embeddings")
     q = e.orderBy("vec_id").select("embedding").first()[0]
@@ -275,7 +284,7 @@ def stream_rate(spark, folder):
 
 _NAMES = ["ideology_filter", "finance_filter", "tiered_filter_fallback", "subject_tiers", "comma_mentions", "sentence_first_occurrence", "deduplicated_chunks", "per_term_dedup_text", "year_sort", "decade_stratify",
           "region_classify", "region_default", "period_classify", "period_sample", "batch_assign", "region_batches", "token_estimate", "year_span", "late_era", "crisis_present", "upper_median_year", "related_terms", "prompt_context",
-          "passage_context", "adjacent_merge", "adjacent_metric", "merged_postings", "packed_texts", "review_paragraphs", "review_chronology", "review_history", "review_panics", "answer_flags", "paragraph_enforce", "vector_topk",
+          "passage_context", "adjacent_merge", "adjacent_metric", "merged_postings", "packed_texts", "review_paragraphs", "review_chronology", "review_history", "review_panics", "answer_flags", "paragraph_enforce", "repaired_answers", "prepared_text", "vector_topk",
           "vector_topk_each", "question_intents", "engine_retrieve", "engine_ask", "build_index", "detection_responses", "rate_window", "token_budget_window", "rate_admission", "hourly_rate", "session_runs", "recent_traces",
           "job_states", "content_hash_dedup", "stream_rate"]
 QUERIES = {n: globals()[n] for n in _NAMES}

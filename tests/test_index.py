@@ -131,3 +131,18 @@ def test_comparisons(spark):
 def test_lexicon_file(tmp_path):
     (tmp_path / "x.json").write_text('{"a": ["b"]}')
     assert L.load(tmp_path / "x.json") == {"a": ["b"]} and L.load(tmp_path / "none.json") == {}
+
+
+def test_term_choices(spark):
+    names = ["Bank of X", "runner", "Runner", "iPhone", "abc", "1234", "aaaa", "lowercase", "the", "station", "SEC", "gold"]
+    t = spark.createDataFrame([(n, 1, 1) for n in names], "term string, tf long, df long")
+    assert {r.term for r in index.linkable(t, ["the"]).collect()} == {"Bank of X", "Runner", "iPhone", "lowercase"}
+    split = {r.term: (r.kept, r.batch) for r in index.presplit(t, 5).collect()}
+    assert split["SEC"] == (True, None) and len(split) == len(names)
+    assert sorted(b for k, b in split.values() if not k) == [0] * 5 + [1] * 5 + [2]
+    m = spark.createDataFrame([("Brahmin", "c0"), ("brahmin", "c1"), ("brahmin", "c2"), ("x", "c2")], "term string, chunk_id string")
+    got = extract.disambiguated(m, chunks(spark, "in India and Boston", "of Boston", "none"), "brahmin", [("hindu", ["india"]), ("boston brahmin", ["boston"])])
+    assert pairs(got) == [("boston brahmin", "c1"), ("hindu", "c0"), ("x", "c2")]
+    texts = spark.createDataFrame([("vessel row", "a"), ("Vessel", "b"), ("row", "c")], "term string, text string")
+    assert [tuple(r) for r in retrieve.prepared(texts, ["nothing", "vessel", "vessel row"]).collect()] == [("Vessel", "b")]
+    assert retrieve.prepared(texts, ["zz"]).count() == 0 and retrieve.prepared(texts, []).count() == 0

@@ -7,7 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from inkwell.plans import question as Q
-from inkwell.plans.engine import Engine, polished
+from inkwell.plans.engine import Engine, polished, repaired
 from inkwell.sources import readers, writers
 from inkwell.streaming import rates
 
@@ -45,6 +45,13 @@ def test_engine(spark):
     assert seen and "Related Questions:" in polished("One.", ["Q?"])
 
 
+def test_repair(spark):
+    a = spark.createDataFrame([(1, "A b. C d. E f. G h."), (2, "In 1900.")], "answer_id int, answer string")
+    s = spark.createDataFrame([(2, "1990 and 1800")], "answer_id int, text string")
+    assert {r.answer_id: (r.answer, r.ask_again) for r in repaired(a, s).collect()} == {1: ("A b. C d. E f.\n\nG h.", False), 2: ("In 1900.", True)}
+    assert Q.text_candidates("Tell me about Vessel Row")[:3] == ["vessel row", "vessel", "vessel rows"]
+
+
 def docx(*paragraphs, notes=()):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     body = "".join("<w:p>" + "".join(f"<w:r>{'<w:rPr><w:i/></w:rPr>' if i else ''}<w:t>{t}</w:t></w:r>" for t, i in p) + "</w:p>" for p in paragraphs)
