@@ -115,7 +115,9 @@ def acronym_names(chunks: DataFrame, definitions: DataFrame) -> DataFrame:
     name = F.regexp_replace(F.lower("full_name"), X.S + "+", " ")
     wanted = definitions.select("acronym", F.explode(F.array_distinct(F.array(name, F.regexp_replace(name, X.pinned(r"\band\b"), "&")))).alias("full"))
     w = F.transform(X.words(F.lower(X.strip_tags(F.col("text")))), lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}&]+|[^\p{L}\p{N}&]+$", ""))
-    grams = X.ngrams(w, 2, 3, 4, 5, 6)
+    # a handful of numbers, however long the dictionary
+    sizes = sorted(r.n for r in wanted.select(F.size(F.split("full", " ")).alias("n")).distinct().collect())
+    grams = X.ngrams(w, *sizes) if sizes else F.array().cast("array<string>")
     hits = chunks.select("chunk_id", F.explode(F.array_distinct(grams)).alias("full")).join(wanted, "full").select("acronym", "chunk_id").distinct()
     return hits.select(F.explode(F.array("acronym", F.lower("acronym"))).alias("term"), "chunk_id")
 

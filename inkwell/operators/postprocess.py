@@ -109,9 +109,11 @@ def term_texts(post: DataFrame, chunks: DataFrame, least: int = 25) -> DataFrame
     The text itself is `deduplicated(..., "term")`; writing it is a sink's business.
     """
     wanted = post.groupBy("term").agg(F.count_distinct("chunk_id").alias("n_chunks")).where(F.col("n_chunks") >= least)
-    rows = post.select("term", "chunk_id").distinct().join(wanted, "term").join(chunks, "chunk_id")
-    kept = first_sentences(rows, "term", "n_chunks")
-    return kept.groupBy("term", "n_chunks").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(X.word_count(F.col("sentence"))).alias("n_words"))
+    # sentences are cut once per chunk and travel as hashes: a chunk serves all its terms
+    cut = chunks.select("chunk_id", F.explode(X.sentences(F.col("text"))).alias("s"))
+    cut = cut.select("chunk_id", F.lower(X.strip(F.col("s"))).alias("k"), X.word_count(F.col("s")).alias("n")).where("k <> ''").select("chunk_id", F.md5("k").alias("k"), "n")
+    kept = post.select("term", "chunk_id").distinct().join(wanted, "term").join(cut, "chunk_id").groupBy("term", "n_chunks", "k").agg(F.max("n").alias("n"))
+    return kept.groupBy("term", "n_chunks").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n").alias("n_words"))
 
 
 def by_year(chunks: DataFrame) -> DataFrame:
