@@ -155,12 +155,36 @@ def all_words(chunks: DataFrame, least: int = 4) -> DataFrame:
     return _terms(chunks, _found(F.lower("text"), rf"\b[a-z]{{{least},}}\b"))
 
 
+def _runs(pieces: Column, *shapes: tuple[int, bool, bool]) -> Column:
+    """Runs of neighbouring words as they stand in a text, with what lies between them; `pieces` has words and gaps by turns and words at both ends.
+
+    Each shape is (number of words, with the gap before them, with the gap after them). Outer gaps with white space at the edge are left out.
+    """
+
+    def of(p: Column, n: int, before: bool, after: bool) -> Column:
+        first, long = int(before), 2 * n - 1 + before + after
+        runs = F.transform(F.sequence(F.lit(first), F.size(p) - long, F.lit(2)), lambda i: F.array_join(F.slice(p, i + 1, F.lit(long)), ""))
+        runs = F.filter(runs, lambda r: ~r.rlike(f"^{X.S}|{X.S}$")) if before or after else runs
+        return F.when(F.size(p) - long >= first, runs).otherwise(F.array().cast("array<string>"))
+
+    return X.let(pieces, lambda p: F.flatten(F.array(*[of(p, *s) for s in shapes])))
+
+
 def surname_search(chunks: DataFrame, surnames: DataFrame) -> DataFrame:
-    """(surname, chunk_id): chunks with a surname as whole words, whatever the case; an equi-join on tokens and, for longer names, on n-grams."""
-    wanted = surnames.select("surname", F.regexp_replace(F.lower("surname"), X.S + "+", " ").alias("key")).where("key <> ''").distinct()
-    w = _found(F.lower("text"), r"[\p{L}\p{N}_]+")
-    grams = F.array_distinct(X.ngrams(w, 1, 2, 3))
-    return chunks.select("chunk_id", F.explode(grams).alias("key")).join(wanted, "key").select("surname", "chunk_id").distinct()
+    r"""(surname, chunk_id): chunks in which `\bname\b` stands, whatever the case; an equi-join on runs of words as long as the names are.
+
+    Names may have any number of words and any punctuation. Runs keep the characters between their words, so that a hit is exact; where a name
+    begins or ends with punctuation, a word must follow at once on that side, as `\b` demands. White space in a name counts as one blank.
+    """
+    word, other = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+    key = F.regexp_replace(X.strip(F.lower("surname")), X.S + "+", " ")
+    wanted = surnames.select("surname", key.alias("key")).where("key <> ''").distinct()
+    shape = F.size(_found(F.col("key"), word + "+")).alias("n"), F.col("key").rlike("^" + other).alias("before"), F.col("key").rlike(other + "$").alias("after")
+    # a handful of shapes, however long the dictionary
+    shapes = sorted(tuple(r) for r in wanted.select(*shape).distinct().collect())
+    pieces = _found(F.regexp_replace(F.lower("text"), f"^{other}+|{other}+$", ""), f"{word}+|{other}+")
+    runs = F.array_distinct(_runs(pieces, *shapes)) if shapes else F.array().cast("array<string>")
+    return chunks.select("chunk_id", F.explode(runs).alias("key")).join(wanted, "key").select("surname", "chunk_id").distinct()
 
 
 def _scored(label: str, weight: int):

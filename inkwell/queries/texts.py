@@ -144,7 +144,7 @@ def name_changes(spark, folder):
 
 def surname_search(spark, folder):
     found = table(spark, folder, "detected_identities").select(F.explode("identities").alias("i", "v")).select(F.explode("v.families").alias("s"))
-    names = found.select(F.lower(F.trim("s")).alias("surname")).where(F.col("surname").rlike(r"^[\p{L}\p{N}_]+( [\p{L}\p{N}_]+){0,2}$")).distinct()
+    names = found.select(F.lower(F.trim("s")).alias("surname")).where("surname <> ''").distinct()
     hits = extract.surname_search(table(spark, folder, "chunks"), names)
     return hits.groupBy("surname").agg(F.count(F.lit(1)).alias("n_chunks"))
 

@@ -48,6 +48,15 @@ def test_codes_panics_changes(spark):
     assert [tuple(r) for r in extract.name_changes(c).collect()] == [("rosen", "ross")]
 
 
+def test_surnames_of_any_form(spark):
+    c = chunks(spark, "Telbappel, Samuel and Alexander Damse-Naukin", "Edwd. Gulki; x'Ab Count Otto von der Lippe Senfil's", "Samuel Telbappel Damse Naukin, Edwd Gulki")
+    names = ["telbappel, samuel", "alexander damse-naukin", "damse naukin", "edwd. gulki", "count otto von der lippe", "senfil's", "'ab", "gulki;", "gulki", "samuel"]
+    found = extract.surname_search(c, spark.createDataFrame([(n,) for n in names], "surname string"))
+    want = [("'ab", "c1"), ("alexander damse-naukin", "c0"), ("count otto von der lippe", "c1"), ("damse naukin", "c2"), ("edwd. gulki", "c1"), ("gulki", "c1"), ("gulki", "c2")]
+    want += [("samuel", "c0"), ("samuel", "c2"), ("senfil's", "c1"), ("telbappel, samuel", "c0")]
+    assert sorted((r.surname, r.chunk_id) for r in found.collect()) == want
+
+
 def test_words_surnames_relations(spark):
     c = chunks(spark, "The Warburgs, de Rothschild; WARBURG", "warburger")
     names = spark.createDataFrame([("Warburg",), ("de rothschild",), ("",)], "surname string")
