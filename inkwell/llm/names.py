@@ -23,6 +23,8 @@ from inkwell.runtime import cut, stored
 
 _EDGE = re.compile(r"^[^\w&]+|[^\w.&]+$")
 _TOKEN = re.compile(r"[^\s,;/()\"]+|,")
+#: Tokens that no name has: numbers, ordinals, decades, and law codes, which are letters and a year.
+_NUMBER = re.compile(r"^(?:[\W\d_]*\d[\W\d_]*(?:st|nd|rd|th|s)?|[a-z]{1,4}\d{4})\W*$")
 
 
 def osa(a: str, b: str, most: int) -> int:
@@ -94,8 +96,9 @@ class Reader:
     def read(self, name: str) -> Form | None:
         text = _EDGE.sub("", plain(name.lower()).replace("_", " ")).strip()
         text = re.sub(r"'s$|s'$", lambda m: "" if m[0] == "'s" else "s", text)
-        if not text or any(c.isdigit() for c in text):
+        if not text or any(_NUMBER.search(t) for t in _TOKEN.findall(text)):
             return None
+        text = text.replace("1", "l").replace("0", "o")
         tokens = [t for t in (x if x == "," else x.strip(".'-") if x not in ("&",) else x for x in _TOKEN.findall(text.replace("&", " & "))) if t]
         if not any(len(t) > 2 for t in tokens):
             return None
@@ -308,9 +311,10 @@ def name_mentions(indices: DataFrame, detected: DataFrame, identity: str = "jewi
 def variants(mentions: DataFrame, similarity: float = 0.5, rows: int = 4, miss: float = 0.005, least: float = 0.75) -> DataFrame:
     """(name, mentions, kind, cluster): names of one cluster are spellings of one family, person or firm.
 
-    `mentions` has one row per distinct (name, mentions). What cannot be read as a name, such as numbers and single words of up to three letters,
-    is left out; null names are left out; an empty input gives no rows. An initial agrees with every given name it may stand for; where there
-    are several, the spelling goes to the larger cluster.
+    `mentions` has one row per distinct (name, mentions). What cannot be read as a name, such as what has a number, an ordinal or a law
+    code for a word and single words of up to three letters, is left out; a 1 or 0 inside a word is read as l or o; null names are left out; an
+    empty input gives no rows. An initial agrees with every given name it may stand for; where there are several, the spelling goes to the larger
+    cluster.
     """
     read = stored(mentions.where(F.col("name").isNotNull()).select("name", F.col("mentions").cast("bigint").alias("mentions")).mapInArrow(_reader, "name string, mentions bigint, kind string, core string, given string"), "forms")
     node = F.concat_ws("|", "kind", "core", "given")

@@ -84,6 +84,14 @@ def test_name_mentions(spark):
     assert {r.name: r.mentions for r in names.name_mentions(i, d).collect()} == {"baring": 2, "x": 1}
 
 
+def test_letters_typed_as_digits(spark):
+    of = ["ludwig kukmauhime1", "ludwig kukmauhimel", "1udwig kukmauhimel", "nb h0sranusott", "hosranusott national bank", "ba1933", "panic of 1907", "panic_of_1907", "19th century", "1880s", "1907"]
+    found = names.variants(spark.createDataFrame([(n, 3) for n in of], "name string, mentions int"))
+    assert {r.name for r in found.collect()} == set(of[:5])
+    linked = {tuple(r) for r in names.linked(found).collect()}
+    assert linked == {("ludwig kukmauhime1", "ludwig kukmauhimel"), ("1udwig kukmauhimel", "ludwig kukmauhimel"), ("1udwig kukmauhimel", "ludwig kukmauhime1"), ("hosranusott national bank", "nb h0sranusott")}
+
+
 def test_edit_distance_and_collision_curve():
     assert names.osa("abcd", "abdc", 2) == 1 and names.osa("abc", "abc", 0) == 0 and names.osa("kitten", "sitting", 5) == 3 and names.osa("a", "abcdef", 2) == 3
     b = names.bands_for(0.5, 4, 0.005)
