@@ -106,7 +106,7 @@ def deduplicated(chunks: DataFrame, *scope: str) -> DataFrame:
 def term_texts(post: DataFrame, chunks: DataFrame, least: int = 25) -> DataFrame:
     """(term, n_chunks, n_sentences, n_words): for every term of at least `least` chunks its text without repeated sentences, measured.
 
-    The text itself is `deduplicated(..., "term")`; writing it is a sink's business.
+    The text itself is in `term_passages`.
     """
     wanted = post.groupBy("term").agg(F.count_distinct("chunk_id").alias("n_chunks")).where(F.col("n_chunks") >= least)
     # sentences are cut once per chunk and travel as hashes: a chunk serves all its terms
@@ -116,6 +116,27 @@ def term_texts(post: DataFrame, chunks: DataFrame, least: int = 25) -> DataFrame
     return kept.groupBy("term", "n_chunks").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n").alias("n_words"))
 
 
+def term_passages(post: DataFrame, chunks: DataFrame, least: int = 25) -> DataFrame:
+    """(term, chunk_id, ord, text): `deduplicated(..., "term")` for every term of at least `least` chunks.
+
+    Places of sentences travel and not sentences: the text is put together where each chunk meets the places it keeps for a term.
+    """
+    wanted = post.groupBy("term").agg(F.count_distinct("chunk_id").alias("n_chunks")).where(F.col("n_chunks") >= least).select("term")
+    cut = chunks.select("chunk_id", "ord", F.posexplode(X.sentences(F.col("text"))).alias("sent", "s"))
+    cut = cut.select("chunk_id", "ord", "sent", F.lower(X.strip(F.col("s"))).alias("k")).where("k <> ''").withColumn("k", F.md5("k"))
+    first = post.select("term", "chunk_id").distinct().join(wanted, "term").join(cut, "chunk_id").groupBy("term", "k").agg(F.min(F.struct("ord", "sent", "chunk_id")).alias("p"))
+    kept = first.groupBy("term", "p.chunk_id", "p.ord").agg(F.array_sort(F.collect_list("p.sent")).alias("kept"))
+    parts = chunks.select("chunk_id", X.sentences(F.col("text")).alias("parts"))
+    text = F.array_join(F.transform("kept", lambda i: F.get("parts", i)), " ")
+    return kept.join(parts, "chunk_id").select("term", "chunk_id", "ord", text.alias("text"))
+
+
+def joined_texts(passages: DataFrame) -> DataFrame:
+    """(term, text): the passages of each term in their order, as one text."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "chunk_id", "text"))), lambda p: p.text)
+    return passages.groupBy("term").agg(F.array_join(ordered, " ").alias("text"))
+
+
 def by_year(chunks: DataFrame) -> DataFrame:
     """Chunks by their first year, undated ones last, else in their order; adds `year`."""
     return chunks.withColumn("year", X.first_year(F.col("text"))).orderBy(F.coalesce("year", F.lit(1_000_000_000)), "ord")

@@ -53,6 +53,14 @@ def per_term_dedup_text(spark, folder):
     return postprocess.term_texts(_post(spark, folder), _chunks(spark, folder).select("chunk_id", "ord", "text"))
 
 
+def _passages(spark, folder):
+    return postprocess.term_passages(_post(spark, folder), _chunks(spark, folder).select("chunk_id", "ord", "text"))
+
+
+def per_term_passages(spark, folder):
+    return _passages(spark, folder).select("term", "chunk_id", F.md5("text").alias("text_md5"))
+
+
 def year_sort(spark, folder):
     return postprocess.by_year(_chunks(spark, folder)).select("chunk_id", "year")
 
@@ -182,8 +190,7 @@ def repaired_answers(spark, folder):
 
 
 def prepared_text(spark, folder):
-    texts = per_term_dedup_text(spark, folder).select("term", F.col("n_sentences").cast("string").alias("text"))
-    return retrieve.prepared(texts, question.text_candidates("Tell me about Vessel Row"))
+    return retrieve.prepared(postprocess.joined_texts(_passages(spark, folder)), question.text_candidates("Tell me about Vessel Row"))
 
 
 def vector_topk(spark, folder):
@@ -282,7 +289,7 @@ def stream_rate(spark, folder):
     return spark.table(name)
 
 
-_NAMES = ["ideology_filter", "finance_filter", "tiered_filter_fallback", "subject_tiers", "comma_mentions", "sentence_first_occurrence", "deduplicated_chunks", "per_term_dedup_text", "year_sort", "decade_stratify",
+_NAMES = ["ideology_filter", "finance_filter", "tiered_filter_fallback", "subject_tiers", "comma_mentions", "sentence_first_occurrence", "deduplicated_chunks", "per_term_dedup_text", "per_term_passages", "year_sort", "decade_stratify",
           "region_classify", "region_default", "period_classify", "period_sample", "batch_assign", "region_batches", "token_estimate", "year_span", "late_era", "crisis_present", "upper_median_year", "related_terms", "prompt_context",
           "passage_context", "adjacent_merge", "adjacent_metric", "merged_postings", "packed_texts", "review_paragraphs", "review_chronology", "review_history", "review_panics", "answer_flags", "paragraph_enforce", "repaired_answers", "prepared_text", "vector_topk",
           "vector_topk_each", "question_intents", "engine_retrieve", "engine_ask", "build_index", "detection_responses", "rate_window", "token_budget_window", "rate_admission", "hourly_rate", "session_runs", "recent_traces",
@@ -318,6 +325,7 @@ ORACLES = {
     "sentence_first_occurrence": _DOCS + f", r AS (SELECT *, row_number() OVER (PARTITION BY lower({Q.strip('sentence')}) ORDER BY doc_id, pos, sent) AS n FROM s WHERE {Q.strip('sentence')} <> '') SELECT chunk_id, sent, sentence FROM r WHERE n = 1",
     "deduplicated_chunks": _KS + f", r AS (SELECT *, row_number() OVER (PARTITION BY lower({Q.strip('sentence')}) ORDER BY ord, sent, chunk_id) AS n FROM s WHERE {Q.strip('sentence')} <> '') SELECT chunk_id, md5(string_agg(sentence, ' ' ORDER BY sent)) AS text_md5 FROM r WHERE n = 1 GROUP BY chunk_id",
     "per_term_dedup_text": _P + _C + f", l AS (SELECT chunk_id, ord, {Q.sentences('text')} AS l FROM c WHERE text IS NOT NULL), s AS (SELECT chunk_id, ord, unnest(range(0, len(l))) AS sent, unnest(l) AS sentence FROM l), tc AS (SELECT term, count(DISTINCT chunk_id) AS n_chunks FROM post GROUP BY term HAVING count(DISTINCT chunk_id) >= 25), r AS (SELECT DISTINCT ON (p.term, lower(sentence)) p.term, n_chunks, sentence FROM post p JOIN tc USING (term) JOIN s ON s.chunk_id = p.chunk_id WHERE {Q.strip('sentence')} <> '' ORDER BY p.term, lower(sentence), ord, sent) SELECT term, n_chunks, count(*) AS n_sentences, CAST(sum(len({Q.words('sentence')})) AS BIGINT) AS n_words FROM r GROUP BY ALL",
+    "per_term_passages": _P + _C + f", l AS (SELECT chunk_id, ord, {Q.sentences('text')} AS l FROM c WHERE text IS NOT NULL), s AS (SELECT chunk_id, ord, unnest(range(0, len(l))) AS sent, unnest(l) AS sentence FROM l), tc AS (SELECT term, count(DISTINCT chunk_id) AS n_chunks FROM post GROUP BY term HAVING count(DISTINCT chunk_id) >= 25), r AS (SELECT DISTINCT ON (p.term, lower(sentence)) p.term, s.chunk_id, sent, sentence FROM post p JOIN tc USING (term) JOIN s ON s.chunk_id = p.chunk_id WHERE {Q.strip('sentence')} <> '' ORDER BY p.term, lower(sentence), ord, sent) SELECT term, chunk_id, md5(string_agg(sentence, ' ' ORDER BY sent)) AS text_md5 FROM r GROUP BY ALL",
     "year_sort": _K + f"SELECT chunk_id, {Q.years('text')}[1] AS year FROM c",
     "decade_stratify": _K + f", d AS (SELECT *, coalesce(CAST({Q.years('text')}[1] // 10 * 10 AS VARCHAR), 'unknown') AS decade FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY decade ORDER BY ord) AS n FROM d) SELECT chunk_id, decade FROM r WHERE n <= 5 ORDER BY ord LIMIT 60",
     "region_classify": _K + f"SELECT chunk_id, {_case(REGIONS, L.OTHER_REGION)} AS region FROM c",

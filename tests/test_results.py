@@ -42,6 +42,23 @@ def test_dedup_is_first_occurrence_and_idempotent(spark):
     assert sorted(map(tuple, postprocess.deduplicated(once).collect())) == sorted(map(tuple, once.collect()))
 
 
+def test_text_of_each_term(spark):
+    c = chunk_set(spark, "One. Two. one.", "TWO. Three.", "Zwei. Three. One.", "Four.", None)
+    post = spark.createDataFrame([("a", "c0"), ("a", "c1"), ("a", "c2"), ("b", "c2"), ("b", "c1"), ("b", "c1"), ("c", "c3"), ("a", "c4")], "term string, chunk_id string")
+    passages = postprocess.term_passages(post, c, 2)
+    whole = postprocess.deduplicated(post.where("term <> 'c'").distinct().join(c, "chunk_id"), "term").select("term", "chunk_id", "ord", "text")
+    assert sorted(map(tuple, passages.collect())) == sorted(map(tuple, whole.collect()))
+    assert {r.term: r.text for r in postprocess.joined_texts(passages).collect()} == {"a": "One. Two. Three. Zwei.", "b": "TWO. Three. Zwei. One."}
+
+
+def test_prepared_text_is_the_text(spark, tmp_path):
+    from inkwell.queries import results
+
+    spark.createDataFrame([(f"chunk_{i}", i, f"Same. Own {i}.") for i in range(25)], "chunk_id string, doc_id long, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([({"vessel row": [f"chunk_{i}" for i in range(25)]},)], "term_to_chunks map<string,array<string>>").write.parquet(str(tmp_path / "indices.parquet"))
+    assert [tuple(r) for r in results.prepared_text(spark, str(tmp_path)).collect()] == [("vessel row", "Same. " + " ".join(f"Own {i}." for i in range(25)))]
+
+
 def test_order_and_samples(spark):
     c = chunk_set(spark, "in 1907", "none", "in 1850", *["in 1901"] * 7)
     assert [r.chunk_id for r in postprocess.by_year(c).collect()][:2] == ["c2", "c3"]
