@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -209,6 +210,25 @@ def qgrams(core: str, q: int = 3) -> set[str]:
     return {x[i : i + q] for word in core.split("/") for x in [f"{pad}{word}{pad}"] for i in range(len(x) - q + 1)}
 
 
+def slip_keys(core: str) -> set[str]:
+    """Keys of which two cores share one if each word of the one is within the slips that `_similar` allows of a word of the other.
+
+    They are the words with as many letters left out as slips are allowed: one, or two from 8 letters on. Where a core has several words,
+    two letters are left out of one word only while the others stay as they are; pairs with more slips than that meet on their bands.
+    """
+
+    def less(words: set[str]) -> set[str]:
+        return words | {w[:i] + w[i + 1 :] for w in words for i in range(len(w))}
+
+    words = core.split("/")
+    one = [less({w}) for w in words]
+    keys = {"/".join(sorted(ws)) for ws in product(*one)}
+    for at, w in enumerate(words):
+        if len(w) >= 8:
+            keys |= {"/".join(sorted([*words[:at], x, *words[at + 1 :]])) for x in less(one[at])}
+    return keys
+
+
 def _reader(batches):
     reader = Reader()
     for batch in batches:
@@ -242,6 +262,12 @@ def _banded(bands: int, rows: int):
                         key = (key ^ low) * np.uint64(0x9E3779B97F4A7C15)
                         key ^= key >> np.uint64(29)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0), part.column(1), part.column(2)], names=["key", "kind", "core", "spellings"])
+                for c in range(0, part.num_rows, 200):
+                    few = part.slice(c, 200)
+                    keys = [slip_keys(x) for x in few.column(1).to_pylist()]
+                    of = few.take(pa.array([i for i, ks in enumerate(keys) for _ in ks], pa.int32()))
+                    key = np.fromiter((xxhash.xxh3_64_intdigest(k) for ks in keys for k in ks), np.uint64, of.num_rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *of.columns], names=["key", "kind", "core", "spellings"])
 
     return run
 
@@ -324,7 +350,7 @@ def variants(mentions: DataFrame, similarity: float = 0.5, rows: int = 4, miss:
     keyed = cores.mapInArrow(_banded(bands, rows), "key bigint, kind string, core string, spellings bigint")
     left, right = (keyed.select("key", "kind", F.col("core").alias(c), F.col("spellings").alias("n" + c)) for c in "ab")
     # the distance, in the JVM, spares Python the chance meetings; a swap counts as two there
-    close = (F.col("kind") == "partners") | (F.levenshtein("a", "b", 3) >= 0)
+    close = (F.col("kind") == "partners") | (F.levenshtein("a", "b", 4) >= 0)
     met = left.join(right, ["key", "kind"]).where("a < b").where(close).select("kind", "a", "na", "b", "nb").distinct()
     alike = met.mapInArrow(_similar(least), "kind string, a string, b string")
     same = cores.select("kind", F.col("core").alias("a"), F.col("core").alias("b"))

@@ -92,6 +92,14 @@ def test_letters_typed_as_digits(spark):
     assert linked == {("ludwig kukmauhime1", "ludwig kukmauhimel"), ("1udwig kukmauhimel", "ludwig kukmauhimel"), ("1udwig kukmauhimel", "ludwig kukmauhime1"), ("hosranusott national bank", "nb h0sranusott")}
 
 
+def test_short_cores_one_slip_apart_always_meet(spark):
+    pairs = [("abel", "abex"), ("cond", "cqnd"), ("foth", "fotk"), ("guri", "guvi"), ("hewz", "hawz"), ("jipo", "jipu"), ("kyst", "kysb"), ("laqm", "liqm"), ("nuvo", "zuvo"), ("pexi", "pexa"), ("rdup", "rdip"), ("tgasb", "tgsab")]
+    found = names.variants(spark.createDataFrame([(f"{n} family", 1) for p in pairs for n in p], "name string, mentions int"))
+    assert {tuple(r) for r in names.linked(found).collect()} == {tuple(sorted(f"{n} family" for n in p)) for p in pairs}
+    for a, b in [("abcdefgh", "bacdefhg"), ("abcdefgh", "abxdefyh"), ("abcdefgh", "abcdefghxy"), ("abcd/wxyz", "abcx/wyxz"), ("abcdefgh/wxyz", "xbcdefyh/wxyz")]:
+        assert names.slip_keys(a) & names.slip_keys(b)
+
+
 def test_edit_distance_and_collision_curve():
     assert names.osa("abcd", "abdc", 2) == 1 and names.osa("abc", "abc", 0) == 0 and names.osa("kitten", "sitting", 5) == 3 and names.osa("a", "abcdef", 2) == 3
     b = names.bands_for(0.5, 4, 0.005)
