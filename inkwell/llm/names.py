@@ -101,7 +101,7 @@ class Reader:
             return None
         text = text.replace("1", "l").replace("0", "o")
         tokens = [t for t in (x if x == "," else x.strip(".'-") if x not in ("&",) else x for x in _TOKEN.findall(text.replace("&", " & "))) if t]
-        if not any(len(t) > 2 for t in tokens):
+        if not any(len(t) > 1 for t in tokens):
             return None
         return self.firm(tokens) or self.person_or_family(tokens)
 
@@ -149,7 +149,7 @@ class Reader:
             core = "".join(w.replace("-", "") for w in words)
             if plural and core.endswith("s"):
                 core = core[:-1]
-            return Form("person" if titled and not family and len(words) > 1 else "family", (sound(core),)) if len(core) >= 4 else None
+            return Form("person" if titled and not family and len(words) > 1 else "family", (sound(core),)) if len(core) >= (2 if family or plural else 4) else None
         if comma > 0:
             surname, first = kept[:comma], [t for t in kept[comma + 1 :] if t != ","]
         else:
@@ -169,10 +169,11 @@ class Reader:
                 # two words without a given name: a surname typed with a gap
                 return Form("family", (sound("".join(words)),))
             else:
-                return None
+                # nothing tells the surname
+                return Form("unknown", (sound("".join(w.replace("-", "") for w in words)),))
         core = "".join(w.replace("-", "") for w in surname)
-        if len(core) < 4 or not first:
-            return None
+        if not first:
+            return Form("family", (sound(core),))
         g = first[0].replace("-", "")
         return Form("person", (sound(core),), self.given_of(g) or g)
 
@@ -213,7 +214,8 @@ def qgrams(core: str, q: int = 3) -> set[str]:
 def slip_keys(core: str) -> set[str]:
     """Keys of which two cores share one if each word of the one is within the slips that `_similar` allows of a word of the other.
 
-    They are the words with as many letters left out as slips are allowed: one, or two from 8 letters on. Where a core has several words,
+    They are the words with as many letters left out as slips are allowed: one, or two from 8 letters on; from 24 letters on the bands miss two
+    slips once in a million. Where a core has several words,
     two letters are left out of one word only while the others stay as they are; pairs with more slips than that meet on their bands.
     """
 
@@ -224,7 +226,7 @@ def slip_keys(core: str) -> set[str]:
     one = [less({w}) for w in words]
     keys = {"/".join(sorted(ws)) for ws in product(*one)}
     for at, w in enumerate(words):
-        if len(w) >= 8:
+        if 8 <= len(w) < 24:
             keys |= {"/".join(sorted([*words[:at], x, *words[at + 1 :]])) for x in less(one[at])}
     return keys
 
@@ -338,7 +340,7 @@ def variants(mentions: DataFrame, similarity: float = 0.5, rows: int = 4, miss:
     """(name, mentions, kind, cluster): names of one cluster are spellings of one family, person or firm.
 
     `mentions` has one row per distinct (name, mentions). What cannot be read as a name, such as what has a number, an ordinal or a law
-    code for a word and single words of up to three letters, is left out; a 1 or 0 inside a word is read as l or o; null names are left out; an
+    code for a word, single words of up to three letters and initials alone, is left out; cores of up to three letters are linked where they are equal; a 1 or 0 inside a word is read as l or o; null names are left out; an
     empty input gives no rows. An initial agrees with every given name it may stand for; where there are several, the spelling goes to the larger
     cluster.
     """

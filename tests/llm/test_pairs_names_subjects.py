@@ -100,6 +100,16 @@ def test_short_cores_one_slip_apart_always_meet(spark):
         assert names.slip_keys(a) & names.slip_keys(b)
 
 
+def test_short_surnames_and_words_without_a_given_name(spark):
+    fox = ["charles fox", "c. fox", "fox, charles", "fox, c."]
+    li = ["li, charles", "charles li"]
+    more = ["zulvis denpott karhusani", "zulvis denpot karhusani"]
+    alone = ["charles fix", "fox family", "zulvis", "nb", "fox", "j. p."]
+    found = names.variants(spark.createDataFrame([(n, 3) for n in [*fox, *li, *more, *alone]], "name string, mentions int"))
+    assert {r.name for r in found.collect()} == {*fox, *li, *more, *alone[:3]}
+    assert {tuple(r) for r in names.linked(found).collect()} == {(a, b) for of in (fox, li, more) for a in of for b in of if a < b}
+
+
 def test_edit_distance_and_collision_curve():
     assert names.osa("abcd", "abdc", 2) == 1 and names.osa("abc", "abc", 0) == 0 and names.osa("kitten", "sitting", 5) == 3 and names.osa("a", "abcdef", 2) == 3
     b = names.bands_for(0.5, 4, 0.005)
