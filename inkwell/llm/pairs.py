@@ -171,14 +171,18 @@ class Judge:
 
     @staticmethod
     def _aligned(s: list[str], parts: list[list[str]], slot: bool) -> bool:
-        fixed = [t for p in parts for t in p]
-        n = len(fixed)
-        if len(s) < n - 1 or len(s) > n + (9 if slot else max(2, n // 3)):
+        """The sentence is the template, or begins with its head and ends with its tail, slightly changed; a slot holds any number of words."""
+
+        def near(fixed: list[str], part: list[str]) -> bool:
+            return not fixed or (common_length(fixed, part) >= 0.84 * len(fixed) and containment(fixed, part, 2) >= 0.6 - 0.2 * (len(fixed) < 5))
+
+        n = sum(map(len, parts))
+        if len(s) < n - 1:
             return False
         if not slot:
-            return common_length(fixed, s) >= 0.84 * n and containment(fixed, s, 2) >= 0.6 - 0.2 * (n < 5)
+            return len(s) <= n + max(2, n // 3) and near(parts[0], s)
         head, tail = parts[0], parts[-1]
-        return s[: len(head)] == head and (not tail or s[-len(tail) :] == tail)
+        return near(head, s[: len(head) + max(2, len(head) // 3)]) and near(tail, s[-len(tail) - max(2, len(tail) // 3) :])
 
     def broken_form(self, a: str) -> bool:
         """The form alone shows that the answer goes on: a mark of omission, an open bracket, a bare list item or heading at the end."""

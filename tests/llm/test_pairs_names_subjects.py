@@ -21,6 +21,17 @@ CASES = {
 }
 
 
+def test_refusals_with_a_slot_are_aligned():
+    judge = pairs.Judge()
+    assert judge.refuses("I am unable to provide any details about the letters.")
+    assert judge.refuses("I am unable to provide facts about the letters of the harbour.")
+    assert judge.refuses("I cannot provide information about the sealed letters that the merchants of the old harbour kept in the winter of 1907.")
+    assert judge.refuses("Die Frage nach den Briefen der Kaufleute kann ich leider nicht beantworten.")
+    assert judge.refuses("Zu den Briefen, die die Kaufleute der Stadt im Winter 1907 lange Zeit führten, liegen keine Angaben vor.")
+    assert not judge.refuses("I provide information about the sealed letters of the harbour.")
+    assert not judge.refuses("They cannot be found, and I have information about what the clerks provide.")
+
+
 def test_each_defect(spark):
     import datetime as d
 
