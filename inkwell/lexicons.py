@@ -110,6 +110,7 @@ IDEOLOGY_TRANSITION = (
     "state bank,central plan,command economy,price control,currency reform"
 ).split(",")
 IDEOLOGY_CRISIS = "panic panics crisis crises 1763 1825 1873 1893 1907 1929 1973 1974 1987 1998 2008".split()
+# Words that show that a text is about finance, words that speak of a crisis, and other names of the same body.
 FINANCE_WORDS = (
     "bank banking banker bankers finance financial financier financiers investment investor investors capital credit loan lending firm company corporation enterprise insurance lic mesbic"
     " cdfi supplier contract wealth business businesses stock stocks bond bonds securities exchange market markets"
@@ -129,6 +130,9 @@ CRISIS_YEARS = (
     "1763 1772 1792 1819 1825 1837 1847 1857 1866 1873 1884 1890 1893 1896 1901 1907 1910 1914 1920 1929 1931 1973 1987 1997 1998 2001 2007 2008 2009"
 ).split()
 
+# Patterns of changed names, the old name in the first group and the new one in the second.
+NAME_CHANGES = [r"([A-Z][a-z]+)\s+(?:changed|anglicized).*?name.*?to\s+([A-Z][a-z]+)", r"([A-Z][a-z]+).*?formerly.*?([A-Z][a-z]+)"]
+
 # A sample for tests: canonical term, variants; parent, children.
 SAMPLE_GROUPS = {
     "quaker": ["quaker", "quakers"],

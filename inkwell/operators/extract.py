@@ -1,18 +1,20 @@
 """Terms that a text mentions. Every extractor maps chunks (chunk_id, text) to mentions (term, chunk_id), one row per mention.
 
-All of them are projections and explodes over built-in regular expressions: no shuffle and no Python. Tables that grow with the corpus are
-joined on tokens, never by a pattern per row.
+Those that need nothing but the text are columns, `..._of(text)`, arrays of terms: any number of them share one pass over the chunks (`mentions`).
+They are built-in regular expressions, without a shuffle and without Python. Dictionaries are looked up by `operators.dictionary`, never by a
+pattern per row.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell import lexicons as L
 from inkwell.functions import text as X
+from inkwell.operators import dictionary
 
 PROPER = rf"{X.BEGIN}[A-Z][a-z]+(?:{X.S}+[A-Z][a-z]+)+{X.END}"
 ITALIC = r"(?i)<italic>([^<]+?)</italic>"
@@ -28,33 +30,46 @@ def _terms(chunks: DataFrame, terms: Column) -> DataFrame:
     return chunks.select(F.explode(terms).alias("term"), "chunk_id").where("term <> ''")
 
 
+def mentions(chunks: DataFrame, which: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(term, chunk_id) of all the extractors of `which`, functions of a text, in one pass: their arrays are joined and exploded once."""
+    return _terms(chunks, F.concat(*[f(F.col("text")) for f in which.values()]))
+
+
+def surnames_of(text: Column, generic: list[str] = L.GENERIC_NAME_WORDS) -> Column:
+    # words of letters alone: their canonical form is the word itself
+    last = F.transform(_found(text, PROPER), lambda n: F.regexp_extract(n, r"[A-Za-z]+$", 0))
+    return F.filter(last, lambda s: ~F.lower(s).isin(generic))
+
+
 def surnames(chunks: DataFrame, generic: list[str] = L.GENERIC_NAME_WORDS) -> DataFrame:
-    """The last word of every proper name of two or more capitalised words, raw and canonical, unless it is a generic word."""
-    last = F.transform(_found(F.col("text"), PROPER), lambda n: F.element_at(F.split(n, X.S + "+"), -1))
-    kept = F.filter(last, lambda s: ~F.lower(X.canonical(s)).isin(generic))
-    return _terms(chunks, F.flatten(F.transform(kept, lambda s: F.array_distinct(F.array(s, X.canonical(s))))))
+    """The last word of every proper name of two or more capitalised words, unless it is a generic word."""
+    return _terms(chunks, surnames_of(F.col("text"), generic))
+
+
+def middle_names_of(text: Column, generic: list[str] = L.GENERIC_NAME_WORDS) -> Column:
+    parts = F.transform(_found(text, PROPER), lambda n: F.split(n, X.S + "+"))
+    kept = F.filter(parts, lambda p: (F.size(p) >= 3) & ~F.lower(F.element_at(p, -1)).isin(generic))
+    return F.flatten(F.transform(kept, lambda p: F.slice(p, 2, F.size(p) - 2)))
 
 
 def middle_names(chunks: DataFrame, generic: list[str] = L.GENERIC_NAME_WORDS) -> DataFrame:
     """The words between first and last of every proper name of three or more words whose last word is not generic."""
-    parts = F.transform(_found(F.col("text"), PROPER), lambda n: F.split(n, X.S + "+"))
-    kept = F.filter(parts, lambda p: (F.size(p) >= 3) & ~F.lower(X.canonical(F.element_at(p, -1))).isin(generic))
-    return _terms(chunks, F.flatten(F.transform(kept, lambda p: F.slice(p, 2, F.size(p) - 2))))
+    return _terms(chunks, middle_names_of(F.col("text"), generic))
 
 
-def lexicon_terms(chunks: DataFrame, patterns: list[str]) -> DataFrame:
-    """Matches of the first group of each pattern in the text without tags, whatever their case, kept as typed; with blanks also underscored."""
-    visible = X.strip_tags(F.col("text"))
+def lexicon_of(text: Column, patterns: list[str]) -> Column:
+    visible = X.strip_tags(text)
     hits = F.concat(*[_found(visible, "(?i)" + p, 1) for p in patterns]) if patterns else F.array().cast("array<string>")
-    return _terms(chunks, F.flatten(F.transform(hits, lambda t: F.array_distinct(F.array(X.underscored(t), X.spaced(t))))))
+    return F.flatten(F.transform(hits, lambda t: F.array_distinct(F.array(X.underscored(t), X.spaced(t)))))
 
 
-def firms(chunks: DataFrame, generic: list[str] = L.GENERIC_NAME_WORDS) -> DataFrame:
-    """Firm names set in italics, and national banks named with NB: `First NB of Boston` gives First NB and First National Bank.
+def lexicon_terms(chunks: DataFrame, patterns: list[str]) -> DataFrame:
+    """Matches of the first group of each pattern in the text without tags, whatever their case, kept as typed; with blanks also underscored."""
+    return _terms(chunks, lexicon_of(F.col("text"), patterns))
 
-    Fragments that begin or end with punctuation, single characters and single generic words are left out.
-    """
-    text, visible = F.col("text"), X.strip_tags(F.col("text"))
+
+def firms_of(text: Column, generic: list[str] = L.GENERIC_NAME_WORDS) -> Column:
+    visible = X.strip_tags(text)
     name = r"([A-Z][a-z]+)"
     place = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
     of_place = [
@@ -70,7 +85,15 @@ def firms(chunks: DataFrame, generic: list[str] = L.GENERIC_NAME_WORDS) -> DataF
     italic = F.transform(F.filter(F.transform(_found(text, ITALIC, 1), X.strip), lambda f: F.length(f) < 100), X.canonical)
     italic = F.filter(italic, lambda f: (F.length(f) > 1) & ~f.rlike(_PUNCT_FIRST) & ~f.rlike(_PUNCT_LAST) & (f.contains(" ") | ~F.lower(f).isin(generic)))
     expanded = F.filter(F.transform(italic, lambda f: F.when(F.lower(f).rlike(r" nb( |$)"), F.regexp_replace(f, X.pinned(r"(?i)\bNB\b"), "National Bank"))), lambda x: x.isNotNull())
-    return _terms(chunks, F.concat(banks, alone, italic, expanded))
+    return F.concat(banks, alone, italic, expanded)
+
+
+def firms(chunks: DataFrame, generic: list[str] = L.GENERIC_NAME_WORDS) -> DataFrame:
+    """Firm names set in italics, and national banks named with NB: `First NB of Boston` gives First NB and First National Bank.
+
+    Fragments that begin or end with punctuation, single characters and single generic words are left out.
+    """
+    return _terms(chunks, firms_of(F.col("text"), generic))
 
 
 def acronym_definitions(chunks: DataFrame, fixed: dict[str, str] = L.ACRONYMS) -> DataFrame:
@@ -101,51 +124,62 @@ def acronym_tokens(chunks: DataFrame, definitions: DataFrame) -> DataFrame:
 
 
 def acronym_places(chunks: DataFrame, acronyms: list[str], places: list[str] = L.PLACES) -> DataFrame:
-    """An acronym before a known place, such as `FRS New York`."""
-    alternatives = "|".join(map(re.escape, sorted(acronyms, key=len, reverse=True)))
-    hits = F.transform(_found(X.strip_tags(F.col("text")), rf"\b((?:{alternatives})\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b", 1), lambda t: F.regexp_replace(t, X.S + "+", " "))
-    return _terms(chunks, F.filter(hits, lambda t: F.lower(F.regexp_replace(t, r"^\S+ ", "")).isin(places)))
+    """An acronym before a known place, such as `FRS New York`: one or two capitalised words after a word in capitals, both looked up."""
+    # looked at from every word on: the acronym is looked up in a set, and the pattern does not grow with the dictionary
+    hits = F.transform(_found(X.strip_tags(F.col("text")), r"\b(?=([A-Za-z]+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b)", 1), lambda t: F.regexp_replace(t, X.S + "+", " "))
+    return _terms(chunks, F.filter(hits, lambda t: F.substring_index(t, " ", 1).isin(acronyms) & F.lower(F.regexp_replace(t, r"^\S+ ", "")).isin(places)))
 
 
 def acronym_names(chunks: DataFrame, definitions: DataFrame) -> DataFrame:
     """Acronyms whose full name a text has, whatever its case, `and` also as `&`; once per chunk, with the lower-case alias.
 
-    The text's word n-grams, as long as the names are, join the names: the cost follows the text and not text times dictionary.
+    Names and texts are compared word by word, without punctuation at the edges of the words.
     """
-    name = F.regexp_replace(F.lower("full_name"), X.S + "+", " ")
-    wanted = definitions.select("acronym", F.explode(F.array_distinct(F.array(name, F.regexp_replace(name, X.pinned(r"\band\b"), "&")))).alias("full"))
-    w = F.transform(X.words(F.lower(X.strip_tags(F.col("text")))), lambda x: F.regexp_replace(x, r"^[^\p{L}\p{N}&]+|[^\p{L}\p{N}&]+$", ""))
-    # a handful of numbers, however long the dictionary
-    sizes = sorted(r.n for r in wanted.select(F.size(F.split("full", " ")).alias("n")).distinct().collect())
-    grams = X.ngrams(w, *sizes) if sizes else F.array().cast("array<string>")
-    hits = chunks.select("chunk_id", F.explode(F.array_distinct(grams)).alias("full")).join(wanted, "full").select("acronym", "chunk_id").distinct()
-    return hits.select(F.explode(F.array("acronym", F.lower("acronym"))).alias("term"), "chunk_id")
+    name = dictionary.plain_words(F.lower("full_name"))
+    wanted = definitions.select("acronym", F.explode(F.array_distinct(F.array(name, F.regexp_replace(name, X.pinned(r"\band\b"), "&")))).alias("key")).where("key <> ''")
+    hits = dictionary.hits(chunks.select("chunk_id", F.lower(X.strip_tags(F.col("text"))).alias("text")), wanted.select("key").distinct(), plain=True)
+    found = hits.join(wanted, "key").select("acronym", "chunk_id").distinct()
+    return found.select(F.explode(F.array("acronym", F.lower("acronym"))).alias("term"), "chunk_id")
 
 
-def law_terms(chunks: DataFrame, prefixes: dict[str, str] = L.LAW_PREFIXES) -> DataFrame:
-    """Law codes with a four-digit year: the code and its phrase (`BA1933`, `Bankruptcy Act 1933`), each also in lower case."""
-    codes = X.law_codes(X.strip_tags(F.col("text")), list(prefixes))
+def law_terms_of(text: Column, prefixes: dict[str, str] = L.LAW_PREFIXES) -> Column:
+    codes = X.law_codes(X.strip_tags(text), list(prefixes))
     phrase = F.create_map(*[F.lit(x) for kv in prefixes.items() for x in kv])
 
     def aliases(c: Column) -> Column:
         full = F.concat_ws(" ", F.element_at(phrase, F.regexp_extract(c, r"^([A-Z]+)", 1)), F.right(c, F.lit(4)))
         return F.array(c, F.lower(c), full, F.lower(full))
 
-    return _terms(chunks, F.flatten(F.transform(codes, aliases)))
+    return F.flatten(F.transform(codes, aliases))
 
 
-def panic_terms(chunks: DataFrame, years: list[int] | None = None) -> DataFrame:
-    """`Panic of 1907` and `crisis of 1907` as `panic_of_1907` and `panic of 1907`, once per chunk; `years` restricts them to a list."""
-    found = F.array_distinct(_found(X.strip_tags(F.col("text"), ""), r"\b(?:[Pp]anic|[Cc]risis)\s+of\s+(\d{4})\b", 1))
+def law_terms(chunks: DataFrame, prefixes: dict[str, str] = L.LAW_PREFIXES) -> DataFrame:
+    """Law codes with a four-digit year: the code and its phrase (`BA1933`, `Bankruptcy Act 1933`), each also in lower case."""
+    return _terms(chunks, law_terms_of(F.col("text"), prefixes))
+
+
+def panic_terms_of(text: Column, years: list[int] | None = None) -> Column:
+    found = F.array_distinct(_found(X.strip_tags(text, ""), r"\b(?:[Pp]anic|[Cc]risis)\s+of\s+(\d{4})\b", 1))
     if years is not None:
         found = F.filter(found, lambda y: y.isin([str(y) for y in years]))
-    return _terms(chunks, F.flatten(F.transform(found, lambda y: F.array(F.concat(F.lit("panic_of_"), y), F.concat(F.lit("panic of "), y)))))
+    return F.flatten(F.transform(found, lambda y: F.array(F.concat(F.lit("panic_of_"), y), F.concat(F.lit("panic of "), y))))
+
+
+def panic_terms(chunks: DataFrame, years: list[int] | None = None) -> DataFrame:
+    """`Panic of 1907` and `crisis of 1907` as `panic_of_1907` and `panic of 1907`, once per chunk; `years` restricts them to a list."""
+    return _terms(chunks, panic_terms_of(F.col("text"), years))
 
 
 def name_changes(chunks: DataFrame) -> DataFrame:
-    """(old_name, new_name), lower-cased, of `A changed his name to B` and `A ... formerly B`, unless the chunk speaks of a maiden name."""
-    shapes = [r"([A-Z][a-z]+)\s+(?:changed|anglicized).*?name.*?to\s+([A-Z][a-z]+)", r"([A-Z][a-z]+).*?formerly.*?([A-Z][a-z]+)"]
-    pairs = F.concat(*[F.arrays_zip(_found(F.col("text"), p, 1).alias("old_name"), _found(F.col("text"), p, 2).alias("new_name")) for p in shapes])
+    """(old_name, new_name), lower-cased, of `A changed his name to B` and `A ... formerly B`, unless the chunk speaks of a maiden name.
+
+    A text that has none of the words a pattern needs is not searched by it: without the guard the pattern would try every capitalised word against
+    the rest of the text.
+    """
+    none, low = F.array().cast("array<string>"), F.lower("text")
+    guards = [low.rlike("changed|anglicized") & F.contains(low, F.lit("name")), F.contains(F.col("text"), F.lit("formerly"))]
+    found = [[F.when(g, _found(F.col("text"), p, i)).otherwise(none) for i in (1, 2)] for g, p in zip(guards, L.NAME_CHANGES, strict=True)]
+    pairs = F.concat(*[F.arrays_zip(a.alias("old_name"), b.alias("new_name")) for a, b in found])
     rows = chunks.where(~F.lower("text").rlike("née|nee")).select(F.explode(pairs).alias("p"))
     return rows.select(F.lower("p.old_name").alias("old_name"), F.lower("p.new_name").alias("new_name")).distinct()
 
@@ -155,36 +189,16 @@ def all_words(chunks: DataFrame, least: int = 4) -> DataFrame:
     return _terms(chunks, _found(F.lower("text"), rf"\b[a-z]{{{least},}}\b"))
 
 
-def _runs(pieces: Column, *shapes: tuple[int, bool, bool]) -> Column:
-    """Runs of neighbouring words as they stand in a text, with what lies between them; `pieces` has words and gaps by turns and words at both ends.
-
-    Each shape is (number of words, with the gap before them, with the gap after them). Outer gaps with white space at the edge are left out.
-    """
-
-    def of(p: Column, n: int, before: bool, after: bool) -> Column:
-        first, long = int(before), 2 * n - 1 + before + after
-        runs = F.transform(F.sequence(F.lit(first), F.size(p) - long, F.lit(2)), lambda i: F.array_join(F.slice(p, i + 1, F.lit(long)), ""))
-        runs = F.filter(runs, lambda r: ~r.rlike(f"^{X.S}|{X.S}$")) if before or after else runs
-        return F.when(F.size(p) - long >= first, runs).otherwise(F.array().cast("array<string>"))
-
-    return X.let(pieces, lambda p: F.flatten(F.array(*[of(p, *s) for s in shapes])))
-
-
 def surname_search(chunks: DataFrame, surnames: DataFrame) -> DataFrame:
-    r"""(surname, chunk_id): chunks in which `\bname\b` stands, whatever the case; an equi-join on runs of words as long as the names are.
+    r"""(surname, chunk_id): chunks in which `\bname\b` stands, whatever the case.
 
-    Names may have any number of words and any punctuation. Runs keep the characters between their words, so that a hit is exact; where a name
-    begins or ends with punctuation, a word must follow at once on that side, as `\b` demands. White space in a name counts as one blank.
+    Names may have any number of words and any punctuation; where a name begins or ends with punctuation, a word must follow at once on that
+    side, as `\b` demands. White space in a name counts as one blank. Null and blank names find nothing, repeated ones count once.
     """
-    word, other = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
     key = F.regexp_replace(X.strip(F.lower("surname")), X.S + "+", " ")
     wanted = surnames.select("surname", key.alias("key")).where("key <> ''").distinct()
-    shape = F.size(_found(F.col("key"), word + "+")).alias("n"), F.col("key").rlike("^" + other).alias("before"), F.col("key").rlike(other + "$").alias("after")
-    # a handful of shapes, however long the dictionary
-    shapes = sorted(tuple(r) for r in wanted.select(*shape).distinct().collect())
-    pieces = _found(F.regexp_replace(F.lower("text"), f"^{other}+|{other}+$", ""), f"{word}+|{other}+")
-    runs = F.array_distinct(_runs(pieces, *shapes)) if shapes else F.array().cast("array<string>")
-    return chunks.select("chunk_id", F.explode(runs).alias("key")).join(wanted, "key").select("surname", "chunk_id").distinct()
+    hits = dictionary.hits(chunks.select("chunk_id", F.lower("text").alias("text")), wanted.select("key").distinct())
+    return hits.join(wanted, "key").select("surname", "chunk_id").distinct()
 
 
 def _scored(label: str, weight: int):

@@ -149,6 +149,11 @@ def surname_search(spark, folder):
     return hits.groupBy("surname").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
+def terms_present(spark, folder):
+    terms = table(spark, folder, "indices").select(F.explode(F.map_keys("term_to_chunks")).alias("term")).distinct()
+    return extract.terms_present(table(spark, folder, "chunks"), terms).groupBy("term").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
 def keyword_context(spark, folder):
     return _docs(spark, folder).select("doc_id", F.explode(X.in_context(F.col("text"), "clearing house")).alias("context"))
 
@@ -164,7 +169,7 @@ def weighted_patterns(spark, folder):
 
 _NAMES = ["chunk_overlap", "sentence_split", "sentence_shingles", "sentence_subphrases", "strip_tags", "text_profile", "year_profile", "canonical_terms", "prefilter_stats", "incremental_chunks",
           "surname_terms", "middle_name_terms", "italic_firms", "firm_terms", "law_terms", "panic_terms", "panic_terms_listed", "lexicon_terms", "acronym_definitions", "acronym_terms", "acronym_names", "acronym_places", "word_terms",
-          "name_changes", "surname_search", "keyword_context", "relations", "weighted_patterns"]
+          "name_changes", "surname_search", "terms_present", "keyword_context", "relations", "weighted_patterns"]
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _COUNT = "SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM (SELECT term, chunk_id, count(*) AS tf FROM t WHERE term <> '' GROUP BY ALL) GROUP BY term"
@@ -174,6 +179,13 @@ _LAW = "|".join(sorted(L.LAW_PREFIXES, key=lambda p: (-len(p), p)))
 _CRISIS = "regexp_extract_all(" + Q.apart(Q.tagless("text", "")) + f", '(?:^|[^{Q.W}])(?:[Pp]anic|[Cc]risis){Q.S}+of{Q.S}+(\\d{{4}})(?:$|[^{Q.W}])', 1)"
 _PANIC = Q.CHUNKS + f", y AS (SELECT DISTINCT chunk_id, unnest({_CRISIS}) AS y FROM k), t AS (SELECT 'panic_of_' || y AS term, chunk_id FROM y UNION ALL SELECT 'panic of ' || y, chunk_id FROM y)\n"
 _TRIG = f"list_transform(range(1, len(w) - {{n}} + 2), lambda i: array_to_string(w[i : i + {{n}} - 1], ' '))"
+#: h: (name, chunk_id) of the chunks in which `\\bname\\b` stands, whatever the case.
+_KEY = "regexp_replace(" + Q.strip("lower(name)") + f", '{Q.S}+', ' ', 'g')"
+_EDGES = tuple(f"CASE WHEN regexp_matches(k, '{p}') THEN '{word}' ELSE '{other}' END" for p, word, other in ((f"^[{Q.W}]", f"(?:^|[^{Q.W}])", f"[{Q.W}]"), (f"[{Q.W}]$", f"(?:$|[^{Q.W}])", f"[{Q.W}]")))
+_EVERYWHERE = f""", nk AS (SELECT DISTINCT name, {_KEY} AS k FROM n), q AS (SELECT name, k, {_EDGES[0]} || regexp_escape(k) || {_EDGES[1]} AS p FROM nk WHERE k <> ''),
+z AS (SELECT DISTINCT chunk_id, lower(text) AS x FROM chunks WHERE text IS NOT NULL), m AS MATERIALIZED (SELECT name, p, chunk_id, x FROM q JOIN z ON contains(x, k)),
+h AS (SELECT DISTINCT name, chunk_id FROM m WHERE regexp_matches(x, p))
+"""
 
 ORACLES = {
     "chunk_overlap": Q.CHUNKS + "SELECT doc_id, pos, chunk_id, md5(text) AS text_md5, n_words FROM k",
@@ -203,8 +215,8 @@ upper(substr(term, 1, 1)) || lower(substr(term, 2)) AS capitalized, CASE WHEN lo
     "word_terms": Q.CHUNKS + f", t AS (SELECT unnest({Q.found('lower(text)', '[a-z]{4,}')}) AS term, chunk_id FROM k)\n" + _COUNT,
     "name_changes": Q.CHUNKS + """, c AS (SELECT text FROM k WHERE NOT regexp_matches(lower(text), 'née|nee')), g AS (SELECT unnest(regexp_extract_all(text, '([A-Z][a-z]+)\\s+(?:changed|anglicized).*?name.*?to\\s+([A-Z][a-z]+)', 1)) AS o, unnest(regexp_extract_all(text, '([A-Z][a-z]+)\\s+(?:changed|anglicized).*?name.*?to\\s+([A-Z][a-z]+)', 2)) AS n FROM c
 UNION ALL SELECT unnest(regexp_extract_all(text, '([A-Z][a-z]+).*?formerly.*?([A-Z][a-z]+)', 1)), unnest(regexp_extract_all(text, '([A-Z][a-z]+).*?formerly.*?([A-Z][a-z]+)', 2)) FROM c) SELECT DISTINCT lower(o) AS old_name, lower(n) AS new_name FROM g""",
-    "surname_search": Q.DETECTIONS + f""", n AS (SELECT DISTINCT surname FROM d WHERE regexp_matches(surname, '^[{Q.W}]+( [{Q.W}]+){{0,2}}$')), t AS (SELECT chunk_id, regexp_extract_all(lower(text), '[{Q.W}]+') AS w FROM chunks WHERE text IS NOT NULL),
-g AS (SELECT DISTINCT chunk_id, unnest(list_concat(list_concat(w, {_TRIG.format(n=2)}), {_TRIG.format(n=3)})) AS surname FROM t) SELECT surname, count(*) AS n_chunks FROM g JOIN n USING (surname) GROUP BY surname""",
+    "surname_search": Q.DETECTIONS + ", n AS (SELECT DISTINCT surname AS name FROM d)" + _EVERYWHERE + "SELECT name AS surname, count(*) AS n_chunks FROM h GROUP BY name",
+    "terms_present": "WITH t AS (SELECT DISTINCT unnest(map_keys(term_to_chunks)) AS name FROM indices), n AS (SELECT name FROM t WHERE trim(name) <> '')" + _EVERYWHERE + "SELECT name AS term, count(*) AS n_chunks FROM h GROUP BY name",
     "keyword_context": "SELECT doc_id, unnest(regexp_extract_all(text, '(?is).{80}clearing house.{80}')) AS context FROM documents",
     "relations": Q.CHUNKS + """, a AS (SELECT unnest(regexp_extract_all(text, '([A-Z][a-z]+) and ([A-Z][a-z]+)', 1)) AS a, unnest(regexp_extract_all(text, '([A-Z][a-z]+) and ([A-Z][a-z]+)', 2)) AS b FROM k),
 b AS (SELECT unnest(regexp_extract_all(text, '([A-Z][a-z]+) at ([A-Z][a-z]+)', 1)) AS a, unnest(regexp_extract_all(text, '([A-Z][a-z]+) at ([A-Z][a-z]+)', 2)) AS b FROM k)
