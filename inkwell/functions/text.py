@@ -5,6 +5,7 @@ A null text gives null, or an empty array where an array is returned, unless a d
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -21,8 +22,9 @@ _EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N
 
 
 def pinned(pattern: str) -> str:
-    """A pattern whose \\b and \\s mean Unicode words and white space on every JVM."""
-    return pattern.replace(r"\b(", BEGIN + "(").replace(r")\b", ")" + END).replace(r"\b", _EDGE).replace(r"\s", S)
+    """A pattern whose \\b and \\s mean Unicode words and white space on every JVM. Flags at its beginning are no group."""
+    flags = re.match(r"(?:\(\?[a-z]+\))?", pattern)[0]
+    return flags + pattern[len(flags) :].replace(r"\b(", BEGIN + "(").replace(r")\b", ")" + END).replace(r"\b", _EDGE).replace(r"\s", S)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -78,9 +80,18 @@ def shingles(text: Column, size: int = 5) -> Column:
     return F.array_distinct(F.concat(F.array(text), ngrams(words(text), size)))
 
 
-def subphrases(sentence: Column, least: int = 5, most: int = 7) -> Column:
-    """All runs of `least` to `most` words of a sentence, lower-cased; longer runs add nothing that these do not show."""
-    return F.array_distinct(ngrams(words(F.lower(sentence)), *range(least, most + 1)))
+def subphrases(sentence: Column, least: int = 5, most: int | None = None) -> Column:
+    """All runs of `least` words or more of a sentence, lower-cased, each once; with `most`, of no more than so many words.
+
+    Without `most` a sentence of n words has about n²/2 runs.
+    """
+
+    def of(w: Column) -> Column:
+        longest = F.size(w) if most is None else F.least(F.size(w), F.lit(most))
+        runs = F.transform(F.sequence(F.lit(least), longest), lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
+        return F.when(longest >= least, F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<string>"))
+
+    return let(words(F.lower(sentence)), of)
 
 
 def strip_tags(text: Column, to: str = " ") -> Column:
@@ -105,6 +116,12 @@ def capitalized(term: Column) -> Column:
     return F.concat(F.upper(F.substring(term, 1, 1)), F.lower(F.substring(term, 2, 1 << 30)))
 
 
+def titled(term: Column) -> Column:
+    """Every run of letters with its first letter in upper case and the others in lower case: after any character that is no letter a new one begins."""
+    runs = F.regexp_extract_all(term, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, capitalized), "")
+
+
 def plural_toggled(term: Column) -> Column:
     """Without its last s where it has one and more than two letters, else with one."""
     return F.when(term.endswith("s") & (F.length(term) > 2), F.substring(term, F.lit(1), F.length(term) - 1)).otherwise(F.concat(term, F.lit("s")))
@@ -190,15 +207,11 @@ def has_related_questions(text: Column) -> Column:
 
 def any_of(text: Column, terms: list[str]) -> Column:
     """Any of the terms as a substring of the lower-cased text: one alternation, compiled once."""
-    import re
-
     return F.lower(text).rlike("|".join(re.escape(t).replace(r"\ ", " ") for t in terms)) if terms else F.lit(False)
 
 
 def any_word(text: Column, terms: list[str]) -> Column:
     """Any of the terms as whole words, without regard to case."""
-    import re
-
     return text.rlike(rf"(?i){BEGIN}(?:" + "|".join(re.escape(t).replace(r"\ ", " ") for t in terms) + f"){END}") if terms else F.lit(False)
 
 
@@ -237,6 +250,4 @@ def short_law_codes(text: Column, prefixes: list[str]) -> Column:
 
 def in_context(text: Column, phrase: str, around: int = 80) -> Column:
     """Every occurrence of a phrase with `around` characters on either side, where there are so many."""
-    import re
-
     return F.coalesce(F.regexp_extract_all(text, F.lit(rf"(?is).{{{around}}}{re.escape(phrase)}.{{{around}}}"), F.lit(0)), F.array().cast("array<string>"))

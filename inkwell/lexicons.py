@@ -124,6 +124,28 @@ ALIASES = {
     "boe": ["bank of england"],
 }
 
+# Contexts in which a text on finance is not about an identity, and words that count in lower case only in such contexts.
+FINANCE_EXCLUDED = [r"\bblack sea\b", r"\bblack sea fleet\b", r"\beugene black\b", r"\bblack tea\b"]
+CAPITALISED = {
+    "black": (
+        "black-owned,black banker,black bank,black community,black person,black individual,black elite,black family,black american,black african,black slave,black loyalist,"
+        "black lic,black frs,black governor,black chair"
+    ).split(",")
+}
+
+# What makes a name the subject of a text that lists it.
+SUBJECT_VERBS = "was were is are became founded established merged acquired".split()
+SUBJECT_NOUNS = "family families bank banking firm company".split()
+
+# What is added to a short answer, and the questions that follow one.
+CONTEXT_NOTE = "\n\n**Additional Context:**\n- Clarify scope across decades present in sources.\n- Highlight leadership where mentioned (chairs, directors).\n"
+RELATED = "What role did {} play in this topic, according to the documents?"
+RELATED_FILLERS = [
+    "Which panics or crises affected this subject and how did access to finance change?",
+    "How did identity groups (e.g., Jews, Dalits, women) gain or lose access to banking here?",
+    "Which nationalizations or decrees changed bank control, and with what outcomes?",
+]
+
 # Crises that a full answer mentions.
 CRISIS_WORDS = ["panic of", "panic", "crisis", "crash", "depression", "recession", "bubble", "run"]
 CRISIS_YEARS = (

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from inkwell.functions import text as X
 
 
-def chunk(docs: DataFrame, size: int = 400, overlap: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, chunk_id, text, n_words) of every window of every document; chunk_id is key_pos, so it depends on no order of reading.
+def chunk(docs: DataFrame, size: int = 400, overlap: int = 100, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, pos, chunk_id, text, n_words) of every window of every document; chunk_id is key_pos, so it depends on no order of reading.
 
-    Null, empty and blank texts give none. No shuffle: a projection and an explode.
+    Null, empty and blank texts give none. No shuffle: a projection and an explode. The columns `keep` of a document go with its windows.
     """
-    rows = docs.select(F.col(key), F.posexplode(X.windows(F.col(text), size, overlap)).alias("pos", "text"))
-    return rows.select(key, "pos", F.concat_ws("_", F.col(key).cast("string"), F.col("pos").cast("string")).alias("chunk_id"), "text", X.word_count(F.col("text")).alias("n_words"))
+    rows = docs.select(F.col(key), *keep, F.posexplode(X.windows(F.col(text), size, overlap)).alias("pos", "text"))
+    return rows.select(key, *keep, "pos", F.concat_ws("_", F.col(key).cast("string"), F.col("pos").cast("string")).alias("chunk_id"), "text", X.word_count(F.col("text")).alias("n_words"))
 
 
 def sentences_of(chunks: DataFrame, *keys: str, text: str = "text") -> DataFrame:

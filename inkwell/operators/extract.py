@@ -106,7 +106,11 @@ def acronym_definitions(chunks: DataFrame, fixed: dict[str, str] = L.ACRONYMS) -
     quote = "[\"“”‘’«»]"
     acr, full2, full3 = r"[A-Z]{2,10}", r"[A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|of|and|&|the))*\s+[A-Z][a-z]+", r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+"
     shapes = [(rf"\b({acr})\s*\(([^)\"]{{5,50}}?)\)", 1, 2), (rf"\b({full2})\s*\(({acr})\)", 2, 1), (rf"\b({acr})\s*,\s*or\s+({full3})", 1, 2), (rf"\b({full3})\s*\({quote}({acr}){quote}\)", 2, 1)]
-    found = F.concat(*[F.arrays_zip(_found(visible, p, a).alias("acronym"), _found(visible, p, f).alias("full_name")) for p, a, f in shapes])
+    # what a text must have to be worth the pattern, which tries every capitalised word
+    signs = [rf"{acr}\s*\(", rf"\({acr}\)", rf"{acr}\s*,\s*or\s", rf"\({quote}{acr}{quote}\)"]
+    none = F.array().cast("array<string>")
+    found = [[F.when(visible.rlike(X.pinned(sign)), _found(visible, p, g)).otherwise(none) for g in (a, f)] for sign, (p, a, f) in zip(signs, shapes, strict=True)]
+    found = F.concat(*[F.arrays_zip(a.alias("acronym"), f.alias("full_name")) for a, f in found])
     pairs = chunks.select(F.explode(found).alias("d")).select(F.col("d.acronym"), X.strip(F.col("d.full_name")).alias("full_name")).where(F.length("full_name").between(5, 100))
     best = pairs.groupBy("acronym").agg(F.min(F.struct(F.length("full_name").alias("n"), "full_name")).alias("b")).select("acronym", F.col("b.full_name"))
     spark = chunks.sparkSession

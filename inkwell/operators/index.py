@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
+from inkwell.runtime import width
 
 
 def postings(mentions: DataFrame) -> DataFrame:
@@ -23,6 +24,18 @@ def frequent(found: DataFrame, acronyms: list[str], least: int = 2) -> DataFrame
     return found.where((F.col("tf") >= least) | F.col("term").isin(acronyms))
 
 
+def of_frequent(post: DataFrame, least: int = 2, definitions: DataFrame | None = None, spared: list[str] = ()) -> DataFrame:
+    """Postings of terms of at least `least` mentions, of acronyms (acronym) and of the spared spellings, whatever their case.
+
+    The number of mentions is all that decides, so that rare terms, which are most of them, are found by an aggregation and go by a semi-join.
+    """
+    counted = post.groupBy("term").agg(F.sum("tf").alias("tf"))
+    kept = counted.where((F.col("tf") >= least) | F.lower("term").isin(list(spared))).select("term")
+    if definitions is not None:
+        kept = kept.union(definitions.select(F.explode(F.array("acronym", F.lower("acronym"))).alias("term"))).distinct()
+    return post.join(kept, "term", "left_semi")
+
+
 def meaningful(found: DataFrame, stop: list[str], lexicon: list[str], more_than: int = 25) -> DataFrame:
     """Terms of more than `more_than` chunks that are proper nouns, in the lexicon, or name a bank or company, and no stop words."""
     name = F.col("term").rlike(r"^\p{Lu}") | F.lower("term").isin(lexicon) | F.lower("term").rlike("nb|bank|co")
@@ -47,7 +60,7 @@ def presplit(found: DataFrame, size: int = 250) -> DataFrame:
     from inkwell.operators.postprocess import placed
 
     caps = F.col("term").rlike(r"^\p{Lu}{3,}$")
-    rest = placed(found.where(~caps).withColumn("_o", F.ascii("term")), "_o", "term").withColumn("batch", F.floor(F.col("place") / size)).drop("_o", "place")
+    rest = placed(found.where(~caps), "term").withColumn("batch", F.floor(F.col("place") / size)).drop("place")
     return found.where(caps).withColumn("batch", F.lit(None).cast("bigint")).unionByName(rest).withColumn("kept", caps)
 
 
@@ -62,40 +75,52 @@ def duplicate_stats(mentions: DataFrame) -> DataFrame:
     return per_term.agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("ids"), F.lit(0)).alias("ids"), F.coalesce(F.sum("distinct_ids"), F.lit(0)).alias("distinct_ids")).withColumn("duplicates", F.col("ids") - F.col("distinct_ids"))
 
 
+#: Rows up to which a lexicon is broadcast; a larger one is joined by shuffle.
+SMALL = 100_000
+
+
+def sent(rows: DataFrame, n: int) -> DataFrame:
+    """A lexicon of n rows, marked for broadcast where these are few."""
+    return F.broadcast(rows) if n <= SMALL else rows
+
+
 def merge_groups(post: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """Postings in which every spelling of a synonym group has the chunks of all of them.
 
     The canonical term, its underscored form and all variants get the union; terms are matched without regard to case. Groups must not share a
-    spelling. The lexicon is broadcast: a table of the user's, checked to hold at most 100,000 spellings.
+    spelling. A lexicon of up to `SMALL` spellings is broadcast, a larger one is joined.
     """
     spellings: dict[str, str] = {}
     for canonical, variants in groups.items():
         for v in dict.fromkeys([canonical, canonical.replace(" ", "_"), *variants, *(v.replace(" ", "_") for v in variants)]):
             if spellings.setdefault(v.lower(), canonical) != canonical:
                 raise ValueError(f"two groups share the spelling {v!r}")
-    if len(spellings) > 100_000:
-        raise ValueError("too many spellings to broadcast")
     spark = post.sparkSession
+    n = len(spellings)
     members = spark.createDataFrame(list(spellings.items()), "spelling string, canonical string")
     targets = [(c, t) for c, vs in groups.items() for t in dict.fromkeys([c, c.replace(" ", "_"), *vs])]
     outputs = spark.createDataFrame(targets, "canonical string, term string")
-    hit = post.join(F.broadcast(members), F.lower("term") == F.col("spelling"))
+    hit = post.join(sent(members, n), F.lower("term") == F.col("spelling"))
     union = hit.groupBy("canonical", "chunk_id").agg(F.sum("tf").alias("tf"))
-    merged = union.join(F.broadcast(outputs), "canonical").select("term", "chunk_id", "tf")
-    return post.join(F.broadcast(members.select("spelling")), F.lower("term") == F.col("spelling"), "left_anti").select("term", "chunk_id", "tf").union(merged)
+    merged = union.join(sent(outputs, n), "canonical").select("term", "chunk_id", "tf")
+    return post.join(sent(members.select("spelling"), n), F.lower("term") == F.col("spelling"), "left_anti").select("term", "chunk_id", "tf").union(merged)
 
 
-def cooccurrence(post: DataFrame, hot: int = 2000) -> DataFrame:
+def cooccurrence(post: DataFrame, block: int = 512) -> DataFrame:
     """(a, b, weight), a < b: in how many chunks two entities stand together.
 
-    A chunk with k entities has k(k-1)/2 pairs, which are the result and not an intermediate; the pairs of a chunk are made by posexplode of its
-    sorted array of entities, so that a chunk costs one row in the shuffle and not a self-join of the postings. Chunks are windows of a bounded number
-    of words, which bounds their entities; above `hot` entities an error says so.
+    A chunk with k entities has k(k-1)/2 pairs, which are the result and not an intermediate; a chunk is one row with its sorted entities, so that the
+    postings do not join themselves. A chunk of more than `block` entities is cut into blocks, each of which meets itself and the ones behind it in a
+    row of its own, spread over the tasks.
     """
     sets = post.groupBy("chunk_id").agg(F.array_sort(F.collect_set("term")).alias("t"))
-    guarded = sets.select(F.when(F.size("t") <= hot, F.col("t")).otherwise(F.raise_error(F.lit("a chunk has too many entities"))).alias("t"))
-    left = guarded.select(F.posexplode("t").alias("i", "a"), "t")
-    pairs = left.select("a", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("b"))
+    few = sets.where(F.size("t").between(2, block)).select(F.col("t").alias("p"), F.col("t").alias("q"), F.lit(True).alias("same"))
+    starts = F.sequence(F.lit(1), F.size("t"), F.lit(block))
+    rows = sets.where(F.size("t") > block).select("t", F.explode(starts).alias("x")).repartition(width(post.sparkSession), F.xxhash64("t"), F.col("x"))
+    meets = F.transform(F.filter(starts, lambda y: y >= F.col("x")), lambda y: F.struct(F.slice("t", y, block).alias("q"), (y == F.col("x")).alias("same")))
+    many = rows.select(F.slice("t", F.col("x"), block).alias("p"), F.explode(meets).alias("m")).select("p", "m.q", "m.same")
+    left = few.union(many).select(F.posexplode("p").alias("i", "a"), "q", "same")
+    pairs = left.select("a", F.explode(F.when(F.col("same"), F.slice("q", F.col("i") + 2, F.size("q"))).otherwise(F.col("q"))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
 
@@ -107,9 +132,10 @@ def associations(edges: DataFrame, top: int = 10, least: int = 3) -> DataFrame:
 
 
 def with_parents(post: DataFrame, hierarchy: dict[str, list[str]]) -> DataFrame:
-    """Postings in which a parent also has the chunks of its children, one level up (broadcast: the hierarchy is a lexicon)."""
-    edges = post.sparkSession.createDataFrame([(p, c) for p, cs in hierarchy.items() for c in cs], "parent string, child string")
-    up = post.join(F.broadcast(edges), F.lower("term") == F.col("child")).select(F.col("parent").alias("term"), "chunk_id", "tf")
+    """Postings in which a parent also has the chunks of its children, one level up; the hierarchy is a lexicon, broadcast up to `SMALL` edges."""
+    rows = [(p, c) for p, cs in hierarchy.items() for c in cs]
+    edges = post.sparkSession.createDataFrame(rows, "parent string, child string")
+    up = post.join(sent(edges, len(rows)), F.lower("term") == F.col("child")).select(F.col("parent").alias("term"), "chunk_id", "tf")
     return post.select("term", "chunk_id", "tf").union(up).groupBy("term", "chunk_id").agg(F.sum("tf").alias("tf"))
 
 

@@ -25,12 +25,18 @@ def ideology(chunks: DataFrame, identities: list[str]) -> DataFrame:
     return best_tier(chunks, F.when(primary & X.any_of(t, identities), 1).when(primary, 2).otherwise(3))
 
 
-def finance_only(chunks: DataFrame, excluded: list[str] = (), finance: list[str] = L.FINANCE_WORDS) -> DataFrame:
-    """Chunks with a word of finance and none of the excluded patterns; all chunks if none is left."""
+def finance_only(chunks: DataFrame, excluded: list[str] = (), finance: list[str] = L.FINANCE_WORDS, capitalised: dict[str, list[str]] | None = None) -> DataFrame:
+    """Chunks with a word of finance and none of the excluded patterns; all chunks if none is left.
+
+    A word of `capitalised` counts with a capital: a text that has it only in lower case is left out unless it has one of the word's contexts. (That a
+    text must not have certain words without one of finance adds nothing, as it must have one of finance anyway.)
+    """
     t = F.col("text")
     keep = X.any_of(t, list(finance))
     for pattern in excluded:
-        keep = keep & ~F.lower(t).rlike(pattern)
+        keep = keep & ~F.lower(t).rlike(X.pinned(pattern))
+    for word, contexts in (capitalised or {}).items():
+        keep = keep & (~t.rlike(X.pinned(rf"\b{word}\b")) | t.rlike(X.pinned(rf"\b{word.capitalize()}\b")) | X.any_of(t, contexts))
     return best_tier(chunks, F.when(keep, 1).otherwise(2))
 
 
@@ -65,11 +71,14 @@ def upper_median(rows: DataFrame, column: str) -> DataFrame:
     return running.where(F.col("upto") > F.floor(total / 2)).agg(F.min(column).alias("median"))
 
 
-def reduce_comma_mentions(chunks: DataFrame, term: str, most: int = 100) -> DataFrame:
-    """Chunks that name the term only in a list of names keep the sentences with it and the one after the first, at most `most` words; adds `reduced`."""
+def reduce_comma_mentions(chunks: DataFrame, term: str, most: int = 100, from_chunks: int = 0) -> DataFrame:
+    """Chunks that name the term only in a list of names keep the sentences with it and the one after the first, at most `most` words; adds `reduced`.
+
+    A set of fewer than `from_chunks` chunks stays as it is.
+    """
     t, low, e = F.col("text"), F.lower("text"), re.escape(term.lower())
     in_list = low.rlike(X.pinned(rf",\s+{e}(?:,|\s+and|\s*$)")) | low.rlike(X.pinned(rf"^{e},\s+"))
-    subject = low.rlike(X.pinned(rf"(?m)^[^.]*\b{e}\b")) | low.rlike(X.pinned(rf"\b{e}\s+(?:was|were|is|are|became|founded|established|merged|acquired)")) | low.rlike(rf"<italic>{e}") | low.rlike(X.pinned(rf"\b{e}\s+(?:family|families|bank|banking|firm|company)"))
+    subject = low.rlike(X.pinned(rf"(?m)^[^.]*\b{e}\b")) | low.rlike(X.pinned(rf"\b{e}\s+(?:{'|'.join(L.SUBJECT_VERBS)})")) | low.rlike(rf"<italic>{e}") | low.rlike(X.pinned(rf"\b{e}\s+(?:{'|'.join(L.SUBJECT_NOUNS)})"))
 
     def has(x: Column) -> Column:
         return F.contains(F.lower(x), F.lit(term.lower()))
@@ -81,6 +90,8 @@ def reduce_comma_mentions(chunks: DataFrame, term: str, most: int = 100) -> Data
 
     short = X.first_words(F.array_join(X.let(X.sentences(t), relevant), " "), most)
     reduce = F.contains(low, F.lit(term.lower())) & in_list & ~subject
+    if from_chunks:
+        reduce = reduce & (chunks.agg(F.count(F.lit(1)).alias("n")).select("n").scalar() >= from_chunks)
     return chunks.withColumn("reduced", F.coalesce(reduce, F.lit(False))).withColumn("text", F.when(F.col("reduced"), short).otherwise(t))
 
 
@@ -188,23 +199,36 @@ def batches(rows: DataFrame, size: int, *order: str, partitions: str | None = No
     return placed(rows, *order).withColumn("batch", F.floor(F.col("place") / size)).drop("place")
 
 
+#: Rows of a range in which `placed` sorts.
+PLACED = 1 << 18
+
+
 def placed(rows: DataFrame, *order: str) -> DataFrame:
-    """Adds `place`, the row's number from 0 in the total order of `order`: position in its bucket plus the rows of the buckets before.
+    """Adds `place`, the row's number from 0 in the total order of `order`: position in its range plus the rows of the ranges before.
 
-    Buckets are ranges of the first order column between its approximate quantiles, a list of at most a few hundred numbers on the driver.
+    Ranges are cut on the whole order, at rows drawn by their hash, about one for `PLACED` rows: however the first order column is distributed, no
+    range grows with the table, and no row reaches the driver. A row finds its range in two steps, among coarse cuts and then among the finer ones
+    behind one of them. Rows of the same order may come in any order.
     """
     from inkwell.runtime import width
 
-    first = order[0]
-    n = min(256, width(rows.sparkSession))
-    cuts = sorted({c for c in (rows.agg(F.percentile_approx(first, [i / n for i in range(1, n)], 1000).alias("q")).first().q or [])}) if n > 1 else []
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + (F.col(first) > F.lit(c)).cast("int")
-    tagged = rows.withColumn("_b", F.coalesce(bucket, F.lit(0)))
-    sizes = tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    # as many rows as buckets
-    before = sizes.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    n = rows.agg(F.count(F.lit(1)).alias("n")).first().n
+    if n <= 4096:
+        return rows.withColumn("place", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
+    ranges = max(width(rows.sparkSession), -(-n // PLACED))
+    # 16 draws a range even out its size; ranges times 16 rows in one sort
+    drawn = rows.select(F.struct(*order).alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(max(1, n // (16 * ranges)))) == 0)
+    tiles = drawn.distinct().withColumn("_t", F.ntile(ranges).over(Window.orderBy("k"))).groupBy("_t").agg(F.min("k").alias("k"))
+    step = max(1, int(ranges**0.5))
+    lists = tiles.groupBy(F.floor((F.col("_t") - 1) / step).alias("_l")).agg(F.array_sort(F.collect_list("k")).alias("fine"))
+    cuts = lists.agg(F.array_sort(F.collect_list(F.struct("_l", "fine"))).alias("c")).select(F.transform("c", lambda x: x.fine).alias("c")).scalar()
+    here = F.struct(*order)
+    # the number of the list that may hold the row, and its place in it; rows before the first cut belong to the first range
+    at = rows.withColumn("_cuts", cuts).withColumn("_l", F.greatest(F.size(F.filter("_cuts", lambda f: F.get(f, F.lit(0)) <= here)) - 1, F.lit(0)))
+    tagged = at.withColumn("_b", F.struct("_l", F.size(F.filter(F.get("_cuts", F.col("_l")), lambda k: k <= here)).alias("i"))).drop("_l", "_cuts")
+    counts = tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    # as many rows as ranges
+    before = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
     return tagged.join(F.broadcast(before), "_b").withColumn("place", F.col("_before") + inside).drop("_b", "_before")
 
@@ -236,6 +260,26 @@ def context(chunks: DataFrame, kind: str = "passages", *scope: str) -> DataFrame
     return grouped.select(*scope, F.size("i").alias("n"), shapes[kind].alias("context"))
 
 
+def contexts(chunks: DataFrame, kind: str, grp: str, size: int | None = None, by_year: bool = False) -> DataFrame:
+    """(grp, batch, n, context): the chunks (chunk_id, ord, filename, text) of each group as texts of at most `size` chunks (what fits a request), in order,
+    or by their first year. With `passages` the first text of a group tells how many there are in all; later ones go on without it.
+
+    The places of the chunks come from `placed`, so that no task sees a whole group.
+    """
+    rows = chunks.withColumn("_y", F.coalesce(X.first_year(F.col("text")), F.lit(1_000_000_000))) if by_year else chunks.withColumn("_y", F.lit(0))
+    sizes = rows.groupBy(grp).agg(F.count(F.lit(1)).alias("_all"), F.min("_y").alias("_first"))
+    numbered = placed(rows, grp, "_y", "ord", "chunk_id")
+    # as many rows as groups: regions, periods, or one
+    starts = numbered.groupBy(grp).agg(F.min("place").alias("_start"))
+    joined = numbered.join(F.broadcast(starts), grp).withColumn("batch", F.floor((F.col("place") - F.col("_start")) / (size or token_batch_size())))
+    made = context(joined.withColumn("ord", F.struct("_y", "ord", "chunk_id")), kind, grp, "batch")
+    if kind == "passages":
+        made = made.join(F.broadcast(sizes.select(grp, "_all")), grp)
+        body = F.regexp_replace("context", r"^Found \d+ relevant passages:\n\n", "")
+        made = made.withColumn("context", F.when(F.col("batch") == 0, F.concat(F.lit("Found "), F.col("_all").cast("string"), F.lit(" relevant passages:\n\n"), body)).otherwise(body))
+    return made.select(grp, "batch", "n", "context")
+
+
 def year_span(chunks: DataFrame) -> DataFrame:
     """(first_year, last_year, span) over all years of the set; nulls where there is none."""
     rows = chunks.select(X.years(F.col("text")).alias("y"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
@@ -10,9 +10,19 @@ from inkwell.functions import text as X
 NO_CHUNKS = "chunk_id string"
 
 
+def key_of(post: DataFrame) -> Column:
+    """The lower-cased term: a stored index has it as a column, by which it is sorted, so that a filter on it prunes files and row groups."""
+    return F.col("term_key") if "term_key" in post.columns else F.lower("term")
+
+
 def of_terms(post: DataFrame, terms: list[str]) -> DataFrame:
-    """Postings of the terms, matched without regard to case: the filter reaches the scan of a stored index."""
-    return post.where(F.lower("term").isin([t.lower() for t in terms]))
+    """Postings of the terms, matched without regard to case."""
+    return post.where(key_of(post).isin(sorted({t.lower() for t in terms})))
+
+
+def present(post: DataFrame, terms: list[str]) -> set[str]:
+    """Which of the terms are indexed, in lower case; as many rows as a question has spellings."""
+    return {r[0] for r in of_terms(post, terms).select(key_of(post).alias("k")).distinct().collect()}
 
 
 def union(post: DataFrame, terms: list[str]) -> DataFrame:
@@ -20,16 +30,22 @@ def union(post: DataFrame, terms: list[str]) -> DataFrame:
     return of_terms(post, terms).select("chunk_id").distinct()
 
 
+def served(post: DataFrame, groups: list[list[str]]) -> DataFrame:
+    """(chunk_id, g): the groups of terms that each chunk serves, by number, each once."""
+    wanted = [sorted({t.lower() for t in g}) for g in groups]
+    if not wanted:
+        return post.select("chunk_id", F.lit(0).alias("g")).limit(0)
+    key = key_of(post)
+    numbers = F.array_compact(F.array(*[F.when(key.isin(g), F.lit(i)) for i, g in enumerate(wanted)]))
+    return of_terms(post, [t for g in wanted for t in g]).select("chunk_id", F.explode(numbers).alias("g")).distinct()
+
+
 def intersection(post: DataFrame, groups: list[list[str]]) -> DataFrame:
     """(chunk_id) of chunks with a term of every group: any within a group, all across groups. No groups give no chunks.
 
     One pass: each posting is tagged with the groups it serves, and a chunk must serve all of them.
     """
-    wanted = [[t.lower() for t in g] for g in groups]
-    rows = of_terms(post, [t for g in wanted for t in g])
-    served = F.array_compact(F.array(*[F.when(F.lower("term").isin(g), F.lit(i)) for i, g in enumerate(wanted)])) if wanted else F.array().cast("array<int>")
-    tagged = rows.select("chunk_id", F.explode(served).alias("g"))
-    return tagged.groupBy("chunk_id").agg(F.count_distinct("g").alias("n")).where(F.col("n") == len(wanted)).select("chunk_id")
+    return served(post, groups).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(groups)).select("chunk_id")
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -39,7 +55,7 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def overlap(post: DataFrame, first: list[str], second: list[str]) -> DataFrame:
     """(first, second, both): sizes of two unions of posting lists and of their intersection."""
-    a, b = (F.max(F.lower("term").isin([t.lower() for t in ts]).cast("int")) for ts in (first, second))
+    a, b = (F.max(key_of(post).isin([t.lower() for t in ts]).cast("int")) for ts in (first, second))
     marked = of_terms(post, first + second).groupBy("chunk_id").agg(a.alias("a"), b.alias("b"))
     return marked.agg(F.count_if(F.col("a") == 1).alias("first"), F.count_if(F.col("b") == 1).alias("second"), F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("both"))
 
@@ -59,14 +75,35 @@ def lookup(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     return chunks.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
 
 
-def search(post: DataFrame, chunks: DataFrame, term: str, most: int | None = None, order: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
-    """Chunks of one term, canonical and without regard to case, in a fixed order; `most` limits them."""
+def searched(term: str) -> str:
+    """A term as it is looked up: without a possessive ending and apostrophes."""
     key = term.strip()
-    wanted = key[:-2] if key.lower().endswith(("'s", "’s")) else key
-    found = lookup(chunks, union(post, [wanted.replace("'", "")])).orderBy(*order)
+    return (key[:-2] if key.lower().endswith(("'s", "’s")) else key).replace("'", "")
+
+
+def search(post: DataFrame, chunks: DataFrame, term: str, most: int | None = None, order: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    """Chunks of one term, canonical and without regard to case, in a fixed order; `most` limits them.
+
+    Where the postings have the order columns, as those of a stored index do, the first `most` ids are read from the postings alone and the chunks
+    are fetched by id: two pruned scans, whatever the size of the store.
+    """
+    if most is not None and set(order) <= set(post.columns):
+        # an id without a place has no chunk
+        first = of_terms(post, [searched(term)]).select(*dict.fromkeys(["chunk_id", *order])).dropna(subset=list(order)).distinct().orderBy(*order).limit(most)
+        # at most `most` ids
+        ids = [r.chunk_id for r in first.collect()]
+        return chunks.where(F.col("chunk_id").isin(ids)).orderBy(*order)
+    found = lookup(chunks, union(post, [searched(term)])).orderBy(*order)
     return found.limit(most) if most is not None else found
 
 
+def with_crises(ids: DataFrame, post: DataFrame, subjects: list[str], crisis: list[str], most: int = 20) -> DataFrame:
+    """The ids and, if there are any, the first `most` chunks that have both a term of crisis and one of the subjects."""
+    n = ids.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    extra = intersection(post, [subjects, crisis]).orderBy("chunk_id").limit(most) if subjects else ids.select("chunk_id").limit(0)
+    return ids.select("chunk_id").union(extra.where(n > 0)).distinct()
+
+
 def augmented_crisis(ids: DataFrame, post: DataFrame, chunks: DataFrame, subjects: list[str], crisis: list[str], most: int = 20) -> DataFrame:
     """The ids and up to `most` chunks of the subjects that speak of a crisis."""
     extra = lookup(chunks, union(post, subjects)).where(X.any_of(F.col("text"), crisis)).select("chunk_id")
@@ -109,7 +146,7 @@ def expanded_search(post: DataFrame, terms: list[str], changes: DataFrame, links
     low = [t.lower() for t in terms]
     renamed = changes.where(F.lower("old_name").isin(low)).select(F.lower("new_name").alias("t")).union(changes.where(F.lower("new_name").isin(low)).select(F.lower("old_name").alias("t")))
     near = links.where(F.lower("entity").isin(low) & (F.col("rank") <= top)).select(F.lower("other").alias("t"))
-    more = post.withColumn("t", F.lower("term")).join(renamed.union(near).distinct(), "t", "left_semi").select("chunk_id")
+    more = post.withColumn("t", key_of(post)).join(renamed.union(near).distinct(), "t", "left_semi").select("chunk_id")
     return union(post, terms).union(more).distinct()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from inkwell import lexicons as L
@@ -48,6 +49,25 @@ def expanded(text: str, acronyms: dict[str, str] = L.ACRONYMS) -> str:
     return text
 
 
+def short_law_tokens(question: str) -> list[list[str]]:
+    """For each law code with a two-digit year the spellings of the postings of both centuries it may mean: BA33 is BA1833 or BA1933."""
+    prefixes = "|".join(sorted(L.LAW_PREFIXES, key=lambda p: (-len(p), p)))
+    found = dict.fromkeys((p.upper(), y) for p, y in re.findall(rf"\b({prefixes})_?(\d{{2}})\b", question, re.I))
+    return [[x for century in ("18", "19") for x in law_tokens(f"{p}{century}{y}")[0]] for p, y in found]
+
+
+def acronyms(question: str) -> list[str]:
+    """Words of two letters or more in capitals, each once; a single capital is a pronoun or an initial, and letters before a year are a law code's."""
+    return list(dict.fromkeys(re.findall(r"(?<!\w)[A-Z]{2,}(?!\w)", question)))
+
+
+def primary_term(question: str) -> str | None:
+    """The word that a question is mostly about: the first of what follows `tell me about`, else its first meaningful word."""
+    low = question.lower().strip()
+    words = low.split("tell me about", 1)[1].split() if "tell me about" in low else [w for w in low.split() if w not in L.STOP_WORDS and len(w) > 2]
+    return words[0].strip("?.!,") or None if words else None
+
+
 def subject(question: str) -> str:
     """What the question is about: after `tell me about`, `what is`, `who was`, `explain`, `describe`, else all of it, without final marks."""
     q = question.strip().rstrip("?.!").strip()
@@ -125,44 +145,74 @@ def is_firm(question: str) -> bool:
     return "national bank" in low or " nb of " in low or low.endswith(" nb")
 
 
-ROUTES = ("market", "control", "ideology", "region", "period", "single")
+@dataclass(frozen=True)
+class Strategy:
+    """A way to group chunks for the answer, taken for the questions, numbers of chunks and identities that `fits` accepts."""
+
+    name: str
+    fits: Callable[[str, int, list[str]], bool]
+    #: How chunks are grouped: all together, or by region or period; by year first; limited to so many, or so many a decade.
+    by: str = "all"
+    chronological: bool = False
+    most: int | None = None
+    per_decade: int | None = None
+
+
+#: The strategies in the order in which they are tried; put your own before them, or in their place.
+STRATEGIES = [
+    Strategy("market", lambda q, n, ids: is_market(q), "region", chronological=True),
+    Strategy("control", lambda q, n, ids: is_control(q, ids), most=5),
+    Strategy("ideology", lambda q, n, ids: is_ideology(q), chronological=True, per_decade=5, most=60),
+    Strategy("sec", lambda q, n, ids: "SEC" in tokens(q)),
+    Strategy("region", lambda q, n, ids: n > 100 and is_event(q), "region"),
+    Strategy("period", lambda q, n, ids: n > 20, "period"),
+    Strategy("single", lambda q, n, ids: True),
+]
+
+
+def strategy(question: str, n_chunks: int, identities: list[str], among: list[Strategy] = STRATEGIES) -> Strategy:
+    """How the chunks are grouped for the answer: by the kind of question, then by their number (over 100, over 20, fewer)."""
+    return next(s for s in among if s.fits(question, n_chunks, identities))
 
 
 def route(question: str, n_chunks: int, identities: list[str]) -> str:
-    """How the chunks are grouped for the answer: by kind of question, then by their number (over 100, over 30, up to 20, between)."""
-    if is_market(question):
-        return "market"
-    if is_control(question, identities):
-        return "control"
-    if is_ideology(question):
-        return "ideology"
-    if n_chunks > 100:
-        return "region" if is_event(question) else "period"
-    return "single" if n_chunks <= 20 else "period"
+    return strategy(question, n_chunks, identities).name
 
 
 @dataclass
 class Plan:
     question: str
-    #: Groups of spellings: any within a group, all across groups.
+    #: Groups of spellings: any within a group, all across the groups that are indexed.
     groups: list[list[str]] = field(default_factory=list)
     #: Phrases that, where indexed, decide alone.
     phrases: list[str] = field(default_factory=list)
+    #: Of these the ones that mean another firm than the question does.
+    mistaken: list[str] = field(default_factory=list)
     keywords: list[str] = field(default_factory=list)
+    #: What the subject is called, for augmentation.
+    subjects: list[str] = field(default_factory=list)
     firm: bool = False
+    control: bool = False
 
 
-def plan(question: str, flat: bool = False) -> Plan:
-    """Anchors of a question: its acronyms if it has any, else its keywords; law codes besides.
+def plan(question: str, flat: bool = False, identities: list[str] = (), hierarchy: dict[str, list[str]] | None = None) -> Plan:
+    """Anchors of a question: its acronyms and law codes if it has any, else its keywords without the generic ones.
 
-    `flat` makes every spelling a group of its own, so that spellings narrow each other instead of widening the net.
+    `flat` makes every spelling a group of its own, so that spellings narrow each other instead of widening the net. A `hierarchy` (parent: children)
+    widens a keyword by its children where the question has more than two meaningful words or an acronym.
     """
-    words = tokens(question)
-    acronyms = [t for t in words if t.isupper() and t in L.ACRONYMS]
-    keys = keywords(question)
-    groups = [[a] for a in dict.fromkeys(acronyms)] or [variants(k) for k in keys]
-    groups += law_tokens(question)
+    caps, keys = acronyms(question), keywords(question)
+    meaningful = subject_terms(question)
+    wide = hierarchy if hierarchy and (len(meaningful) > 2 or caps) else {}
+    laws = law_tokens(question) + short_law_tokens(question)
+    named = [list(dict.fromkeys(v for t in [k, *wide.get(k, [])] for v in variants(t))) for k in meaningful]
+    groups = [[a] for a in caps] + laws or named
     if flat:
         groups = [[v] for g in groups for v in g]
-    phrases = [f for w in windows(question) for f in bank_forms(w)]
-    return Plan(question, groups, list(dict.fromkeys(phrases)), keys, is_firm(question))
+    about = canonical(subject(question))
+    whole = [about] if " " in about and about.lower() not in {i.lower() for i in identities} else []
+    phrases = list(dict.fromkeys(f for w in [*whole, *windows(question)] for f in bank_forms(w)))
+    national = "national" in question.lower()
+    mistaken = [p for p in phrases if national and "first boston" in p.lower() and "national" not in p.lower()]
+    subjects = caps or [v for k in meaningful for v in variants(k)]
+    return Plan(question, groups, phrases, mistaken, keys, subjects, is_firm(question), is_control(question, list(identities)))

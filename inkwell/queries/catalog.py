@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from inkwell.plans.engine import Engine
-from inkwell.queries import hot, indexes, results, texts
+from inkwell.queries import engines, hot, indexes, results, texts
 from inkwell.runtime import table
 
-MODULES = [texts, indexes, results, hot]
+MODULES = [texts, indexes, results, engines, hot]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from inkwell import lexicons as L
 from inkwell.operators import extract, folds, index, retrieve
+from inkwell.plans.engine import Engine
 from inkwell.queries import sql as Q
-from inkwell.queries.texts import GROUPS
+from inkwell.queries.texts import GROUPS, middle
 from inkwell.runtime import table
 from inkwell.sources import readers
 
@@ -210,10 +211,7 @@ def name_change_edges(spark, folder):
 
 
 def engine_stats(spark, folder):
-    post = _post(spark, folder)
-    chunks = table(spark, folder, "chunks").agg(F.count_distinct("chunk_id").alias("n")).select("n").scalar()
-    links = index.cooccurrence(post).agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    return post.agg(F.count_distinct("term").alias("indexed_terms")).select(chunks.alias("total_chunks"), "indexed_terms", links.alias("entity_associations"))
+    return Engine(table(spark, folder, "chunks"), _post(spark, folder)).stats()
 
 
 def endnotes_search(spark, folder):
@@ -224,13 +222,18 @@ def endnotes_of_chunks(spark, folder):
     docs = table(spark, folder, "documents")
     notes = folds.endnotes_of(docs)
     links = notes.join(_chunks(spark, folder).select("chunk_id", "doc_id"), "doc_id").select("chunk_id", "endnote_id")
-    ids = retrieve.union(_post(spark, folder), ["panic of 1797"]).orderBy("chunk_id").limit(9)
+    post = _post(spark, folder)
+    # the first term by name that has five to nine chunks, some with endnotes
+    noted = post.join(links.select("chunk_id").distinct(), "chunk_id", "left_semi").select("term").distinct()
+    few = post.groupBy("term").agg(F.count_distinct("chunk_id").alias("n")).where("n BETWEEN 5 AND 9").join(noted, "term", "left_semi").agg(F.min("term").alias("term"))
+    ids = post.join(few, "term", "left_semi").select("chunk_id").distinct()
     return retrieve.with_endnotes(ids, links, notes.select("endnote_id", "text").distinct())
 
 
 def stale_files(spark, folder):
-    d = table(spark, folder, "documents").select("filename", "mtime").where("filename IS NOT NULL AND mtime IS NOT NULL").distinct()
-    return readers.stale(d, d.where("cast(mtime AS bigint) % 2 = 0"))
+    """Files against the cache of what was ingested in the first half of the time."""
+    d = table(spark, folder, "documents").where("filename IS NOT NULL AND mtime IS NOT NULL")
+    return readers.stale(d.select("filename", "mtime").distinct(), d.where(F.col("ingested_at") < middle(d, "ingested_at")))
 
 
 _NAMES = ["postings_terms", "frequent_terms", "meaningful_terms", "linkable_terms", "posting_lists", "posting_duplicates", "term_group_merge", "cooccurrence_edges", "assoc_topk", "hierarchy_parents", "hierarchy_children",
@@ -302,6 +305,6 @@ ORACLES = {
     "name_change_edges": "WITH e AS (SELECT lower(unnest(map_keys(name_changes))) AS old_name, unnest(map_values(name_changes)) AS ns FROM indices), n AS (SELECT old_name, lower(unnest(ns)) AS new_name FROM e) SELECT DISTINCT old_name, new_name FROM n WHERE new_name IS NOT NULL",
     "engine_stats": _P + _EDGES + "SELECT (SELECT count(DISTINCT chunk_id) FROM chunks) AS total_chunks, count(DISTINCT term) AS indexed_terms, (SELECT count(*) FROM g) AS entity_associations FROM post",
     "endnotes_search": "SELECT * FROM (SELECT doc_id, unnest(map_keys(endnotes)) AS endnote_id, unnest(map_values(endnotes)) AS text FROM documents) WHERE contains(lower(text), 'letters') ORDER BY endnote_id LIMIT 20",
-    "endnotes_of_chunks": _P + _C + f", n AS (SELECT doc_id, unnest(map_keys(endnotes)) AS endnote_id, unnest(map_values(endnotes)) AS text FROM documents), i AS (SELECT chunk_id FROM {_u('panic of 1797')} ORDER BY chunk_id LIMIT 9) SELECT c.chunk_id, n.endnote_id, n.text FROM i JOIN c USING (chunk_id) JOIN n USING (doc_id)",
-    "stale_files": "SELECT DISTINCT filename, mtime FROM documents WHERE filename IS NOT NULL AND mtime IS NOT NULL AND CAST(trunc(mtime) AS BIGINT) % 2 <> 0",
+    "endnotes_of_chunks": _P + _C + f", n AS (SELECT doc_id, unnest(map_keys(endnotes)) AS endnote_id, unnest(map_values(endnotes)) AS text FROM documents), i AS (SELECT DISTINCT chunk_id FROM post WHERE term = (SELECT min(term) FROM (SELECT term FROM post GROUP BY term HAVING count(DISTINCT chunk_id) BETWEEN 5 AND 9) WHERE term IN (SELECT term FROM post JOIN c USING (chunk_id) JOIN n USING (doc_id)))) SELECT c.chunk_id, n.endnote_id, n.text FROM i JOIN c USING (chunk_id) JOIN n USING (doc_id)",
+    "stale_files": "WITH d AS (SELECT filename, mtime, ingested_at FROM documents WHERE filename IS NOT NULL AND mtime IS NOT NULL), m AS (SELECT min(ingested_at) + (max(ingested_at) - min(ingested_at)) / 2 AS m FROM d) SELECT DISTINCT filename, mtime FROM d WHERE (filename, mtime) NOT IN (SELECT (filename, mtime) FROM d, m WHERE ingested_at < m)",
 }

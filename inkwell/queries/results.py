@@ -9,12 +9,13 @@ from inkwell.operators import chunking
 from inkwell.plans import engine, question
 from inkwell.queries import sql as Q
 from inkwell.queries.indexes import _C, _P, FIRST, THIRD, _chunks, _post, _u
-from inkwell.runtime import table
+from inkwell.runtime import fresh, spread, table
 from inkwell.sources import readers
 from inkwell.streaming import rates
 
 #: Words of the test collection that stand for subjects, identities and patterns.
 SUBJECTS = ["panic of 1907", "port ellery"]
+IDENTITIES = ["quaker", "parsi", "families", "house of"]
 REGIONS = [("Harbour", r"\b(port ellery|quay court|vessel row)\b"), ("Town", r"\b(bank of aldermoor|aldermoor exchange)\b")]
 
 
@@ -23,7 +24,7 @@ def ideology_filter(spark, folder):
 
 
 def finance_filter(spark, folder):
-    return postprocess.finance_only(_chunks(spark, folder), [r"\bport ellery\b"]).select("chunk_id")
+    return postprocess.finance_only(_chunks(spark, folder), [r"\bport ellery\b"], capitalised={"vessel": ["vessel row"]}).select("chunk_id")
 
 
 def tiered_filter_fallback(spark, folder):
@@ -41,7 +42,7 @@ def comma_mentions(spark, folder):
 
 
 def sentence_first_occurrence(spark, folder):
-    chunks = chunking.chunk(table(spark, folder, "documents")).select("chunk_id", F.struct("doc_id", "pos").alias("ord"), "text")
+    chunks = chunking.chunk(spread(table(spark, folder, "documents"))).select("chunk_id", F.struct("doc_id", "pos").alias("ord"), "text")
     return postprocess.first_sentences(chunks).select("chunk_id", "sent", "sentence")
 
 
@@ -141,12 +142,16 @@ def adjacent_metric(spark, folder):
     return after.select("chunk_id", (F.size(F.array_intersect("s", "t")) / F.greatest(F.size("s"), F.size("t"))).alias("share"))
 
 
+def pair_merges(spark, folder):
+    return folds.pair_merges(_chunks(spark, folder).where("doc_id IS NOT NULL").withColumnRenamed("ord", "pos"))
+
+
 def merged_postings(spark, folder):
     return folds.rewrite_ids(_post(spark, folder), adjacent_merge(spark, folder)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 def packed_texts(spark, folder):
-    return folds.packed(table(spark, folder, "documents"), 1000).select("doc_id", "piece", "n_words")
+    return folds.packed(spread(table(spark, folder, "documents")), 1000).select("doc_id", "piece", "n_words", F.md5("text").alias("text_md5"))
 
 
 def _answers(spark, folder):
@@ -178,11 +183,15 @@ def review_panics(spark, folder):
 
 def answer_flags(spark, folder):
     a = F.col("answer")
-    return _answers(spark, folder).select("answer_id", review.needs_grounding(a).alias("needs_grounding"), review.too_long(a).alias("too_long"), X.has_related_questions(a).alias("has_questions"), X.sentence_count(a).alias("n_sentences"))
+    answers = _answers(spark, folder).join(review.source_years(_sources(spark, folder)), "answer_id", "left")
+    return answers.select(
+        "answer_id", review.needs_grounding(a).alias("needs_grounding"), review.too_long(a).alias("too_long"), X.has_related_questions(a).alias("has_questions"), X.sentence_count(a).alias("n_sentences"),
+        review.stops_early(a, F.col("last_year")).alias("stops_early"),
+    )
 
 
 def paragraph_enforce(spark, folder):
-    return engine.limited(_answers(spark, folder)).select("answer_id", "answer")
+    return engine.limited(_answers(spark, folder)).select("answer_id", F.md5("answer").alias("answer_md5"))
 
 
 def repaired_answers(spark, folder):
@@ -207,24 +216,10 @@ def question_intents(spark, folder):
     t = F.col("question")
     kinds = {"event": L.EVENT_WORDS, "control": L.CONTROL_WORDS, "market": L.MARKET_WORDS, "ideology": L.IDEOLOGY_WORDS}
     q = table(spark, folder, "queryrequest").where(t.isNotNull())
-    marked = q.select(*[(X.any_of(t, w) | (t.rlike(X.pinned(L.YEAR)) if k == "event" else F.lit(False))).alias(k) for k, w in kinds.items()])
-    return marked.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n"))
-
-
-def engine_retrieve(spark, folder):
-    e = engine.Engine(_chunks(spark, folder), _post(spark, folder), ["quaker", "parsi"])
-    return e.retrieve("Tell me about Punvifonard and Nanraubaboth")
-
-
-def engine_ask(spark, folder):
-    e = engine.Engine(_chunks(spark, folder).withColumn("filename", F.lit("archive")), _post(spark, folder), ["quaker", "parsi"])
-    return e.ask("What happened at Quay Court in the panic of 1907?").select("grp", "n", F.length("context").alias("chars"))
-
-
-def build_index(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "filename", "text")
-    built = engine.Engine.build(docs, L.SAMPLE_GROUPS)
-    return index.terms(built.postings)
+    flags = {k: X.any_of(t, w) | (t.rlike(X.pinned(L.YEAR)) if k == "event" else F.lit(False)) for k, w in kinds.items()}
+    flags["identity"] = X.any_of(t, IDENTITIES)
+    flags["control"] = flags["control"] & flags["identity"]
+    return q.select(*[c.alias(k) for k, c in flags.items()]).groupBy(*flags).agg(F.count(F.lit(1)).alias("n"))
 
 
 def detection_responses(spark, folder):
@@ -269,30 +264,26 @@ def content_hash_dedup(spark, folder):
 
 
 def stream_rate(spark, folder):
-    """The events as a stream, counted by hour; all of it is read and the result is a table."""
+    """The events as a stream, counted by hour; all of it is read, and what each batch changes goes to a table in the shared folder."""
     import os
-    import shutil
-    import uuid
-
-    from inkwell.runtime import shared_dir
 
     source = os.path.join(folder, "events.parquet")
     schema = spark.read.parquet(source).schema
-    name, at = f"hours_{uuid.uuid4().hex}", f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    at = fresh(spark, "stream")
     glob = source if os.path.isdir(source) else folder
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if os.path.isdir(source) else "events.parquet").parquet(glob)
     counted = rates.hourly(stream, "event_type", "ts")
-    query = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start()
-    query.awaitTermination()
-    if at.startswith("file:"):
-        shutil.rmtree(at.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
-    return spark.table(name)
+    sink = counted.writeStream.outputMode("update").foreachBatch(lambda rows, batch: rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{at}/rows/of={batch}"))
+    sink.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{counted._jdf.schema().toDDL()}, batch bigint").parquet(f"{at}/rows")
+    # a window's count in its last batch is its count
+    return rows.groupBy("event_type", "start").agg(F.max_by("n", "batch").alias("n"))
 
 
 _NAMES = ["ideology_filter", "finance_filter", "tiered_filter_fallback", "subject_tiers", "comma_mentions", "sentence_first_occurrence", "deduplicated_chunks", "per_term_dedup_text", "per_term_passages", "year_sort", "decade_stratify",
           "region_classify", "region_default", "period_classify", "period_sample", "batch_assign", "region_batches", "token_estimate", "year_span", "late_era", "crisis_present", "upper_median_year", "related_terms", "prompt_context",
-          "passage_context", "adjacent_merge", "adjacent_metric", "merged_postings", "packed_texts", "review_paragraphs", "review_chronology", "review_history", "review_panics", "answer_flags", "paragraph_enforce", "repaired_answers", "prepared_text", "vector_topk",
-          "vector_topk_each", "question_intents", "engine_retrieve", "engine_ask", "build_index", "detection_responses", "rate_window", "token_budget_window", "rate_admission", "hourly_rate", "session_runs", "recent_traces",
+          "passage_context", "adjacent_merge", "adjacent_metric", "pair_merges", "merged_postings", "packed_texts", "review_paragraphs", "review_chronology", "review_history", "review_panics", "answer_flags", "paragraph_enforce", "repaired_answers", "prepared_text", "vector_topk",
+          "vector_topk_each", "question_intents", "detection_responses", "rate_window", "token_budget_window", "rate_admission", "hourly_rate", "session_runs", "recent_traces",
           "job_states", "content_hash_dedup", "stream_rate"]
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -319,7 +310,7 @@ _H = _A + _C + f", sy AS (SELECT a.answer_id, min(list_min({Q.years('c.text')}))
 
 ORACLES = {
     "ideology_filter": _K + f", t AS (SELECT chunk_id, CASE WHEN p AND {_any('text', ['quaker', 'parsi'])} THEN 1 WHEN p THEN 2 ELSE 3 END AS t FROM (SELECT *, {_any('text', L.IDEOLOGY_WORDS)} AND ({_any('text', L.IDEOLOGY_FINANCE)} OR {_any('text', L.IDEOLOGY_TRANSITION)} OR {_any('text', L.IDEOLOGY_CRISIS)}) AS p FROM c)) SELECT chunk_id FROM t WHERE t = (SELECT min(t) FROM t)",
-    "finance_filter": _K + f", t AS (SELECT chunk_id, CASE WHEN {_any('text', L.FINANCE_WORDS)} AND NOT {Q.has('lower(text)', 'port ellery')} THEN 1 ELSE 2 END AS t FROM c) SELECT chunk_id FROM t WHERE t = (SELECT min(t) FROM t)",
+    "finance_filter": _K + f", t AS (SELECT chunk_id, CASE WHEN {_any('text', L.FINANCE_WORDS)} AND NOT {Q.has('lower(text)', 'port ellery')} AND (NOT {Q.has('text', 'vessel')} OR {Q.has('text', 'Vessel')} OR contains(lower(text), 'vessel row')) THEN 1 ELSE 2 END AS t FROM c) SELECT chunk_id FROM t WHERE t = (SELECT min(t) FROM t)",
     "tiered_filter_fallback": _K + ", t AS (SELECT chunk_id, CASE WHEN contains(lower(text), 'no such words') THEN 1 WHEN contains(lower(text), 'sinking funds') THEN 2 ELSE 3 END AS t FROM c) SELECT chunk_id FROM t WHERE t = (SELECT min(t) FROM t)",
     "subject_tiers": _K + f", y AS (SELECT *, {Q.years('text')} AS y FROM c), ys AS (SELECT unnest(y) AS v FROM y), md AS (SELECT v AS m FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM ys) WHERE i = (SELECT count(*) // 2 FROM ys)), t AS (SELECT chunk_id, ord, CASE WHEN contains(lower(text), 'panic of 1907') AND contains(lower(text), 'port ellery') THEN 1 WHEN contains(lower(text), 'panic of 1907') THEN 2 WHEN contains(lower(text), 'port ellery') THEN 3 WHEN coalesce(list_max(y), 0) > (SELECT m FROM md) + 10 THEN 4 END AS tier FROM y), r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY ord) AS n FROM t) SELECT chunk_id, tier FROM r WHERE tier < 4 OR (tier = 4 AND n <= 20)",
     "sentence_first_occurrence": _DOCS + f", r AS (SELECT *, row_number() OVER (PARTITION BY lower({Q.strip('sentence')}) ORDER BY doc_id, pos, sent) AS n FROM s WHERE {Q.strip('sentence')} <> '') SELECT chunk_id, sent, sentence FROM r WHERE n = 1",
@@ -349,7 +340,7 @@ j AS (SELECT *, CASE WHEN NOT known OR c1 IS NULL THEN [] WHEN a1 IS NULL THEN [
 SELECT answer_id, 'full_history' AS criterion, len(s) = 0 AS passed, CASE WHEN len(s) = 0 THEN 1.0 WHEN a1 IS NULL THEN 0.0 WHEN gap > 0 THEN greatest(0.0, 1.0 - gap / 100.0) ELSE 0.8 END AS score, CASE WHEN NOT known THEN 'No chunks provided for comparison' WHEN c1 IS NULL THEN 'No years found in chunks' WHEN a1 IS NULL THEN 'Answer has no years, but chunks span ' || c1 || '-' || c2 WHEN len(s) = 0 THEN 'Full coverage: answer spans ' || a1 || '-' || a2 || ', chunks span ' || c1 || '-' || c2 ELSE 'Incomplete coverage: answer ' || a1 || '-' || a2 || ', chunks ' || c1 || '-' || c2 || ' (gap: ' || gap || ' years)' END AS details, array_to_string(s, '|') AS issues FROM j""",
     "vector_topk": "SELECT vec_id FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)) DESC, vec_id LIMIT 10",
     "vector_topk_each": "WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM p QUALIFY rank <= 10",
-    "question_intents": f"SELECT {_any('question', L.EVENT_WORDS)} OR {Q.has('question', Q.YEARS)} AS event, {_any('question', L.CONTROL_WORDS)} AS control, {_any('question', L.MARKET_WORDS)} AS market, {_any('question', L.IDEOLOGY_WORDS)} AS ideology, count(*) AS n FROM queryrequest WHERE question IS NOT NULL GROUP BY ALL",
+    "question_intents": f"SELECT {_any('question', L.EVENT_WORDS)} OR {Q.has('question', Q.YEARS)} AS event, {_any('question', IDENTITIES)} AS identity, {_any('question', L.CONTROL_WORDS)} AND {_any('question', IDENTITIES)} AS control, {_any('question', L.MARKET_WORDS)} AS market, {_any('question', L.IDEOLOGY_WORDS)} AS ideology, count(*) AS n FROM queryrequest WHERE question IS NOT NULL GROUP BY ALL",
     "detection_responses": Q.DETECTIONS + "SELECT DISTINCT CAST(run_id AS VARCHAR) AS custom_id, identity, surname FROM d",
     "rate_window": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS recent FROM events",
     "token_budget_window": "WITH e AS (SELECT DISTINCT request_id, client_id, max_length, received_at FROM queryrequest WHERE client_id IS NOT NULL AND max_length IS NOT NULL), u AS (SELECT request_id, CAST(sum(max_length) OVER (PARTITION BY client_id ORDER BY epoch_us(received_at) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS used FROM e) SELECT request_id, used, round(CASE WHEN used - 18000 > 0 THEN (used - 18000) / 20000 * 86400 ELSE 0.0 END, 4) AS wait FROM u",
@@ -360,3 +351,64 @@ SELECT answer_id, 'full_history' AS criterion, len(s) = 0 AS passed, CASE WHEN l
     "stream_rate": "SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL",
     "session_runs": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k",
 }
+
+#: b: the blocks of each answer (answer_id, i, p) without headers, in order.
+_BLOCKS = _A + f", p AS (SELECT answer_id, {_PARAS} AS ps FROM a), q AS (SELECT answer_id, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p FROM p), b AS (SELECT * FROM q WHERE NOT (p LIKE '**%' AND NOT contains(p, chr(10))))"
+#: f: each chunk with the head of its merged chunk, by a fold over the chunks of a document.
+_FOLD = _K.replace("WITH c AS", "WITH RECURSIVE c AS", 1) + f""", o AS (SELECT doc_id, chunk_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY ord, chunk_id) AS i FROM c WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+f AS (SELECT doc_id, i, chunk_id, chunk_id AS head, 1 AS n, text FROM o WHERE i = 1 UNION ALL
+SELECT doc_id, i + 1, id, CASE WHEN m THEN head ELSE id END, CASE WHEN m THEN n + 1 ELSE 1 END, CASE WHEN m THEN merged ELSE t END FROM (
+SELECT f.*, o.chunk_id AS id, o.text AS t, n < 3 AND len(list_intersect(x, y)) >= 0.5 * greatest(len(x), len(y)) AND NOT (len(v) >= 100 AND len(w) >= 100 AND v[len(v) - 99 :] = w[1:100]) AS m,
+array_to_string(list_concat(u, list_filter(z, lambda s: NOT list_contains(x, lower(s)))), ' ') AS merged
+FROM (SELECT f.*, {Q.sentences('f.text')} AS u, list_distinct(list_transform({Q.sentences('f.text')}, lambda s: lower(s))) AS x, {Q.words('f.text')} AS v FROM f) f
+JOIN (SELECT *, {Q.sentences('text')} AS z, list_distinct(list_transform({Q.sentences('text')}, lambda s: lower(s))) AS y, {Q.words('text')} AS w FROM o) o ON o.doc_id = f.doc_id AND o.i = f.i + 1))
+"""
+_E = "sealed memoranda"
+_LIST = f"(regexp_matches(low, ',{Q.S}+{_E}(?:,|{Q.S}+and|{Q.S}*$)') OR regexp_matches(low, '^{_E},{Q.S}+'))"
+_MAIN = f"(regexp_matches(low, '(?m)^(?:[^.]*[^{Q.W}.])?{_E}(?:$|[^{Q.W}])') OR regexp_matches(low, '(?:^|[^{Q.W}]){_E}{Q.S}+(?:{'|'.join(L.SUBJECT_VERBS + L.SUBJECT_NOUNS)})') OR contains(low, '<italic>{_E}'))"
+
+ORACLES |= {
+    "comma_mentions": _K + f""", t AS (SELECT chunk_id, text, contains(low, '{_E}') AND {_LIST} AND NOT {_MAIN} AS reduced FROM (SELECT *, lower(text) AS low FROM c WHERE text IS NOT NULL)),
+s AS (SELECT *, {Q.sentences('text')} AS s FROM t), p AS (SELECT *, list_position(list_transform(s, lambda x: contains(lower(x), '{_E}')), true) AS n FROM s),
+k2 AS (SELECT *, {Q.words(f"array_to_string(CASE WHEN n > 0 THEN list_filter(s, lambda x, i: contains(lower(x), '{_E}') OR i = n + 1) ELSE s END, ' ')")} AS w, array_to_string(CASE WHEN n > 0 THEN list_filter(s, lambda x, i: contains(lower(x), '{_E}') OR i = n + 1) ELSE s END, ' ') AS j FROM p)
+SELECT chunk_id, reduced, md5(CASE WHEN reduced THEN CASE WHEN len(w) > 100 THEN array_to_string(w[1:100], ' ') || '...' ELSE j END ELSE text END) AS text_md5 FROM k2 UNION ALL SELECT chunk_id, false, NULL FROM c WHERE text IS NULL""",
+    "adjacent_merge": _FOLD + "SELECT doc_id, chunk_id, head AS merged_id, CAST(count(*) OVER (PARTITION BY head) AS INTEGER) AS n_merged FROM f",
+    "merged_postings": _FOLD.replace("WITH RECURSIVE", _P.replace("WITH e", "WITH RECURSIVE e", 1) + ",", 1) + ", z AS (SELECT term, coalesce(head, post.chunk_id) AS chunk_id, sum(tf) AS tf FROM post LEFT JOIN f USING (chunk_id) GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM z GROUP BY term",
+    "pair_merges": _K + f""", s AS (SELECT chunk_id, doc_id, ord, list_distinct(list_transform({Q.sentences('text')}, lambda x: lower(x))) AS s FROM c WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+r AS (SELECT *, list_distinct(flatten(list_transform(list_transform(s, lambda x: {Q.words('x')}), lambda w: list_transform(range(1, len(w) - 5), lambda i: array_to_string(w[i : i + 6], ' '))))) AS r FROM s),
+n AS (SELECT *, lead(chunk_id) OVER x AS next_id, lead(s) OVER x AS s2, lead(r) OVER x AS r2 FROM r WINDOW x AS (PARTITION BY doc_id ORDER BY ord, chunk_id)),
+g AS (SELECT chunk_id, next_id, len(list_intersect(s, s2)) / greatest(len(s), len(s2)) AS share, CAST(len(list_intersect(r, r2)) AS INTEGER) AS phrases FROM n WHERE next_id IS NOT NULL) SELECT *, share > 0.3 OR phrases > 0 AS merges FROM g""",
+    "review_chronology": _BLOCKS + f""", y AS (SELECT answer_id, {Q.years('answer')} AS y FROM a), e AS (SELECT answer_id, unnest(range(1, len(y) + 1)) AS i, unnest(y) AS v FROM y),
+f AS (SELECT x.answer_id, x.v AS av, z.v AS bv, min({{'i': x.i, 'j': z.i}}) AS o FROM e x JOIN e z ON x.answer_id = z.answer_id AND x.i < z.i AND x.v - z.v > 10 GROUP BY ALL),
+j AS (SELECT answer_id, count(*) AS nf, list('Year ' || av || ' mentioned after ' || bv || ' (backwards jump of ' || (av - bv) || ' years)' ORDER BY o) AS s FROM f GROUP BY answer_id),
+m AS (SELECT answer_id, i, list_min({Q.years('p')}) AS v FROM b), h AS (SELECT answer_id, v, row_number() OVER (PARTITION BY answer_id ORDER BY i) AS k, lead(v) OVER (PARTITION BY answer_id ORDER BY i) AS nv FROM m WHERE v IS NOT NULL),
+g AS (SELECT answer_id, count(*) AS np, list('Paragraph ' || k || ' (' || v || ') comes before paragraph ' || (k + 1) || ' (' || nv || ') - non-chronological organization' ORDER BY k) AS s FROM h WHERE v - nv > 20 GROUP BY answer_id),
+z AS (SELECT y.answer_id, coalesce(len(y.y), 0) AS n, coalesce(nf, 0) AS nf, coalesce(np, 0) AS np, CASE WHEN coalesce(len(y.y), 0) < 2 THEN [] ELSE list_concat(coalesce(j.s, []), coalesce(g.s[1:3], [])) END AS s FROM y LEFT JOIN j USING (answer_id) LEFT JOIN g USING (answer_id))
+SELECT answer_id, 'chronological_flow' AS criterion, len(s) = 0 AS passed, CASE WHEN len(s) = 0 THEN 1.0 ELSE greatest(0.0, 1.0 - nf / greatest(n, 1) * 0.3 - np * 0.2) END AS score,
+CASE WHEN n < 2 THEN 'Insufficient years to check chronological flow' WHEN len(s) = 0 THEN 'Chronological flow maintained across ' || n || ' year mentions' ELSE nf || ' backwards chronological jumps detected' || CASE WHEN np > 0 THEN ', ' || np || ' non-chronological paragraphs' ELSE '' END END AS details, array_to_string(s[1:5], '|') AS issues FROM z""",
+    "review_panics": _A + _C + ", x AS (SELECT DISTINCT a.answer_id, c.text FROM a JOIN c ON c.doc_id = a.answer_id), r AS ("
+    + " UNION ALL ".join(f"SELECT answer_id, '{w} ' || unnest(regexp_extract_all(lower(text), '{w}(?:[^.]*?[^{Q.W}.])?({Q.YEARS})(?:$|[^{Q.W}])', 1)) AS c FROM x" for w in L.CRISIS_WORDS)
+    + " UNION ALL " + " UNION ALL ".join(f"SELECT answer_id, 'panic/crisis {y}' FROM x WHERE contains(text, '{y}')" for y in L.CRISIS_YEARS)
+    + """), k AS (SELECT DISTINCT answer_id FROM x), s AS (SELECT answer_id, list(DISTINCT c ORDER BY c) AS c FROM r GROUP BY answer_id),
+z AS (SELECT a.answer_id, k.answer_id IS NOT NULL AS known, coalesce(s.c, []) AS c, list_filter(coalesce(s.c, []), lambda v: len(list_filter(string_split(v, ' '), lambda w: contains(lower(a.answer), w))) = 0) AS m FROM a LEFT JOIN k USING (answer_id) LEFT JOIN s USING (answer_id))
+SELECT answer_id, 'panics_coverage' AS criterion, NOT known OR len(m) = 0 AS passed, CASE WHEN NOT known OR len(m) = 0 THEN 1.0 ELSE (len(c) - len(m)) / len(c) END AS score,
+CASE WHEN NOT known THEN 'No chunks provided for panic check' WHEN len(c) = 0 THEN 'No panics/crises found in chunks' WHEN len(m) = 0 THEN 'All ' || len(c) || ' panics/crises from chunks are mentioned' ELSE 'Missing ' || len(m) || '/' || len(c) || ' panics/crises: ' || array_to_string(m[1:3], ', ') END AS details,
+CASE WHEN NOT known THEN '' ELSE array_to_string(list_transform(m[1:5], lambda v: 'Missing panic/crisis: ' || v), '|') END AS issues FROM z""",
+    "answer_flags": _BLOCKS + _C + f""", n AS (SELECT answer_id, {_COUNTS} AS n FROM b), w AS (SELECT answer_id, {_COUNTS.replace('(p,', '(answer,')} AS n_sentences FROM a), l AS (SELECT answer_id, string_split(answer, chr(10)) AS l FROM a),
+sy AS (SELECT a.answer_id, max(list_max({Q.years('c.text')})) AS c2 FROM a JOIN c ON c.doc_id = a.answer_id GROUP BY 1)
+SELECT a.answer_id, length(answer) < 300 OR len({_PARAS}) < 3 OR contains(lower(answer), 'no relevant information found') AS needs_grounding, coalesce((SELECT max(n) FROM n WHERE n.answer_id = a.answer_id) > 3, false) AS too_long,
+contains(lower(answer), 'related questions') OR len(list_filter(l[greatest(len(l) - 29, 1) :], lambda x: contains(x, '?'))) >= 3 AS has_questions, CAST(n_sentences AS INTEGER) AS n_sentences,
+c2 IS NOT NULL AND (list_max({Q.years('answer')}) IS NULL OR c2 - list_max({Q.years('answer')}) > 10) AS stops_early FROM a JOIN w USING (answer_id) JOIN l USING (answer_id) LEFT JOIN sy USING (answer_id)""",
+    "paragraph_enforce": _A + f""", p AS (SELECT answer_id, answer, unnest(range(1, len({_PARAS}) + 1)) AS i, unnest({_PARAS}) AS p FROM a), q AS (SELECT answer_id, i, p, p LIKE '**%' AND NOT contains(p, chr(10)) AS h, list_filter(list_transform(string_split(regexp_replace(p, '([.!?]){Q.S}+(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {Q.strip('x')}), lambda x: x <> '') AS s FROM p),
+g AS (SELECT answer_id, i, CASE WHEN h THEN [p] ELSE list_transform(list_transform(range(0, len(s), 3), lambda k: array_to_string(s[k + 1 : k + 3], ' ')), lambda x: CASE WHEN regexp_matches(x, '[.!?]$') THEN x ELSE x || '.' END) END AS g FROM q),
+j AS (SELECT answer_id, string_agg(array_to_string(g, chr(10) || chr(10)), chr(10) || chr(10) ORDER BY i) AS j FROM g GROUP BY answer_id) SELECT a.answer_id, md5(CASE WHEN coalesce(j, '') <> '' THEN j ELSE answer END) AS answer_md5 FROM a LEFT JOIN j USING (answer_id)""",
+    "prepared_text": ORACLES["per_term_passages"].replace("md5(string_agg(sentence, ' ' ORDER BY sent)) AS text_md5", "min(ord) AS ord, string_agg(sentence, ' ' ORDER BY sent) AS text").replace("s.chunk_id, sent, sentence FROM", "s.chunk_id, ord, sent, sentence FROM").replace(") SELECT term, chunk_id, min(ord)", "), pt AS (SELECT term, chunk_id, min(ord)")
+    + "), t AS (SELECT term, string_agg(text, ' ' ORDER BY ord, chunk_id) AS text FROM pt WHERE term IN ('vessel row', 'Vessel row', 'Vessel Row') GROUP BY term) SELECT term, text FROM t ORDER BY list_position(['vessel row', 'Vessel row', 'Vessel Row'], term) LIMIT 1",
+    "rate_admission": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+f AS (SELECT event_id, user_id, i, true AS admitted, [t] AS held FROM e WHERE i = 1 UNION ALL SELECT event_id, user_id, i, len(h) < 3, CASE WHEN len(h) < 3 THEN list_append(h, t) ELSE h END
+FROM (SELECT e.event_id, e.user_id, e.i, e.t, list_filter(f.held, lambda x: x > e.t - 86400000000) AS h FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)) SELECT event_id, user_id, admitted FROM f""",
+    "packed_texts": f"""WITH RECURSIVE d AS (SELECT doc_id, {Q.sentences('text')} AS l FROM documents WHERE text IS NOT NULL), s AS (SELECT doc_id, unnest(range(len(l))) AS k, unnest(l) AS x FROM d), w AS (SELECT doc_id, k, {Q.words('x')} AS w FROM s),
+p AS (SELECT doc_id, k, unnest(range(0, len(w), 1000)) AS b, w FROM w WHERE len(w) > 0), q AS (SELECT doc_id, len(w[b + 1 : b + 1000]) AS n, array_to_string(w[b + 1 : b + 1000], ' ') AS t, row_number() OVER (PARTITION BY doc_id ORDER BY k, b) AS i FROM p),
+f AS (SELECT doc_id, i, 0 AS piece, n AS held, n, t FROM q WHERE i = 1 UNION ALL SELECT q.doc_id, q.i, CASE WHEN held + q.n > 1000 THEN piece + 1 ELSE piece END, CASE WHEN held + q.n > 1000 THEN q.n ELSE held + q.n END, q.n, q.t FROM f JOIN q ON q.doc_id = f.doc_id AND q.i = f.i + 1)
+SELECT doc_id, piece, CAST(sum(n) AS INTEGER) AS n_words, md5(string_agg(t, ' ' ORDER BY i)) AS text_md5 FROM f GROUP BY doc_id, piece""",
+}

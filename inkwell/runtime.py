@@ -41,20 +41,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Tables that `stored` has written and `sweep` has not removed.
+#: Paths that `fresh` has given and `sweep` has not removed.
 _WRITTEN: list[str] = []
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path of its own under the shared folder, which `sweep` removes with all that is in it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet under the shared folder and read it back: a cut that later stages read by column. `sweep` removes it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sweep(spark: SparkSession) -> int:
-    """Remove the tables that `stored` wrote, once the results that read them are no longer needed; how many there were."""
+    """Remove what was written under the paths of `fresh`, the tables of `stored` above all, once the results that read them are no longer needed; how many there were."""
     n = len(_WRITTEN)
     while _WRITTEN:
         path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
@@ -75,6 +86,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return steady(spark).read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its input comes in so few splits that most of them would idle, as a small file does; a larger input stays as it is.
+
+    Filters and column pruning still reach the scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for: the unit in which hot keys are split."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

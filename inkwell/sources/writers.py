@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 
 
 def write_index(post: DataFrame, path: str, parts: int | None = None) -> None:
-    """Postings (term, chunk_id, tf), each once, range-partitioned and sorted by term, so that a lookup of a term prunes row groups."""
-    unique = post.groupBy("term", "chunk_id").agg(F.sum("tf").alias("tf"))
-    ranged = unique.repartitionByRange(parts, "term", "chunk_id") if parts else unique.repartitionByRange("term", "chunk_id")
-    ranged.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(path)
+    """Postings (term, chunk_id, tf, and what else they have), each once, with `term_key`, the lower-cased term, by which they are range-partitioned and
+    sorted: the lookup of a term reads the row groups that have it."""
+    more = [c for c in post.columns if c not in ("term", "chunk_id", "tf", "term_key")]
+    unique = post.groupBy("term", "chunk_id").agg(F.sum("tf").alias("tf"), *[F.min(c).alias(c) for c in more]).withColumn("term_key", F.lower("term"))
+    order = ["term_key", "chunk_id", "term"]
+    ranged = unique.repartitionByRange(parts, *order) if parts else unique.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def write_store(chunks: DataFrame, path: str) -> None:
+    """Chunks range-partitioned and sorted by id, so that fetching some of them prunes row groups."""
+    chunks.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(path)
 
 
 def write_index_json(mentions: DataFrame, path: str) -> None:

@@ -155,3 +155,30 @@ def test_term_choices(spark):
     texts = spark.createDataFrame([("vessel row", "a"), ("Vessel", "b"), ("row", "c")], "term string, text string")
     assert [tuple(r) for r in retrieve.prepared(texts, ["nothing", "vessel", "vessel row"]).collect()] == [("Vessel", "b")]
     assert retrieve.prepared(texts, ["zz"]).count() == 0 and retrieve.prepared(texts, []).count() == 0
+
+
+def test_dictionary_both_ways(spark):
+    from inkwell.operators import dictionary
+
+    keys = ["kuhn-loeb", "public utility holding company act 1935", "o'neil", "a & b", "& b", "low", "c++", "the bank", "bank of the north"]
+    texts = ["the kuhn-loeb firm, kuhn - loeb", "the public utility holding company act 1935.", "o'neil and x& bank", "a & b", "lower low", "c++x c++", "the bank of the north", None, ""]
+    c = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    k = spark.createDataFrame([(x,) for x in keys], "key string")
+    for plain in (False, True):
+        sent, joined = ({tuple(r) for r in dictionary.hits(c, k, plain, bound).collect()} for bound in (1 << 20, 0))
+        assert sent == joined and sent
+    assert {tuple(r) for r in dictionary.hits(c, k).collect()} >= {("k0", "kuhn-loeb"), ("k1", "public utility holding company act 1935"), ("k2", "o'neil"), ("k3", "a & b"), ("k4", "low"), ("k6", "bank of the north"), ("k6", "the bank")}
+    assert dictionary.hits(c, k.limit(0)).count() == 0 and dictionary.hits(c.limit(0), k).count() == 0
+
+
+def test_pairs_of_wide_chunks(spark):
+    p = spark.createDataFrame([(f"t{i:02}", "x", 1) for i in range(23)] + [("t01", "y", 1), ("t02", "y", 1), ("t05", "z", 1)], "term string, chunk_id string, tf long")
+    one, many = ({tuple(r) for r in index.cooccurrence(p, block).collect()} for block in (512, 4))
+    assert one == many and len(one) == 23 * 22 // 2 and ("t01", "t02", 2) in one
+
+
+def test_names_with_commas_and_changes(spark):
+    c = chunks(spark, "The Diversity, Equity, and Inclusion rule.", "Levy changed his name to Lee. Ash formerly Oak.", "a née b, formerly C")
+    d = spark.createDataFrame([("DEI", "Diversity, Equity, and Inclusion")], "acronym string, full_name string")
+    assert {r.term for r in extract.acronym_names(c, d).collect()} == {"DEI", "dei"}
+    assert {tuple(r) for r in extract.name_changes(c).collect()} == {("levy", "lee"), ("levy", "oak")}

@@ -6,6 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from inkwell.plans import narrate
 from inkwell.plans import question as Q
 from inkwell.plans.engine import Engine, polished, repaired
 from inkwell.sources import readers, writers
@@ -15,8 +16,15 @@ from inkwell.streaming import rates
 def test_question_reading():
     assert Q.keywords("Tell me about the Rothschild's bank in SEC cases") == ["rothschild", "bank", "cases"]
     assert Q.plan("What did the SEC do about BA1933?").groups == [["SEC"], ["BA1933", "ba1933", "Bankruptcy Act 1933", "bankruptcy act 1933"]]
-    assert Q.plan("Tell me about banks").groups == [["banks", "Banks", "bank"]]
-    assert all(len(g) == 1 for g in Q.plan("Tell me about banks", flat=True).groups)
+    assert Q.plan("Tell me about quakers").groups == [["quakers", "Quakers", "quaker"]]
+    assert all(len(g) == 1 for g in Q.plan("Tell me about quakers", flat=True).groups)
+    # generic words are no anchors, only a last resort
+    assert Q.plan("Tell me about banks").groups == [] and Q.plan("Tell me about banks").keywords == ["banks"]
+    # acronyms need not be known, and a law code with two digits means either century
+    assert Q.plan("What of the XYZ in FA33?").groups == [["XYZ"], ["FA1833", "fa1833", "Federal Reserve Act 1833", "federal reserve act 1833", "FA1933", "fa1933", "Federal Reserve Act 1933", "federal reserve act 1933"]]
+    assert Q.plan("First Boston and the First National Bank").mistaken == ["First Boston and the First NB", "First Boston First", "First Boston"]
+    assert Q.plan("Tell me about merchant community of Quaker Hill", hierarchy={"merchant": ["quaker"]}).groups[0][:1] == ["merchant"] and "quaker" in Q.plan("Tell me about merchant community of Quaker Hill", hierarchy={"merchant": ["quaker"]}).groups[0]
+    assert Q.primary_term("Tell me about Baring Brothers?") == "baring" and Q.primary_term("the of") is None
     assert Q.subject("Tell me about Baring Brothers?") == "Baring Brothers" and Q.subject("Explain gold") == "gold"
     assert Q.expanded("The FRS and BA1933") == "The FRS (Federal Reserve System) and BA1933 (Bankruptcy Act 1933)"
     assert Q.bank_forms("First NB") == ["First NB", "First National Bank"]
@@ -33,7 +41,7 @@ def test_routes():
 
 def test_engine(spark):
     docs = spark.createDataFrame([(1, "a.docx", "Nathan Rothschild lent. BA1933 passed in 1933."), (2, None, "Jacob Rothschild wrote. Siegmund Warburg read."), (3, "c", None)], "doc_id long, filename string, text string")
-    e = Engine.build(docs, {"x": ["Rothschild", "Warburg"]})
+    e = Engine.build(docs, {"x": ["Rothschild", "Warburg"]}, least=1)
     assert sorted(r.chunk_id for r in e.search("rothschild").collect()) == ["1_0", "2_0"]
     assert [r.chunk_id for r in e.retrieve("What of BA1933 and Rothschild?").collect()] == ["1_0"]
     assert e.ask("Tell me about Rothschild").first().context.startswith("Found 2 relevant passages:")
@@ -45,6 +53,57 @@ def test_engine(spark):
     assert seen and "Related Questions:" in polished("One.", ["Q?"])
 
 
+def test_stored_engine(spark, tmp_path):
+    texts = ["Nathan Rothschild of Ham lent. Same line.", "Jacob Rothschild of Ham wrote in 1907. Same line.", "Siegmund Warburg read. SEC and SEC."]
+    docs = spark.createDataFrame([(i, "f", t) for i, t in enumerate(texts)], "doc_id long, filename string, text string")
+    built = Engine.build(docs)
+    assert {r.term for r in built.postings.collect()} >= {"Rothschild", "SEC", "sec"} and not built.postings.where("term = 'Warburg'").count()
+    built.endnotes = spark.createDataFrame([("1", "note")], "endnote_id string, text string")
+    built.chunk_endnotes = spark.createDataFrame([("1_0", "1")], "chunk_id string, endnote_id string")
+    built.save(str(tmp_path / "e"))
+    e = Engine.open(spark, str(tmp_path / "e"))
+    assert "term_key" in e.postings.columns and e.texts is None
+    assert [r.chunk_id for r in e.search("rothschild's", 1).collect()] == ["0_0"] and e.search("rothschild", None).count() == 2
+    assert sorted(r.chunk_id for r in e.retrieve("Tell me about Rothschild").collect()) == ["0_0", "1_0"]
+    plan = e.postings.where(e.postings.term_key == "sec")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(term_key), EqualTo(term_key,sec)]" in plan
+    # a sparse result has its endnotes last, and a sentence stands where it stood first
+    chosen = e.select("Tell me about Rothschild").orderBy("ord").collect()
+    assert [(r.filename, r.text) for r in chosen] == [("f", "Nathan Rothschild of Ham lent. Same line."), ("f", "Jacob Rothschild of Ham wrote in 1907."), ("Endnotes", "note")]
+    e.texts = spark.createDataFrame([("rothschild", "Prepared text.")], "term string, text string")
+    assert [r.text for r in e.select("Tell me about Rothschild").collect()] == ["Prepared text."]
+    assert e.again("Tell me about Rothschild", "Nothing after 1800.").count() == 0
+    assert "Rothschild" in e.related_questions("Tell me about Rothschild")[0] and len(e.related_questions("Tell me about Rothschild")) >= 3
+
+
+def test_empty_engine(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, filename string, text string")
+    e = Engine.build(docs)
+    e.save(str(tmp_path / "e"))
+    e = Engine.open(spark, str(tmp_path / "e"))
+    assert e.search("x").count() == 0 and e.ask("Tell me about SEC").count() == 0 and e.contexts("the bond market").count() == 0 and e.stats().first().total_chunks == 0
+
+
+def test_narrative(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a", 0, 1, "one"), ("a", 1, 1, "two"), ("b", 0, 1, "three")]
+    contexts = spark.createDataFrame(rows, "grp string, batch long, n int, context string")
+    echo = narrate.narrative("q", contexts, lambda q, c: c.select("grp", "batch", F.concat(F.lit("<"), "context", F.lit(">")).alias("text"))).first().answer
+    assert echo == "<=== a ===\n<=== Section 1 ===\n<one>\n\n=== Section 2 ===\n<two>>\n\n=== b ===\n<three>>"
+    # a generator that fails to merge leaves the parts with rules between them
+    silent = narrate.narrative("q", contexts, lambda q, c: c.select("grp", "batch", F.when(~F.col("context").startswith("==="), F.col("context")).alias("text"))).first().answer
+    assert silent == "one\n\n---\n\ntwo\n\n---\n\nthree"
+    waits, failures = [], [OSError(), OSError()]
+
+    def call():
+        if failures:
+            raise failures.pop()
+        return 7
+
+    assert narrate.retried(call, lambda e: True, sleep=waits.append) == 7 and len(waits) == 2 and 0.9 <= waits[0] <= 1.1 and 1.8 <= waits[1] <= 2.2
+
+
 def test_repair(spark):
     a = spark.createDataFrame([(1, "A b. C d. E f. G h."), (2, "In 1900.")], "answer_id int, answer string")
     s = spark.createDataFrame([(2, "1990 and 1800")], "answer_id int, text string")

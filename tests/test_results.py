@@ -149,3 +149,42 @@ def test_incremental(spark):
     s = chunking.prefilter_stats(c, ["x"]).first()
     assert (s.total, s.relevant, s.filtered, s.pct) == (4, 2, 2, 50.0)
     assert chunking.prefilter_stats(c.limit(0), ["x"]).first().pct == 0
+
+
+def test_places_of_skewed_orders(spark):
+    # all rows share the first order column, and half of them the second too
+    rows = spark.range(10_000).selectExpr("1 AS a", "IF(id % 2 = 0, 0, id) AS b", "id")
+    placed = postprocess.placed(rows, "a", "b", "id").orderBy("place").collect()
+    assert [r.place for r in placed] == list(range(10_000)) and [(r.b, r.id) for r in placed] == sorted((r.b, r.id) for r in placed)
+
+
+def test_contexts_in_batches(spark):
+    c = chunk_set(spark, *[f"t{i} in {1990 - i}" for i in range(5)]).withColumn("filename", F.lit("f")).withColumn("grp", F.lit("g"))
+    found = postprocess.contexts(c, "passages", "grp", size=2).orderBy("batch").collect()
+    assert [(r.batch, r.n) for r in found] == [(0, 2), (1, 2), (2, 1)] and found[0].context.startswith("Found 5 relevant passages:\n\n[f]\nt0") and found[1].context.startswith("[f]\nt2")
+    assert postprocess.contexts(c, "prompt", "grp", by_year=True).first().context.startswith("[Source 1: f]\nt4 in 1986")
+    assert postprocess.contexts(c.limit(0), "prompt", "grp").count() == 0
+
+
+def test_endnotes_of_windows(spark):
+    from inkwell.operators import chunking
+
+    docs = spark.createDataFrame([(1, "aa bb\ncc dd ee\nff aa bb")], "doc_id long, text string")
+    paras = spark.createDataFrame([(1, 0, "aa bb", ["1"]), (1, 1, "cc dd ee", ["2"]), (1, 2, "ff aa bb", ["3"])], "doc_id long, para int, text string, endnote_ids array<string>")
+    found = folds.endnotes_in_windows(chunking.chunk(docs, 3, 1), paras, hop=2)
+    # windows: aa bb cc | cc dd ee | ee ff aa | aa bb
+    assert sorted(map(tuple, found.collect())) == [("1_0", "1"), ("1_0", "2"), ("1_1", "2"), ("1_2", "2"), ("1_2", "3"), ("1_3", "3")]
+
+
+def test_words_that_need_a_capital(spark):
+    c = chunk_set(spark, "a black market in bonds", "a Black banker", "a black banker", "the Black Sea bank", "no money")
+    kept = postprocess.finance_only(c, [r"\bblack sea\b"], capitalised={"black": ["black banker"]})
+    assert [r.text for r in kept.orderBy("ord").collect()] == ["a Black banker", "a black banker"]
+    assert postprocess.reduce_comma_mentions(c, "black", from_chunks=20).where("reduced").count() == 0
+
+
+def test_pairs_of_chunks_that_merge(spark):
+    run = "one two three four five six seven"
+    rows = [(1, 0, "a", f"{run} eight. X."), (1, 1, "b", f"Zero {run} nine. Y."), (1, 2, "c", "Y. Z."), (2, 0, "d", "Q.")]
+    found = {(r.chunk_id, r.next_id): (r.share, r.phrases, r.merges) for r in folds.pair_merges(spark.createDataFrame(rows, "doc_id int, pos int, chunk_id string, text string")).collect()}
+    assert found == {("a", "b"): (0.0, 1, True), ("b", "c"): (0.5, 0, True)}

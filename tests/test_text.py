@@ -76,3 +76,8 @@ def test_classifiers(spark):
     assert column(spark, X.json_block(F.col("text"), "map<string,array<string>>"), ['```json\n{"a":["b"]}\n```', "broken"]) == [{"a": ["b"]}, None]
     assert column(spark, X.subphrases(F.col("text"), 2, 3), ["A b c"]) == [["a b", "b c", "a b c"]]
     assert column(spark, X.shingles(F.col("text"), 2), ["a b c", "a"]) == [["a b c", "a b", "b c"], ["a"]]
+
+
+def test_all_subphrases(spark):
+    assert column(spark, X.subphrases(F.col("text")), ["A b c d e f", "a b", None]) == [["a b c d e", "b c d e f", "a b c d e f"], [], []]
+    assert column(spark, X.titled(F.col("text")), ["o'neil & mCKAY", ""]) == ["O'Neil & Mckay", ""]
