@@ -1,9 +1,10 @@
 """Per-key results where a handful of keys own most rows: exact offset chunking.
 
-The rows of a key are numbered without ever meeting in one task. Rows are spread over buckets, keys are counted per bucket, a
-prefix sum over the (few) bucket counts of a key gives each bucket its offset, and offset plus position inside the bucket is the
-row's number. Equal ranges of numbers make equal-sized pieces of work; a piece leaves a small state with its first and last
-value, and the states of a key are merged in order, adjoining pieces comparing the values at their common boundary.
+The rows of a key are numbered without ever meeting in one task. Keys are counted per input partition, a file of a stored table, whose
+name and rows no recomputation changes; a prefix sum over the counts of a key, one for each partition that has it, gives each partition
+its offset, and offset plus position inside the partition is the row's number. Equal ranges of numbers make equal-sized pieces of work;
+a piece leaves a small state with its first and last value, and the states of a key are merged in order, adjoining pieces comparing the
+values at their common boundary.
 """
 
 from __future__ import annotations
@@ -11,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.runtime import width
+from inkwell.runtime import stored
+
+#: Most rows of an input partition: what one task numbers of a key, whatever the key and the table.
+PARTITION = 1 << 20
 
 
 def mentions(indices: DataFrame) -> DataFrame:
@@ -27,11 +31,11 @@ def mentions(indices: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, key: str, order: list[str], weight: str, bucket: Column) -> DataFrame:
     """Adds `_bucket`, `_pos` (0, 1, ... within a key) and `_before` (weight of the earlier rows of the key) to each row.
 
-    `bucket` is a non-negative integer computed from the row; rows of a key are ordered by (bucket, order), so a bucket that rises with the
+    `bucket` is an integer computed from the row; rows of a key are ordered by (bucket, order), so a bucket that rises with the
     order columns keeps their order. It must not depend on the task that computes it: the numbers are then the same after any recomputation.
     A key that owns all rows still forms one group for each bucket. Rows with a null key are left out.
     """
-    spread = df.where(F.col(key).isNotNull()).withColumn("_bucket", bucket.cast("int")).repartition("_bucket", key)
+    spread = df.where(F.col(key).isNotNull()).withColumn("_bucket", bucket.cast("bigint")).repartition("_bucket", key)
     counts = spread.groupBy("_bucket", key).agg(F.count(F.lit(1)).alias("_n"), F.sum(weight).alias("_w"))
     earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", key, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(n) for c, n in (("_n", "_rows_before"), ("_w", "_weight_before"))])
@@ -46,11 +50,20 @@ def key_totals(rows: DataFrame, key: str = "term", value: str = "chunk_id", piec
     """(key, n_elements, n_distinct, n_pieces) of every key of `rows` (key, value).
 
     Null values are not counted; a key with null values only comes out with zeros. Ties and repeated rows all count as elements and
-    once as distinct value. An empty input gives an empty result. `piece` is the size of one unit of work, whatever the key.
+    once as distinct value. Rows with a null key are left out. An empty input gives an empty result. `piece` is the size of one unit of work, whatever the key.
     """
+    return _totals(_combined(rows, key, value), key, value, piece)
+
+
+def _combined(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, _n, _bucket), null values included, from one reading of `rows`; _bucket is the input partition, by the name of its file."""
     # partial aggregation before the shuffle: copies of one (key, value) leave a map task as one row
-    combined = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    order = numbered(combined, key, [value], "_n", F.pmod(F.xxhash64(value), F.lit(4 * width(rows.sparkSession))))
+    made = stored(rows.where(F.col(key).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n")), "combined", PARTITION)
+    return made.withColumn("_bucket", F.xxhash64("_metadata.file_name"))
+
+
+def _totals(combined: DataFrame, key: str, value: str, piece: int) -> DataFrame:
+    order = numbered(combined.where(F.col(value).isNotNull()), key, [value], "_n", F.col("_bucket"))
     place = F.struct("_bucket", F.col(value))
     states = order.groupBy(key, (F.floor(F.col("_pos") / piece)).alias("_piece")).agg(
         F.sum("_n").alias("_elements"),
@@ -58,19 +71,21 @@ def key_totals(rows: DataFrame, key: str = "term", value: str = "chunk_id", piec
         F.min(place).alias("_first"),
         F.max(place).alias("_last"),
     )
-    merged = states.withColumn("_previous", F.lag("_last").over(Window.partitionBy(key).orderBy("_piece")))
-    totals = merged.groupBy(key).agg(
-        F.sum("_elements").alias("n_elements"),
+    # a state meets the one behind it under that one's number: no task sees all pieces of a key
+    ends = F.array(F.struct(F.lit(0).alias("after"), F.col("_elements"), F.col("_distinct"), F.col("_first").alias("_edge")), F.struct(F.lit(1).alias("after"), F.lit(0).cast("bigint").alias("_elements"), F.lit(0).cast("bigint").alias("_distinct"), F.col("_last").alias("_edge")))
+    met = states.select(key, "_piece", F.explode(ends).alias("e")).groupBy(key, (F.col("_piece") + F.col("e.after")).alias("_piece")).agg(
+        F.sum("e._elements").alias("_elements"),
         # a value that ends one piece and begins the next was counted in both
-        (F.sum("_distinct") - F.count_if(F.col("_first") == F.col("_previous"))).alias("n_distinct"),
-        F.count(F.lit(1)).alias("n_pieces"),
+        (F.sum("e._distinct") - F.when(F.min(F.when(F.col("e.after") == 0, F.col("e._edge"))) == F.max(F.when(F.col("e.after") == 1, F.col("e._edge"))), 1).otherwise(0)).alias("_distinct"),
+        F.count_if(F.col("e.after") == 0).alias("_pieces"),
     )
-    bare = rows.groupBy(key).agg(F.count(value).alias("_any")).where("_any = 0")
     zero: Column = F.lit(0).cast("bigint")
-    return totals.unionByName(bare.select(key, zero.alias("n_elements"), zero.alias("n_distinct"), zero.alias("n_pieces")))
+    bare = combined.where(F.col(value).isNull()).select(key, zero.alias("_elements"), zero.alias("_distinct"), zero.alias("_pieces"))
+    return met.select(key, "_elements", "_distinct", "_pieces").union(bare).groupBy(key).agg(F.sum("_elements").alias("n_elements"), F.sum("_distinct").alias("n_distinct"), F.sum("_pieces").alias("n_pieces"))
 
 
 def heavy_keys(rows: DataFrame, share: float, key: str = "term", value: str = "chunk_id") -> DataFrame:
     """Keys of `key_totals` that own at least `share` of all non-null values; none where there is no value at all."""
-    total = rows.agg(F.count(value).alias("_total")).select("_total").scalar()
-    return key_totals(rows, key, value).where((F.col("n_elements") > 0) & (F.col("n_elements") >= F.lit(share) * total))
+    combined = _combined(rows, key, value)
+    total = combined.where(F.col(value).isNotNull()).agg(F.sum("_n").alias("_total")).select("_total").scalar()
+    return _totals(combined, key, value, 4096).where((F.col("n_elements") > 0) & (F.col("n_elements") >= F.lit(share) * total))

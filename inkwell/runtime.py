@@ -57,10 +57,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet under the shared folder and read it back: a cut that later stages read by column. `sweep` removes it."""
+def stored(df: DataFrame, name: str, most: int = 0) -> DataFrame:
+    """Write `df` as Parquet under the shared folder, in files of at most `most` rows if given, and read it back: a cut that later stages read by column.
+    `sweep` removes it."""
     path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", most).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
