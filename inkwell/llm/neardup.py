@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.operators.components import components
-from inkwell.runtime import stored, width
+from inkwell.runtime import stored
 
 COMPONENTS, BITS = 64, 16
-#: Members of a bucket that one task compares; larger buckets go through the block join.
-HOT = 512
+#: Members of a bucket that are compared as they pass by; larger buckets go through the block join, in blocks of about `BLOCK`.
+HOT, BLOCK = 512, 1024
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -223,6 +223,39 @@ def _near(floor: int):
     return run
 
 
+def _blocks_near(floor: int):
+    """(ids, lows, ids, lows, same) of two blocks of a bucket in; the pairs (a, b), a < b, that are near out."""
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            for p, x, q, y, same in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                p, q = np.asarray(p, np.int64), np.asarray(q, np.int64)
+                x, y = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, COMPONENTS) for z in (x, y))
+                equal = np.zeros((len(p), len(q)), np.uint8)
+                for c in range(COMPONENTS):
+                    equal += x[:, c, None] == y[None, :, c]
+                i, j = np.nonzero(equal >= floor)
+                keep = p[i] < q[j] if same else p[i] != q[j]
+                a, b = p[i][keep], q[j][keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
+def blocked(rows: DataFrame, key: str, size: int, *values: str) -> DataFrame:
+    """(key, i, j, left, right): every pair i <= j of the blocks of a key's rows; a block is a list of about `size` structs of `values`, whose first is an id.
+
+    Blocks are as many as the key's rows demand, so that no row grows with the key, and a key of few rows is one block.
+    """
+    sized = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).alias("_n"))
+    item = F.struct(*values) if len(values) > 1 else F.col(values[0])
+    lists = rows.join(sized, key).groupBy(key, "_n", F.pmod(F.xxhash64(values[0]), F.col("_n")).alias("i")).agg(F.collect_list(item).alias("left"))
+    right = lists.select(key, F.col("i").alias("j"), F.col("left").alias("right"))
+    return lists.withColumn("j", F.explode(F.sequence("i", F.col("_n") - 1))).join(right, [key, "j"]).select(key, "i", "j", "left", "right")
+
+
 def _exact(threshold: float):
     def run(batches):
         import numpy as np
@@ -258,7 +291,7 @@ class NearDuplicates:
     members: DataFrame
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, least: int = 0, key: str = "doc_id", text: str = "text", hot: int = HOT) -> NearDuplicates:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, least: int = 0, key: str = "doc_id", text: str = "text", hot: int = HOT, block: int = BLOCK) -> NearDuplicates:
     """Texts whose sets of `shingle` consecutive words have a Jaccard similarity of at least `threshold`.
 
     Words are the longest runs of letters and digits of the lower-cased text. Texts with fewer than `least` words, or too few for
@@ -266,7 +299,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, l
     one key are one text. An empty input gives empty results; other columns are not read.
     """
     index = index_for(threshold)
-    spark = docs.sparkSession
     known = stored(sketches(docs, shingle, least, key, text), "sketches")
     members = known.groupBy("fp").agg(F.min("id").alias("representative"))
     members = known.select("id", "fp").join(members, "fp").select("id", "representative").distinct()
@@ -276,33 +308,31 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, l
     met = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_buckets(hot), "a bigint, b bigint, hot boolean")
     met = stored(met.distinct(), "met")
     floor = max(0, int(COMPONENTS * threshold - 3.5 * (COMPONENTS * threshold * (1 - threshold)) ** 0.5))
-    salts = width(spark)
     crowd = met.where("hot").select(F.col("a").alias("key"), F.col("b").alias("id")).join(chosen.select("id", "low"), "id")
-    salt = F.pmod(F.xxhash64("id"), F.lit(salts))
-    left = crowd.select("key", F.col("id").alias("a"), F.col("low").alias("x"), salt.alias("salt"))
-    right = crowd.select("key", F.col("id").alias("b"), F.col("low").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
-    blocks = left.join(right, ["key", "salt"]).where("a < b").select("a", "b", "x", "y").mapInArrow(_near(floor), "a bigint, b bigint")
+    sides = blocked(crowd, "key", block, "id", "low").select("left.id", "left.low", F.col("right.id").alias("id2"), F.col("right.low").alias("low2"), F.col("i") == F.col("j"))
+    blocks = sides.mapInArrow(_blocks_near(floor), "a bigint, b bigint")
     plain = _with(met.where("NOT hot AND a <> b").select("a", "b"), chosen, "low").mapInArrow(_near(floor), "a bigint, b bigint")
     near = plain.union(blocks).distinct()
     pairs = _with(near, chosen, "shingles").mapInArrow(_exact(threshold), "a bigint, b bigint, jaccard double")
     return NearDuplicates(pairs, members)
 
 
-def all_pairs(found: NearDuplicates) -> DataFrame:
-    """(a, b), a < b: every pair of similar texts, those of one class included."""
+def all_pairs(found: NearDuplicates, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: every pair of similar texts, those of one class included.
+
+    Classes travel as blocks of ids, and the pairs are made from two blocks at a time: a class of very many copies is no single task's.
+    """
     members = found.members
     sized = members.groupBy("representative").agg(F.count(F.lit(1)).alias("_n"))
     # only classes of several texts add pairs of their own
     several = members.join(sized.where("_n > 1").select("representative"), "representative", "left_semi")
-    left, right = (several.select("representative", F.col("id").alias(c)) for c in "ab")
-    within = left.join(right, "representative").where("a < b").select("a", "b")
-    ends = found.pairs.select(F.col("a").alias("ra"), F.col("b").alias("rb"))
-    across = (
-        ends.join(members.select(F.col("representative").alias("ra"), F.col("id").alias("x")), "ra")
-        .join(members.select(F.col("representative").alias("rb"), F.col("id").alias("y")), "rb")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    )
-    return within.union(across)
+    inside = blocked(several, "representative", block, "id")
+    within = inside.select("i", "j", "right", F.explode("left").alias("a")).select("i", "j", "a", F.explode("right").alias("b")).where("a <> b AND (i <> j OR a < b)").select("a", "b")
+    lists = members.join(sized, "representative").groupBy("representative", F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / block)).alias("_b")).agg(F.collect_list("id").alias("ids"))
+    left, right = (lists.select(F.col("representative").alias(end), F.col("ids").alias(ids)) for end, ids in (("ra", "x"), ("rb", "y")))
+    ends = found.pairs.select(F.col("a").alias("ra"), F.col("b").alias("rb")).join(left, "ra").join(right, "rb")
+    across = ends.select("y", F.explode("x").alias("a")).select("a", F.explode("y").alias("b"))
+    return within.union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def groups(found: NearDuplicates) -> DataFrame:

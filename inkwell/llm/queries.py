@@ -130,6 +130,9 @@ ORACLES = {
     "p2_found": _shingled(3, 20, "l") + "SELECT a AS doc_id_a, b AS doc_id_b FROM j WHERE jaccard >= 0.5",
     # texts of one set are one class, under its smallest id
     "p2_pairs": _shingled(5, 0, "(SELECT min(doc_id) AS doc_id, l FROM l GROUP BY l)") + "SELECT a AS doc_id_a, b AS doc_id_b, jaccard FROM j WHERE jaccard >= 0.8",
+    "p2_groups": _shingled(5, 0, "l").replace("WITH d", "WITH RECURSIVE d", 1) + """, v AS (SELECT a, b FROM j WHERE jaccard >= 0.8 UNION ALL SELECT b, a FROM j WHERE jaccard >= 0.8),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM l UNION SELECT v.b, r.m FROM r JOIN v ON v.a = r.doc_id), g AS (SELECT doc_id, min(m) AS group_id FROM r GROUP BY doc_id)
+SELECT doc_id, group_id, (SELECT count(*) FROM v WHERE v.a = g.doc_id) AS n_links FROM g""",
     "p5_found": f"SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(text, '{_P5}')) > 400",
     "p4_terms": _P4 + "SELECT term, n_mentions, n_records, mark FROM f",
     "p4_found": _P4 + "SELECT term, mark FROM f WHERE mark IS NOT NULL",

@@ -86,3 +86,34 @@ def test_buckets_stream_across_batches():
         out = [tuple(r.values()) for b in neardup._buckets(4)(iter(batches)) for r in b.to_pylist()]
         assert sorted(r for r in out if not r[2]) == [(0, 1, False), (0, 2, False), (1, 2, False), (13, 14, False)]
         assert sorted(r[1] for r in out if r[2]) == list(range(3, 12)) and {r[0] for r in out if r[2]} == {2}
+
+
+def test_blocks_of_hot_buckets_and_classes(spark):
+    texts = corpus(40, seed=9)
+    copies = {1000 + i: texts[0] for i in range(23)}
+    found = neardup.near_duplicates(frame(spark, texts | copies), 0.6, 3, 20, hot=1, block=4)
+    got = [tuple(r) for r in neardup.all_pairs(found, block=3).collect()]
+    sets = {i: shingle_set(t, 3) for i, t in (texts | copies).items() if t}
+    sure = {(a, b) for a, b in brute(texts | copies, 3, 0.6, 20) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.65}
+    assert len(got) == len(set(got)) and sure <= set(got) <= brute(texts | copies, 3, 0.6, 20)
+
+
+def test_misses_of_the_index():
+    """What is guaranteed, and how often pairs beyond it fail to meet: measured on random signatures against the curve."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for similarity in (0.5, 0.8):
+        index = neardup.index_for(similarity)
+
+        def met(equal, index=index):
+            return (equal.reshape(len(equal), index.bands, index.size).sum(axis=2) >= index.size - index.errors).any(axis=1)
+
+        # every signature pair within the guaranteed distance meets
+        near = np.ones((20_000, neardup.COMPONENTS), bool)
+        for row in near:
+            row[rng.choice(neardup.COMPONENTS, index.distance, replace=False)] = False
+        assert met(near).all()
+        for s in (similarity, similarity + 0.05, similarity + 0.1):
+            measured = 1 - met(rng.random((200_000, neardup.COMPONENTS)) < s).mean()
+            assert measured <= 0.005 and abs(measured - index.miss_probability(s)) < 0.0005
