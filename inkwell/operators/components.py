@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(linked.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(pairs: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
     Alternating large-star and small-star steps; every round ends in a reliable checkpoint, and the rounds, of which there are about as
@@ -34,12 +34,10 @@ def components(pairs: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     """
     edges = cut(pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         edges = cut(_small_star(_large_star(edges)))
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("the components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
