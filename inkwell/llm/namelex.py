@@ -28,5 +28,6 @@ SONS = frozenset("sons son söhne sohne fils hijos".split())
 BROTHERS = frozenset("brothers bros brother gebrüder gebruder gebr freres frères hermanos".split())
 COMPANY = frozenset("co company comp cie ltd limited inc corp corporation".split())
 JOINING = frozenset("& and und et y".split())
+BANKS = frozenset("bank banque banca banco bankhaus".split())
 NATIONAL = frozenset("national nat'l natl nat".split())
 SMALL = frozenset("of the at in".split())

@@ -4,7 +4,8 @@
    possessives, short forms, order and legal suffixes are read away, so that many spellings become one form.
 2. Forms meet by MinHash banding over padded q-grams of their core; the bands are as many as the collision curve demands for the wanted
    recall at the similarity one slip of the keyboard leaves.
-3. Pairs of forms of one kind pass Monge-Elkan similarity of their surnames, and their given names must agree.
+3. Pairs of forms of one kind pass Monge-Elkan similarity of their surnames, word by word, with a bound that follows the length of the
+   words, and their given names must agree.
 4. Star clustering: the form with most links, then most mentions, is a centre and takes the forms linked to it.
 """
 
@@ -20,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import namelex
-from inkwell.runtime import cut, stored
+from inkwell.llm.neardup import blocked
+from inkwell.runtime import cut, stored, width
 
 _EDGE = re.compile(r"^[^\w&]+|[^\w.&]+$")
 _TOKEN = re.compile(r"[^\s,;/()\"]+|,")
@@ -116,6 +118,9 @@ class Reader:
         if trust or "tc" in (words[0], words[-1]):
             rest = [t for t in words if t != "tc" and not self.near(t, ("trust",)) and t not in n.COMPANY and not self.near(t, ("company",)) and t not in n.SMALL]
             return Form("trust", (sound("".join(rest)),)) if rest else None
+        if len(words) > 1 and any(t in n.BANKS for t in words):
+            # a bank that is no national bank: no word of it is a given name
+            return Form("house", (sound("".join(t.replace("-", "") for t in words if t not in n.SMALL and t not in n.PARTICLES)),))
         joined = any(t in n.JOINING for t in words)
         kind = "sons" if joined and any(t in n.SONS for t in words) else "brothers" if any(self.near(t, n.BROTHERS, 7) for t in words) else ""
         if kind:
@@ -178,13 +183,25 @@ class Reader:
         return Form("person", (sound(core),), self.given_of(g) or g)
 
 
-def monge_elkan(a: list[str] | tuple[str, ...], b: list[str] | tuple[str, ...]) -> float:
-    """Mean over the words of the longer list of the best similarity to a word of the other, which is 1 - edit distance / length."""
+def best_similarities(a: list[str] | tuple[str, ...], b: list[str] | tuple[str, ...]) -> list[tuple[float, str, str]]:
+    """For each word of the longer list the most similar word of the other, the similarity being 1 - edit distance / length: the terms of Monge-Elkan."""
     if len(a) < len(b):
         a, b = b, a
-    if not b:
-        return 0.0
-    return sum(max(1 - osa(x, y, 4) / max(len(x), len(y)) for y in b) for x in a) / len(a)
+    return [max((1 - osa(x, y, 4) / max(len(x), len(y)), x, y) for y in b) for x in a] if b else []
+
+
+def monge_elkan(a: list[str] | tuple[str, ...], b: list[str] | tuple[str, ...]) -> float:
+    """The mean of `best_similarities`; 0 where a list is empty."""
+    terms = best_similarities(a, b)
+    return sum(t for t, _, _ in terms) / len(terms) if terms else 0.0
+
+
+def alike(x: list[str], y: list[str], slips: int, least: float) -> bool:
+    """Lists of as many words, whose Monge-Elkan similarity is at least `least`, and each term of it at least what one slip of the keyboard leaves of the
+    word, or `slips` of a word of eight letters or more."""
+    terms = best_similarities(x, y)
+    near = all(t >= 1 - (slips if min(len(u), len(v)) >= 8 else 1) / max(len(u), len(v)) - 1e-9 for t, u, v in terms)
+    return bool(terms) and len(x) == len(y) and near and sum(t for t, _, _ in terms) / len(terms) >= least
 
 
 def given_agree(a: str, b: str) -> bool:
@@ -281,11 +298,8 @@ def _similar(least: float):
         for batch in batches:
             keep = []
             for a, na, b, nb in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
-                x, y = a.split("/"), b.split("/")
                 # a core of one spelling only may be two slips away from one that is well attested
-                slips = 2 if min(na, nb) == 1 and max(na, nb) >= 3 else 1
-                ok = monge_elkan(x, y) >= least and len(x) == len(y)
-                keep.append(ok and all(min(osa(t, u, slips) for u in y) <= (slips if len(t) >= 8 else 1) for t in x))
+                keep.append(alike(a.split("/"), b.split("/"), 2 if min(na, nb) == 1 and max(na, nb) >= 3 else 1, least))
             yield batch.select([0, 1, 3]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -297,11 +311,12 @@ def _agreeing(batches):
         yield batch.select([0, 1]).filter(pa.array([given_agree(a, b) for a, b in given], pa.bool_()))
 
 
-def stars(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, centre) for every node (node, weight) with an edge (a, b): star clusters by degree, then weight, then name.
 
     Each round makes centres of the nodes that precede all their neighbours still undecided, and gives those neighbours to the best of the
-    new centres beside them: what the greedy algorithm does one centre at a time. A reliable checkpoint ends each round.
+    new centres beside them: what the greedy algorithm does one centre at a time. A reliable checkpoint ends each round, and rounds go on until
+    nothing is undecided: each settles at least the node that precedes all others, and usually nearly all of them.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     degree = both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
@@ -309,17 +324,13 @@ def stars(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     ranked = rank.withColumnsRenamed({"node": "a", "rank": "ra"})
     open_edges = cut(both.join(ranked, "a").join(rank.withColumnsRenamed({"node": "b", "rank": "rb"}), "b").select("a", "b", "ra", "rb"))
     settled: list[DataFrame] = []
-    for _ in range(rounds):
-        if open_edges.isEmpty():
-            break
+    while not open_edges.isEmpty():
         tops = open_edges.groupBy("a").agg(F.max("rb").alias("_m"), F.max("ra").alias("_r")).where("_r > _m").select(F.col("a").alias("centre"))
         taken = open_edges.join(tops, F.col("b") == F.col("centre")).groupBy("a").agg(F.max("rb").alias("_m")).select(F.col("a").alias("node"), F.col("_m.node").alias("centre"))
         new = cut(tops.select(F.col("centre").alias("node"), "centre").union(taken))
         settled.append(new)
         gone = new.select("node")
         open_edges = cut(open_edges.join(gone, open_edges.a == gone.node, "left_anti").join(gone, F.col("b") == gone.node, "left_anti"))
-    else:
-        raise RuntimeError("the stars did not settle")
     if not settled:
         return degree.select("node", F.col("node").alias("centre"))
     out = settled[0]
@@ -336,7 +347,7 @@ def name_mentions(indices: DataFrame, detected: DataFrame, identity: str = "jewi
     return terms.union(families).select(tidy).where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("mentions"))
 
 
-def variants(mentions: DataFrame, similarity: float = 0.5, rows: int = 4, miss: float = 0.005, least: float = 0.75) -> DataFrame:
+def variants(mentions: DataFrame, similarity: float = 0.5, rows: int = 4, miss: float = 0.005, least: float = 0.75, most: int = 512) -> DataFrame:
     """(name, mentions, kind, cluster): names of one cluster are spellings of one family, person or firm.
 
     `mentions` has one row per distinct (name, mentions). What cannot be read as a name, such as what has a number, an ordinal or a law
@@ -344,21 +355,31 @@ def variants(mentions: DataFrame, similarity: float = 0.5, rows: int = 4, miss:
     empty input gives no rows. An initial agrees with every given name it may stand for; where there are several, the spelling goes to the larger
     cluster.
     """
-    read = stored(mentions.where(F.col("name").isNotNull()).select("name", F.col("mentions").cast("bigint").alias("mentions")).mapInArrow(_reader, "name string, mentions bigint, kind string, core string, given string"), "forms")
+    # names are small and reading them is not: as many tasks as the session asks for, whatever the bytes
+    spaced = mentions.where(F.col("name").isNotNull()).select("name", F.col("mentions").cast("bigint").alias("mentions")).repartition(width(mentions.sparkSession), "name")
+    read = stored(spaced.mapInArrow(_reader, "name string, mentions bigint, kind string, core string, given string"), "forms")
     node = F.concat_ws("|", "kind", "core", "given")
     nodes = read.groupBy("kind", "core", "given").agg(F.sum("mentions").alias("weight")).withColumn("node", node)
     cores = read.groupBy("kind", "core").agg(F.count(F.lit(1)).alias("spellings"))
     bands = bands_for(similarity, rows, miss)
-    keyed = cores.mapInArrow(_banded(bands, rows), "key bigint, kind string, core string, spellings bigint")
-    left, right = (keyed.select("key", "kind", F.col("core").alias(c), F.col("spellings").alias("n" + c)) for c in "ab")
+    keyed = stored(cores.repartition(width(mentions.sparkSession), "core").mapInArrow(_banded(bands, rows), "key bigint, kind string, core string, spellings bigint"), "bands")
+    # a key with very many cores is compared in blocks, the others at once
+    hot = keyed.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key", "kind")
+    few = keyed.join(hot, ["key", "kind"], "left_anti")
+    left, right = (few.select("key", "kind", F.col("core").alias(c), F.col("spellings").alias("n" + c)) for c in "ab")
     # the distance, in the JVM, spares Python the chance meetings; a swap counts as two there
     close = (F.col("kind") == "partners") | (F.levenshtein("a", "b", 4) >= 0)
-    met = left.join(right, ["key", "kind"]).where("a < b").where(close).select("kind", "a", "na", "b", "nb").distinct()
-    alike = met.mapInArrow(_similar(least), "kind string, a string, b string")
+    plainly = left.join(right, ["key", "kind"]).where("a < b").where(close).select("kind", "a", "na", "b", "nb")
+    crowd = keyed.join(hot, ["key", "kind"], "left_semi").select(F.struct("key", "kind").alias("of"), "core", "spellings")
+    sides = blocked(crowd, "of", most, "core", "spellings").select("of.kind", F.explode("left").alias("x"), "right").select("kind", "x", F.explode("right").alias("y"))
+    crowded = sides.select("kind", F.least("x.core", "y.core").alias("a"), F.when(F.col("x.core") < F.col("y.core"), F.col("x.spellings")).otherwise(F.col("y.spellings")).alias("na"), F.greatest("x.core", "y.core").alias("b"), F.when(F.col("x.core") < F.col("y.core"), F.col("y.spellings")).otherwise(F.col("x.spellings")).alias("nb"))
+    met = plainly.union(crowded.where("a < b").where(close)).distinct()
+    # read in both directions, and the edges several times: each is made once
+    near = stored(met.mapInArrow(_similar(least), "kind string, a string, b string"), "near")
     same = cores.select("kind", F.col("core").alias("a"), F.col("core").alias("b"))
-    pairs = alike.union(alike.select("kind", F.col("b").alias("a"), F.col("a").alias("b"))).union(same)
+    pairs = near.union(near.select("kind", F.col("b").alias("a"), F.col("a").alias("b"))).union(same)
     # given names meet on what is left of them without one letter, an initial meets every name it may stand for: no surname, however
-    # common, has its bearers compared with one another
+    # common, has its bearers compared with one another; of one surname there are as many initials as letters, whatever its bearers
     initial = F.length("given") == 1
     shorter = F.when(F.length("given") > 1, F.transform(F.sequence(F.lit(1), F.length("given")), lambda i: F.concat(F.substring("given", F.lit(1), i - 1), F.substring("given", i + 1, F.length("given")))))
     slips = F.concat(F.array("given"), F.coalesce(shorter, F.array().cast("array<string>")))
@@ -370,7 +391,7 @@ def variants(mentions: DataFrame, similarity: float = 0.5, rows: int = 4, miss:
         return nodes.select("kind", F.col("core").alias(core), F.col("given").alias(given), F.col("node").alias(name), F.explode(F.array_distinct(keys)).alias("key"))
 
     ends = pairs.join(side("a", "ga", "u", asking), ["kind", "a"]).join(side("b", "gb", "v", asked), ["kind", "b", "key"])
-    edges = ends.where("u <> v").select("u", "v", "ga", "gb").distinct().mapInArrow(_agreeing, "u string, v string").toDF("a", "b")
+    edges = stored(ends.where("u <> v").select("u", "v", "ga", "gb").distinct().mapInArrow(_agreeing, "u string, v string").toDF("a", "b"), "edges")
     clusters = stars(nodes.select("node", "weight"), edges)
     named = read.withColumn("node", node).join(clusters, "node", "left")
     return named.select("name", "mentions", "kind", F.coalesce("centre", "node").alias("cluster"))

@@ -177,3 +177,13 @@ def test_gradient_is_the_derivative():
         q[k][at] += 1e-5
         up = subjects.gradient(bags, v.vectors(q["E"]), q["W"], q["b"])[0]
         assert (up - loss) / 1e-5 == pytest.approx(float(g[at]), rel=2e-3, abs=1e-4)
+
+
+def test_hot_band_keys_in_blocks(spark):
+    rows = [(f"{a}rothschild{b}", 1) for a in "abcdefgh" for b in "xyz"] + [("rothschild", 4), ("rothschlid", 1), ("roth-schild", 2), ("banque de france", 1), ("Banque de Frances", 1), ("bank of france", 1)]
+    m = spark.createDataFrame(rows, "name string, mentions long")
+    plain, blocks = ({(r.name, r.cluster) for r in names.variants(m, most=most).collect()} for most in (512, 2))
+    assert plain == blocks
+    of = dict(plain)
+    assert of["rothschild"] == of["rothschlid"] == of["roth-schild"] and of["banque de france"].startswith("house|")
+    assert names.alike(["rothschild"], ["rothschlid"], 1, 0.75) and not names.alike(["smith"], ["smythe"], 1, 0.75) and not names.alike([], [], 1, 0.75)
