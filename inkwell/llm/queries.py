@@ -1,5 +1,7 @@
 """Queries of problems 2 to 9 and, where SQL can express them on whole tables, their SQL."""
 
+from pyspark.sql import functions as F
+
 from inkwell.llm import bpe, frequency, mixing, names, neardup, pairs, split, subjects
 from inkwell.operators.hotkeys import mentions
 from inkwell.runtime import table
@@ -62,6 +64,12 @@ def p7_ids(spark, folder):
     return bpe.encode(table(spark, folder, "documents"))
 
 
+def p7_decoded(spark, folder):
+    """The texts that the ids of p7_ids decode to, by their md5."""
+    ids = p7_ids(spark, folder)
+    return bpe.decode(ids).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def _mix(spark, folder):
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "source_weights"))
 
@@ -99,6 +107,7 @@ QUERIES = {
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
+    "p7_decoded": p7_decoded,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
@@ -134,6 +143,7 @@ ORACLES = {
 r(doc_id, m) AS (SELECT doc_id, doc_id FROM l UNION SELECT v.b, r.m FROM r JOIN v ON v.a = r.doc_id), g AS (SELECT doc_id, min(m) AS group_id FROM r GROUP BY doc_id)
 SELECT doc_id, group_id, (SELECT count(*) FROM v WHERE v.a = g.doc_id) AS n_links FROM g""",
     "p5_found": f"SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(text, '{_P5}')) > 400",
+    "p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "p4_terms": _P4 + "SELECT term, n_mentions, n_records, mark FROM f",
     "p4_found": _P4 + "SELECT term, mark FROM f WHERE mark IS NOT NULL",
 }

@@ -115,3 +115,24 @@ def test_mix_meets_its_shares(spark):
     half = mixing.mix(docs, weights, total=2000.0).shares.agg({"selected_tokens": "sum"}).first()[0]
     assert abs(half - 2000) < 250
     assert mixing.mix(docs.limit(0), weights).records.count() == 0
+
+
+def test_long_words_equal_the_public_library(spark):
+    rng, reference = random.Random(8), reference_ids()
+    words = ["a" * 70_000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "-" * 300, "ß" * 257, "".join(rng.choice("etaoinshr") for _ in range(5000)), "x" * 256, "x" * 257]
+    docs = spark.createDataFrame([(i, f"before {w} after") for i, w in enumerate(words)], "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in bpe.encode(docs).collect()}
+    assert got == {i: reference(f"before {w} after") for i, w in enumerate(words)}
+    # the heap and the recursion give the same ids
+    merger = bpe.Merger(bpe.DEFAULT_FOLDER, bpe.VOCABULARY)
+    for w in ["international", "aaaaaaaaaaaa", "abababcabcab", "Übergrößenträger", "1234567890"]:
+        assert merger.encode_long(w) == merger.encode([w])[0].tolist()
+
+
+def test_decoding_is_the_inverse(spark):
+    texts = {1: "Plain, text 12.", 2: "", 3: None, 4: "naïve Straße 東京 🙂\n\n\t x", 5: "y " * 3000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs)).collect()} == {k: v or "" for k, v in texts.items()}
+    odd = spark.createDataFrame([(1, None), (2, [10**6]), (3, [bpe.ranks_of(bpe.DEFAULT_FOLDER, bpe.VOCABULARY)[b"\xff"]])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in bpe.decode(odd).collect()} == {1: "", 2: "", 3: None}
+    assert bpe.decode(odd.limit(0)).count() == 0
