@@ -3,7 +3,7 @@
 Training sees a bounded sample of labelled texts, kept in a few partitions. Every step each partition returns the gradient of its texts,
 the driver adds them up, takes one Adam step and sends the parameters out again. Scoring reads every text once: the trained embeddings
 are folded into one row of output weights per word, a unit (a sentence, or a stretch of an unpunctuated text) is scored by its average,
-and a text gets the subjects that enough of its units are about, so that a passing sentence does not count.
+every output on its own, and a text gets the subjects that enough of its units are about, so that a passing sentence does not count.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ _UNIT = re.compile(r"(?<=[.;!?…])\s+|[\r\n]+")
 SHRINK = 2
 #: A unit longer than this many words is cut into stretches of about half as many.
 LONG = 40
+#: A sentence or line of fewer words is no unit of its own.
+SHORT = 4
 
 
 def buckets_of(word: str) -> list[int]:
@@ -47,14 +49,26 @@ def weights_of(word: str) -> list[tuple[int, float]]:
 
 
 def units_of(text: str) -> list[list[str]]:
-    found = []
+    """The words of each unit. Short sentences and lines, headings above all, are put together until they have four words; a rest goes to the unit before it."""
+    found: list[list[str]] = []
+    held: list[str] = []
     for part in _UNIT.split(text.lower()):
         w = _WORD.findall(part)
         if len(w) > LONG:
             n = max(1, round(len(w) / (LONG // 2)))
             found += [w[len(w) * i // n : len(w) * (i + 1) // n] for i in range(n)]
-        elif len(w) >= 4:
+        elif len(w) >= SHORT:
             found.append(w)
+        else:
+            held += w
+            if len(held) >= SHORT:
+                found.append(held)
+                held = []
+    if held:
+        if found:
+            found[-1] = found[-1] + held
+        else:
+            found.append(held)
     return found
 
 
@@ -184,7 +198,7 @@ def start(subjects: int):
     return {"E": rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32), "W": rng.normal(0, 0.3, (subjects, DIMENSIONS)).astype(np.float32), "b": np.full(subjects, -2, np.float32)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, sample: int = SAMPLE, steps: int = 30, rate: float = 0.1, decay: float = 1e-6, least: int = 3, partitions: int = 6) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, sample: int = SAMPLE, steps: int = 30, rate: float = 0.1, decay: float = 1e-6, least: int = 3, partitions: int | None = None) -> Model:
     """A model of the subjects of `areas` from `labels` (doc_id, subject), read trimmed and without case; unknown and null ones are left out.
 
     At most `sample` labelled texts are used, those with the smallest hash of their id. Words count from `least` sampled texts on; their
@@ -198,7 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, sample: int = SAMP
     chosen = named.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # broadcast: at most `sample` ids
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "subjects")
-    texts = stored(texts.repartition(partitions), "labelled")
+    # as many parts as there are cores to add up gradients; 6,000 texts need no more
+    texts = stored(texts.repartition(partitions or max(6, docs.sparkSession.sparkContext.defaultParallelism), "text"), "labelled")
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
     words = dict(sorted((r[0], r[1]) for r in words.groupBy("w").count().where(F.col("count") >= least).collect()))
     p, adam, vocabulary = start(len(subjects)), Adam(rate), Vocabulary(words)
@@ -214,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame, sample: int = SAMP
     return Model(subjects, vocabulary.at, table, p["b"])
 
 
-def _scorer(model: Model, threshold: float, share: float):
+def _scorer(model: Model, threshold: float, share: float, section: int):
     def run(batches):
         import numpy as np
 
@@ -230,11 +245,11 @@ def _scorer(model: Model, threshold: float, share: float):
                 words = np.fromiter((row(w, none) for t in texts for u in t for w in u), np.int64, int(size.sum()))
                 # an unknown word counts in the length of its unit and weighs nothing
                 z = np.add.reduceat(matrix[words], np.cumsum(size) - size, axis=0) / size[:, None] + model.bias
-                about = (z >= np.log(threshold / (1 - threshold))) & (z == z.max(axis=1, keepdims=True))
+                about = z >= np.log(threshold / (1 - threshold))
                 n = np.fromiter(map(len, texts), np.int64, len(texts))
                 full = np.flatnonzero(n)
                 found = np.add.reduceat(about.astype(np.int64), (np.cumsum(n) - n)[full], axis=0)
-                enough = (found >= np.minimum(2, n[full])[:, None]) & (found >= share * n[full][:, None])
+                enough = (found >= np.minimum(2, n[full])[:, None]) & (found >= np.minimum(share * n[full], section)[:, None])
                 for i, k in zip(*np.nonzero(enough), strict=True):
                     kept.append(at + int(full[i]))
                     subjects.append(model.subjects[k])
@@ -245,16 +260,16 @@ def _scorer(model: Model, threshold: float, share: float):
     return run
 
 
-def assign(docs: DataFrame, model: Model, threshold: float = 0.5, share: float = 0.2) -> DataFrame:
+def assign(docs: DataFrame, model: Model, threshold: float = 0.5, share: float = 0.2, section: int = 8) -> DataFrame:
     """(doc_id, subject, n_units, n_about), a row for each subject of each text.
 
-    A unit is about its likeliest subject if that has at least `threshold`. A text has the subjects of at least `share` of its units and
-    of no fewer than two of them (or of all, where it has one). Null, empty and very short texts have none; repeated rows give repeated
-    rows; other columns are not read.
+    A unit is about every subject whose output is at least `threshold`. A text has the subjects of at least `share` of its units, or of `section` units,
+    which are a section of a long text, and of no fewer than two units (or of all, where it has one). Null, empty and blank texts have none; repeated
+    rows give repeated rows; other columns are not read.
     """
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_scorer(model, threshold, share), f"doc_id {kind}, subject string, n_units int, n_about int")
+    return rows.mapInArrow(_scorer(model, threshold, share, section), f"doc_id {kind}, subject string, n_units int, n_about int")
 
 
 def composition(assigned: DataFrame, docs: DataFrame) -> DataFrame:

@@ -187,3 +187,21 @@ def test_hot_band_keys_in_blocks(spark):
     of = dict(plain)
     assert of["rothschild"] == of["rothschlid"] == of["roth-schild"] and of["banque de france"].startswith("house|")
     assert names.alike(["rothschild"], ["rothschlid"], 1, 0.75) and not names.alike(["smith"], ["smythe"], 1, 0.75) and not names.alike([], [], 1, 0.75)
+
+
+def test_units_lose_no_word():
+    assert subjects.units_of("Cells\nDNA\nCell walls\nThe gene") == [["cells", "dna", "cell", "walls"] + ["the", "gene"]]
+    assert subjects.units_of("Cells\nDNA") == [["cells", "dna"]] and subjects.units_of("12 !\n") == []
+    assert subjects.units_of("One two three four. Five.") == [["one", "two", "three", "four", "five"]]
+    text = "A b. " * 30 + "word " * 100 + "\nEnd"
+    assert sum(map(len, subjects.units_of(text))) == 161
+
+
+def test_outputs_count_on_their_own(spark):
+    # a sentence that speaks of two subjects counts for both, and a section of a long text counts although it is a small share of it
+    known = {"gene": 0, "court": 1, "plain": 2}
+    model = subjects.Model(["law", "science"], known, np.asarray([[0, 60], [40, 0], [0, 0]], np.float32), np.asarray([-5, -5], np.float32))
+    both = "The gene before the court was old. " * 3
+    long = "Some plain words of no subject. " * 100 + "The court of the judges sat. " * 8
+    found = subjects.assign(spark.createDataFrame([(1, both), (2, long), (3, None), (4, "")], "doc_id long, text string"), model).collect()
+    assert sorted((r.doc_id, r.subject) for r in found) == [(1, "law"), (1, "science"), (2, "law")]
