@@ -48,5 +48,30 @@ REFUSALS = [
     "no se encontró información relevante", "no he encontrado información relevante", "no hemos encontrado nada sobre *", "no hay datos sobre *",
 ]
 
+# Words that say the same in a refusal; a template and a sentence are compared by the names of these classes.
+CLASSES = {
+    "<i>": "i we", "<cannot>": "cannot can't couldn't won't wouldn't mustn't shan't don't", "<unable>": "unable incapable", "<that>": "that this these those it",
+    "<answer>": "answer answering help helping assist assisting discuss discussing comment commenting respond responding reply replying talk talking speak speaking say saying tell telling address addressing speculate speculating elaborate elaborating",
+    "<question>": "question questions request requests query queries topic matter subject",
+    "<kann>": "kann darf möchte will werde könnte können dürfen möchten wollen werden", "<sagen>": "beantworten sagen helfen antworten äußern kommentieren besprechen erläutern mitteilen weiterhelfen sprechen reden", "<das>": "das dies dazu darüber hierzu hierüber diese dieser",
+    "<peux>": "peux peut puis pouvons souhaite souhaitons veux voulons", "<répondre>": "répondre aider commenter parler discuter dire prononcer renseigner",
+    "<puedo>": "puedo podemos quiero queremos deseo debo", "<responder>": "responder contestar ayudar ayudarle ayudarte comentar hablar decir discutir pronunciarme",
+}
+
+# Words that a refusal may have anywhere.
+FILLERS = frozenset("leider unfortunately sadly regrettably really simply also malheureusement hélas lamentablemente desgraciadamente bitte please you ihnen vous".split())
+
+# Beginnings that decline, whatever follows.
+DECLINES = [
+    "i cannot answer *", "i cannot be answering *", "i am unable to answer *", "i am not able to answer *", "i am not allowed to answer *", "i am not in a position to answer *", "i don't feel comfortable answering *",
+    "i am not comfortable answering *", "that is not something i can answer *", "that is not something i am able to answer", "i prefer not to answer *", "i would rather not answer *", "i'd rather not answer *", "i refuse to answer *", "i have nothing to say about *",
+    "das kann ich nicht sagen *", "ich kann das nicht sagen *", "ich kann darüber nicht sagen", "dazu kann ich nichts sagen *", "ich bin nicht in der lage das zu sagen *", "ich bin nicht befugt *", "darüber kann ich keine auskunft geben *", "dabei kann ich nicht helfen *",
+    "je ne peux pas répondre *", "je ne peux rien dire *", "je ne suis pas en mesure de répondre *", "je ne suis pas autorisé à répondre *", "il m'est impossible de répondre *", "je préfère ne pas répondre *", "je refuse de répondre *",
+    "no puedo responder *", "no estoy en condiciones de responder *", "no me es posible responder *", "me es imposible responder *", "prefiero no responder *", "me niego a responder *",
+]
+
 # Abbreviations whose full stop ends no sentence.
 TITLES = "mr mrs ms dr messrs st vol no nr prof hon sr sra".split()
+
+# More of them, around names.
+AROUND_NAMES = "esq jr rev bros co ltd inc corp gebr cie".split()

@@ -1,7 +1,7 @@
 """Defects of question and answer pairs.
 
 An answer is aligned with its question and with the refusal templates by shingle containment and longest common subsequence; its
-language is read from function words; whether an unfinished last sentence could end where it does is read from how all answers of
+language is told by a model of words and trigrams; whether an unfinished last sentence could end where it does is read from how all answers of
 the collection end theirs.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import lexicon
+from inkwell.llm.language import Languages, learn
 from inkwell.runtime import stored
 
 DEFECTS = ("empty", "copies_question", "refusal", "other_language", "truncated")
@@ -28,8 +29,10 @@ _STOP = re.compile(r"[.!?。！？][\"')\]”»*_\s]*$")
 _QUOTED = re.compile("\"[^\"]*\"|“[^”]*”|«[^»]*»")
 _SENTENCE = re.compile(r"[.!?…][\"')\]”»*]*\s+|\n+|:\s+")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
-#: Words and marks beyond which an answer is no placeholder, and no refusal.
-_BARE, _SHORT = 12, 75
+#: Share of an answer's words that a refusal takes at least, unless what else there is says nothing of the matter.
+_REFUSED = 0.25
+#: By how much the words of an answer, and of a question, must speak for a language more than for any other.
+_SURE = (4.0, 2.0)
 # Words around a repeated question.
 _LABELS = frozenset(
     "question answer you asked would like to know frage antwort sie fragten möchten wissen réponse vous avez demandé voulez savoir pregunta respuesta usted preguntó quiere saber q a that is the".split()
@@ -66,19 +69,18 @@ def containment(inner: list, outer: list, k: int) -> float:
 
 
 class Words(dict):
-    """Number of each word met, from 2 on, with its lower-case form, its hashes and the languages whose function words it is."""
+    """Number of each word met, from 2 on, with its lower-case form, its hashes and what it says for each language."""
 
-    LANGUAGES = tuple(lexicon.FUNCTION_WORDS)
-
-    def __init__(self):
+    def __init__(self, languages: Languages | None):
         import numpy as np
 
         super().__init__((e, 0) for e in _ENDS)
-        self.of = [(lang, frozenset(w.split())) for lang, w in lexicon.FUNCTION_WORDS.items()]
+        self.common = [(lang, frozenset(w.split())) for lang, w in lexicon.FUNCTION_WORDS.items()]
+        self.learnt = languages or Languages([], {}, {})
         self.lower: list[str] = ["", ""]
         self.hashes: list[int] = [0, 0]
         self.masks: list[int] = [self.code("^"), self.code("^")]
-        self.bits: list[list[bool]] = [[False] * len(self.of)] * 2
+        self.scores: list[list[float]] = [[0.0] * (len(self.common) + len(self.learnt.names))] * 2
         self.np = np
 
     @staticmethod
@@ -93,13 +95,24 @@ class Words(dict):
         self.lower.append(low)
         self.hashes.append(self.code(word))
         self.masks.append(self.code("9" if any(c.isdigit() for c in word) else "X" if word[0].isupper() else low))
-        self.bits.append([low in w for _, w in self.of])
+        self.scores.append([float(low in w) for _, w in self.common] + self.learnt.score(low))
         return number
 
     def languages(self, ids, first):
-        """(texts x languages): how many function words of each language a text has."""
-        counts = self.np.concatenate([self.np.zeros((1, len(self.of)), int), self.np.cumsum(self.np.asarray(self.bits, int)[ids], axis=0)])
-        return counts[first[1:]] - counts[first[:-1]]
+        """(texts x evidence): function words of each language that has a list, then what all words say for each language learnt."""
+        sums = self.np.concatenate([self.np.zeros((1, len(self.scores[0]))), self.np.cumsum(self.np.asarray(self.scores)[ids], axis=0)])
+        return sums[first[1:]] - sums[first[:-1]]
+
+    def language(self, evidence, least: int, sure: float) -> str | None:
+        """The language most function words point to; where they are few or divided the one that all words speak for, or None if they do not either."""
+        k = len(self.common)
+        second, first = sorted(evidence[:k])[-2:]
+        if first >= least and first >= 1.4 * second:
+            return self.common[int(evidence[:k].argmax())][0]
+        if len(self.learnt.names) < 2:
+            return None
+        second, first = sorted(evidence[k:])[-2:]
+        return self.learnt.names[int(evidence[k:].argmax())] if first - second >= sure else None
 
 
 def _grams(word, m0, m1, m2):
@@ -114,22 +127,17 @@ def _grams(word, m0, m1, m2):
     return [x.astype(np.uint64).view(np.int64) for x in (word, two * c, three * b)]
 
 
-def _language(counts, least: int) -> str | None:
-    """The language most function words point to; None where they are few or divided."""
-    first = counts.max()
-    if first < least:
-        return None
-    return Words.LANGUAGES[counts.argmax()] if first >= 1.4 * sorted(counts)[-2] else None
-
-
 class Judge:
     def __init__(self):
         self.placeholders = frozenset(lexicon.PLACEHOLDERS)
         self.openers = sorted((tokens(o) for o in lexicon.OPENERS), key=len, reverse=True)
-        parts = [[tokens(x) for x in r.split("*")] for r in lexicon.REFUSALS]
+        self.classes = {w: name for name, words in lexicon.CLASSES.items() for w in words.split()}
+        parts = [[self.classed(tokens(x)) for x in r.split("*")] for r in [*lexicon.REFUSALS, *lexicon.DECLINES]]
         self.templates = [(p, len(p) > 1, frozenset(t for x in p for t in x)) for p in parts]
-        # a refusal has one of the two longest words of its template
-        self.triggers = frozenset(t for _, _, names in self.templates for t in sorted(names, key=lambda t: (-len(t), t))[:2])
+        # a refusal has one of the two longest words of its template, or a word of the class that stands for it
+        long = {t for _, _, names in self.templates for t in sorted(names, key=lambda t: (-len(t), t))[:2]}
+        self.triggers = frozenset(w for t in long for w in (lexicon.CLASSES[t].split() if t in lexicon.CLASSES else [t]))
+        self.abbreviations = frozenset([*lexicon.TITLES, *lexicon.AROUND_NAMES])
         self.asks = re.compile("|".join(rf"(?P<{lang}>\b(?:in|auf|en|em)\s+(?:{'|'.join(n.split())})\b)" for lang, n in lexicon.LANGUAGE_NAMES.items()), re.I)
         self.titles = frozenset(lexicon.TITLES)
 
@@ -144,30 +152,58 @@ class Judge:
         return len(lines) == 1 and len(toks) <= 3 and re.fullmatch(r"\s*(?:\*\*[^*]+\*\*|#+ .*|[^.!?]{1,40}:)\s*", lines[0]) is not None
 
     def copies(self, question: list[str], answer: list[str]) -> bool:
-        """The answer holds little but the question, once or more, whole or slightly changed."""
-        if len(question) < 2 or not answer or len(answer) > 3 * len(question) + 20:
+        """The answer holds little but the question, once or more, whole or slightly changed: decided by shares of words, whatever the lengths."""
+        if len(question) < 2 or not answer:
             return False
         known = set(question)
         rest = [t for t in answer if t in known or t not in _LABELS]
-        if not rest or len(rest) < 0.6 * len(question) or len(rest) > 3 * len(question) + 4:
+        # most words are the question's: without that no run of two words can be
+        if sum(map(known.__contains__, rest)) < 0.6 * len(rest) or not rest or len(rest) < 0.6 * len(question):
             return False
         repeats = max(1, round(len(rest) / len(question)))
         return containment(rest, question, 2) >= 0.6 and common_length(question * repeats, rest) >= 0.75 * len(rest)
 
-    def refuses(self, answer: str) -> bool:
-        """One sentence aligns with a refusal template, and what else there is stays short."""
-        sentences = [s for s in map(tokens, _SENTENCE.split(_QUOTED.sub(" ", answer))) if s]
-        if sum(map(len, sentences)) > 60:
-            return False
-        for at, s in enumerate(sentences[:3]):
+    def classed(self, words: list[str]) -> list[str]:
+        """Words by the names of their classes, without fillers."""
+        return [self.classes.get(t, t) for t in words if t not in lexicon.FILLERS]
+
+    def sentences(self, answer: str, question: str = "") -> list[list[str]]:
+        """The words of each sentence. The full stop of an initial, of a title or of what the question abbreviates as well ends none."""
+        short = self.abbreviations | {t.lower() for t in re.findall(r"(\w+)\.(?=\s+\S)", question)}
+        found: list[list[str]] = []
+        at, goes_on = 0, False
+        for m in [*_SENTENCE.finditer(answer), None]:
+            words = tokens(answer[at : m.start() if m else len(answer)])
+            if words:
+                found[-1:] = [found[-1] + words] if goes_on else [*found[-1:], words]
+            at = m.end() if m else at
+            goes_on = bool(m and words) and m[0][0] == "." and (len(words[-1]) == 1 or words[-1] in short)
+        return found
+
+    def refuses(self, answer: str, question: str = "") -> bool:
+        """A sentence aligns with a refusal template, and it is a fair part of the answer, or what else there is neither speaks of what was asked nor
+        has a number."""
+        sentences = self.sentences(_QUOTED.sub(" ", answer), question)
+        # a sentence that is an opening alone says nothing
+        sentences = [s for s in sentences if s not in self.openers]
+        total = sum(map(len, sentences))
+        refused, rest = 0, []
+        for full in sentences:
+            s = full
             for o in self.openers:
                 if len(s) > len(o) and s[: len(o)] == o:
                     s = s[len(o) :]
                     break
+            s = self.classed(s)
             words = set(s)
             if any(len(names & words) >= 0.84 * len(names) and self._aligned(s, parts, slot) for parts, slot, names in self.templates):
-                return sum(map(len, sentences[:at])) <= 12
-        return False
+                refused += len(full)
+            else:
+                rest += full
+        if not refused:
+            return False
+        asked = {t for t in tokens(question) if len(t) > 4 and t not in _LABELS}
+        return refused >= _REFUSED * total or not any(t in asked or any(c.isdigit() for c in t) for t in rest)
 
     @staticmethod
     def _aligned(s: list[str], parts: list[list[str]], slot: bool) -> bool:
@@ -198,11 +234,18 @@ class Judge:
 _READ = "job_id string, defect string, tail array<bigint>, heard boolean, gram bigint, seen bigint, ended bigint"
 
 
-def _read(batches):
+def _reader(languages: Languages | None):
+    def run(batches):
+        yield from _read(batches, languages)
+
+    return run
+
+
+def _read(batches, languages: Languages | None):
     """Judges pairs (job_id, question, answer), and counts how often the words of all answers stand at the end of a sentence."""
     import numpy as np
 
-    judge, words = Judge(), Words()
+    judge, words = Judge(), Words(languages)
 
     def part(jobs, questions, answers):
         n = len(answers)
@@ -232,15 +275,16 @@ def _read(batches):
         defect, tail, heard = [], [], []
         for i in range(n):
             a, h, found, last, known = bare[i], held[i], None, None, False
-            if len(h) <= _BARE and judge.empty(a):
+            mine = [words.lower[w] for w in h if w > 1]
+            if len(mine) <= 3 and judge.empty(a):
                 found = "empty"
-            elif len(h) <= 4 * len(asked[i]) + 30 and judge.copies([words.lower[w] for w in asked[i]], [words.lower[w] for w in h if w > 1]):
+            elif judge.copies([words.lower[w] for w in asked[i]], mine):
                 found = "copies_question"
-            elif len(h) <= _SHORT and not judge.triggers.isdisjoint(words.lower[w] for w in h) and judge.refuses(a):
+            elif not judge.triggers.isdisjoint(mine) and judge.refuses(a, questions[i] or ""):
                 found = "refusal"
             else:
-                mine, his = _language(own[i], 2), _language(theirs[i], 1)
-                if mine and his and mine != his and mine not in {m.lastgroup for m in judge.asks.finditer(questions[i])}:
+                spoken, his = words.language(own[i], 2, _SURE[0]), words.language(theirs[i], 1, _SURE[1])
+                if spoken and his and spoken != his and spoken not in {m.lastgroup for m in judge.asks.finditer(questions[i])}:
                     found = "other_language"
                 elif judge.broken_form(a):
                     found = "truncated"
@@ -261,7 +305,7 @@ def _read(batches):
 
     for batch in batches:
         if len(words) > 500_000:
-            words = Words()
+            words = Words(languages)
         if batch.num_rows:
             yield from part(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist())
 
@@ -279,14 +323,17 @@ def latest_answers(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return questions.join(answers, "job_id").select("job_id", F.col("_q.question").alias("question"), F.col("_r.answer").alias("answer"))
 
 
-def defects(requests: DataFrame, responses: DataFrame, least: int = 4, share: float = 0.03) -> DataFrame:
+def defects(requests: DataFrame, responses: DataFrame, docs: DataFrame | None = None, least: int = 4, share: float = 0.03) -> DataFrame:
     """(job_id, defect) of the defective pairs, at most one defect each; see `DEFECTS` for the kinds and their precedence.
 
+    Four languages are told by their commonest words; where these are few or divided, and for other languages, by what is learnt from `docs` (doc_id,
+    text, lang) where given, from a sample of at most `language.SAMPLE` texts.
     A null answer is empty; without a question an answer is neither a copy nor in another language. An answer that stops without a mark
     is truncated where its last words, met at least `least` times in the collection, end a sentence in less than `share` of the cases,
     or where its last word occurs nowhere else. Empty tables give no rows; other columns are not read.
     """
-    read = stored(latest_answers(requests, responses).mapInArrow(_read, _READ), "answers")
+    languages = learn(docs) if docs is not None else None
+    read = stored(latest_answers(requests, responses).mapInArrow(_reader(languages), _READ), "answers")
     marked = read.where("job_id IS NOT NULL")
     open_ends = marked.where("tail IS NOT NULL").select("job_id", "heard", F.posexplode("tail").alias("level", "gram"))
     needed = open_ends.select("gram").distinct()

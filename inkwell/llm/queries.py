@@ -57,7 +57,7 @@ def p5_found(spark, folder):
 
 
 def p6_found(spark, folder):
-    return pairs.defects(table(spark, folder, "queryrequest"), table(spark, folder, "querystatusresponse"))
+    return pairs.defects(table(spark, folder, "queryrequest"), table(spark, folder, "querystatusresponse"), table(spark, folder, "documents"))
 
 
 def p7_ids(spark, folder):

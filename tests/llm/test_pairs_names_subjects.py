@@ -205,3 +205,52 @@ def test_outputs_count_on_their_own(spark):
     long = "Some plain words of no subject. " * 100 + "The court of the judges sat. " * 8
     found = subjects.assign(spark.createDataFrame([(1, both), (2, long), (3, None), (4, "")], "doc_id long, text string"), model).collect()
     assert sorted((r.doc_id, r.subject) for r in found) == [(1, "law"), (1, "science"), (2, "law")]
+
+
+#: Refusals of wordings that the templates do not have as they stand, written for this test alone.
+UNSEEN = [
+    "Sorry, that is not something I can help you with.", "I don't feel comfortable answering that.", "I won't be discussing that.", "Das darf ich leider nicht sagen.", "We are not able to assist with this topic.",
+    "I would rather not talk about the bank.", "I really cannot comment on this matter.", "I am not allowed to tell you anything on the subject.", "Dabei kann ich Ihnen leider nicht weiterhelfen.", "Ich bin nicht in der Lage, dazu etwas zu sagen.",
+    "Je ne souhaite pas commenter ce sujet.", "Il m'est malheureusement impossible de vous aider.", "No deseo hablar de eso.", "No estoy en condiciones de ayudarle.", "Me niego a comentar este asunto.", "I can't speak to that question.",
+]
+#: Sentences that look like refusals and answer.
+ANSWERS = [
+    "The directors said that they were unable to help, but the merchants paid the clerks.", "Nothing was found at the harbour until 1704, when the clerks opened the second box.", "He could not answer the letter before winter, and the bank closed.",
+    "No one can say this better than the clerk, who told the story in 1850.", "Die Kaufleute konnten die Frage nicht beantworten und schrieben dem Archiv.", "La bodega no pudo responder a las cartas de 1810.",
+]
+
+
+def test_refusals_of_unseen_wordings():
+    judge = pairs.Judge()
+    caught = [s for s in UNSEEN if judge.refuses(s) and not judge.triggers.isdisjoint(pairs.tokens(s))]
+    assert len(caught) >= 0.9 * len(UNSEEN), set(UNSEEN) - set(caught)
+    assert not [s for s in ANSWERS if judge.refuses(s)]
+
+
+def test_no_length_switches_a_detector_off():
+    judge = pairs.Judge()
+    question = "Who kept the sealed letters of the harbour?"
+    polite = " ".join(["There are many other things in life that one may wonder about on a quiet day and all of them deserve some patience and good will."] * 4)
+    assert judge.refuses("I can't help with that request. " + polite, question) and judge.refuses(polite + " I can't help with that request.", question)
+    # what else there is speaks of the matter and is most of the answer
+    assert not judge.refuses("I cannot say more. " + " ".join(["The letters of the harbour were sealed by the clerks and sold to the merchants in winter."] * 3), question)
+    q = pairs.tokens(question)
+    assert judge.copies(q, q * 5) and judge.copies(q, q * 40) and not judge.copies(q, pairs.tokens("the clerks and merchants of the town met in the winter to count their losses") * 5)
+    assert judge.refuses("Zu Edward Esq. liegen keine Angaben vor.") and judge.refuses("Zu Alexr. Baring liegen keine Angaben vor.", "Wer war Alexr. Baring?")
+
+
+def test_a_language_that_only_the_texts_know(spark):
+    from inkwell.llm import language
+
+    italian = ["Mercanti veneziani conservavano lettere sigillate presso i magazzini portuali, e gli scrivani copiavano documenti ogni inverno.", "Gli scrivani della banca conservavano ogni lettera e copiavano i conti dei mercanti."]
+    english = ["The merchants of the harbour kept sealed letters, and the clerks copied them every winter.", "The clerks of the bank kept every letter and copied the accounts of the merchants."]
+    docs = [(i, t, lang) for i, (t, lang) in enumerate([(f"{t} {n}", lang) for n in range(40) for texts, lang in ((italian, "ita"), (english, "en-GB")) for t in texts])]
+    d = spark.createDataFrame([*docs, (900, None, "en"), (901, "x", None), (902, "y", "unclear")], "doc_id long, text string, lang string")
+    learnt = language.learn(d)
+    assert learnt.names == ["en", "it"] and learnt.score("gli")[1] > 0 > learnt.score("gli")[0] and learnt.score("1907") == [0.0, 0.0]
+    q = "Who kept the sealed letters of the harbour and why?"
+    asked = [(1, "a", q, None, None), (2, "b", q, None, None), (3, "c", q + " Answer in Italian.", None, None)]
+    polled = [(1, "a", "complete", italian[1] + " Mercanti conservavano lettere.", None), (2, "b", "complete", GOOD, None)]
+    found = pairs.defects(spark.createDataFrame(asked, REQUEST), spark.createDataFrame(polled, RESPONSE), d).collect()
+    assert [tuple(r) for r in found] == [("a", "other_language")]
+    assert language.learn(d.limit(0)) is None and language.learn(d.where("lang = 'ita'")) is None
