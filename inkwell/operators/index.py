@@ -158,9 +158,14 @@ def with_detections(post: DataFrame, detections: DataFrame, groups: dict[str, li
 
 
 def identity_rollup(detected: DataFrame) -> DataFrame:
-    """(identity, surname, n, rank) of detections (identity, surname): how often each name was found, commonest first, then by name."""
-    counts = detected.groupBy("identity", "surname").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("identity").orderBy(F.desc("n"), "surname")))
+    """(identity, surname, n, rank) of detections (identity, surname): how often each name was found, commonest first, then by name.
+
+    One identity has most names; ranks come from places among all rows, so that its names need not meet in one task.
+    """
+    from inkwell.operators.postprocess import placed_within
+
+    counts = detected.groupBy("identity", "surname").agg(F.count(F.lit(1)).alias("n")).withColumn("_less", -F.col("n"))
+    return placed_within(counts, "identity", "_less", "surname").select("identity", "surname", "n", (F.col("place") + 1).cast("int").alias("rank"))
 
 
 def identity_volume(detected: DataFrame) -> DataFrame:

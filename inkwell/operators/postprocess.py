@@ -192,28 +192,37 @@ def period_sample(chunks: DataFrame, phrases: list[str], terms: list[str], cap:
 def batches(rows: DataFrame, size: int, *order: str, partitions: str | None = None) -> DataFrame:
     """Adds `batch`: consecutive groups of `size` rows, per value of `partitions` where one is named, else over all rows.
 
-    Over all rows the places come from the offsets of range partitions, so that no task sees them all.
+    The places come from the offsets of ranges, so that no task sees all rows, nor all of one value.
     """
-    if partitions:
-        return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(partitions).orderBy(*order)) - 1) / size))
-    return placed(rows, *order).withColumn("batch", F.floor(F.col("place") / size)).drop("place")
+    numbered = placed_within(rows, partitions, *order) if partitions else placed(rows, *order)
+    return numbered.withColumn("batch", F.floor(F.col("place") / size)).drop("place")
+
+
+def placed_within(rows: DataFrame, part: str, *order: str) -> DataFrame:
+    """Adds `place`, the row's number from 0 among the rows of its value of `part`, in the order of `order`: its place among all rows less that of the first."""
+    numbered = placed(rows, part, *order)
+    # partially aggregated: a row per value and task
+    starts = numbered.groupBy(part).agg(F.min("place").alias("_start"))
+    same = numbered[part].eqNullSafe(starts[part])
+    return numbered.join(starts, same).drop(starts[part]).withColumn("place", F.col("place") - F.col("_start")).drop("_start")
 
 
 #: Rows of a range in which `placed` sorts.
 PLACED = 1 << 18
 
 
-def placed(rows: DataFrame, *order: str) -> DataFrame:
+def placed(rows: DataFrame, *order: str, one_sort: int = 4096) -> DataFrame:
     """Adds `place`, the row's number from 0 in the total order of `order`: position in its range plus the rows of the ranges before.
 
     Ranges are cut on the whole order, at rows drawn by their hash, about one for `PLACED` rows: however the first order column is distributed, no
-    range grows with the table, and no row reaches the driver. A row finds its range in two steps, among coarse cuts and then among the finer ones
-    behind one of them. Rows of the same order may come in any order.
+    range grows with the table, and no row reaches the driver. Rows are read several times, and so are stored first. A row finds its range in two steps, among coarse cuts and then among the finer ones
+    behind one of them. Rows of the same order may come in any order. Up to `one_sort` rows are simply sorted.
     """
-    from inkwell.runtime import width
+    from inkwell.runtime import stored, width
 
+    rows = stored(rows, "placed")
     n = rows.agg(F.count(F.lit(1)).alias("n")).first().n
-    if n <= 4096:
+    if n <= one_sort:
         return rows.withColumn("place", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
     ranges = max(width(rows.sparkSession), -(-n // PLACED))
     # 16 draws a range even out its size; ranges times 16 rows in one sort
@@ -261,17 +270,18 @@ def context(chunks: DataFrame, kind: str = "passages", *scope: str) -> DataFrame
 
 
 def contexts(chunks: DataFrame, kind: str, grp: str, size: int | None = None, by_year: bool = False) -> DataFrame:
-    """(grp, batch, n, context): the chunks (chunk_id, ord, filename, text) of each group as texts of at most `size` chunks (what fits a request), in order,
+    """(grp, batch, n, context): the chunks (chunk_id, ord, filename, text), each id once, of each group as texts of at most `size` chunks (what fits a request), in order,
     or by their first year. With `passages` the first text of a group tells how many there are in all; later ones go on without it.
 
     The places of the chunks come from `placed`, so that no task sees a whole group.
     """
     rows = chunks.withColumn("_y", F.coalesce(X.first_year(F.col("text")), F.lit(1_000_000_000))) if by_year else chunks.withColumn("_y", F.lit(0))
     sizes = rows.groupBy(grp).agg(F.count(F.lit(1)).alias("_all"), F.min("_y").alias("_first"))
-    numbered = placed(rows, grp, "_y", "ord", "chunk_id")
+    # the places of ids alone; texts meet them afterwards
+    numbered = placed(rows.select(grp, "_y", "ord", "chunk_id"), grp, "_y", "ord", "chunk_id", one_sort=1 << 16)
     # as many rows as groups: regions, periods, or one
     starts = numbered.groupBy(grp).agg(F.min("place").alias("_start"))
-    joined = numbered.join(F.broadcast(starts), grp).withColumn("batch", F.floor((F.col("place") - F.col("_start")) / (size or token_batch_size())))
+    joined = rows.join(numbered.select("chunk_id", "place"), "chunk_id").join(F.broadcast(starts), grp).withColumn("batch", F.floor((F.col("place") - F.col("_start")) / (size or token_batch_size())))
     made = context(joined.withColumn("ord", F.struct("_y", "ord", "chunk_id")), kind, grp, "batch")
     if kind == "passages":
         made = made.join(F.broadcast(sizes.select(grp, "_all")), grp)

@@ -26,11 +26,12 @@ def top_k(rows: DataFrame, query: list[float], k: int = 10, key: str = "vec_id",
     return normalized(rows.select(key, vector), vector).select(key, dot(F.col(vector), q).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def top_k_each(rows: DataFrame, every: int = 50, k: int = 10, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+def top_k_each(rows: DataFrame, every: int = 50, k: int = 10, key: str = "vec_id", vector: str = "embedding", block: int = 1024, part: int = 16384) -> DataFrame:
     """(query_id, key, similarity, rank): the k nearest other rows of every row whose key is divisible by `every`, against all rows.
 
-    Queries and rows are cut into blocks of about `block` vectors, whatever their number, and every block of queries meets every block of rows in a Python
-    task that keeps k best per query: k results for each query and block are all that is shuffled afterwards. Ties go to the smaller key.
+    Queries are cut into blocks of about `block` vectors and rows into parts of about `part`, whatever their number. The blocks, which are the smaller
+    side, are sent to the parts, and a Python task keeps the k best of a part for each query: these are all that is shuffled afterwards. Ties go to the
+    smaller key.
     """
     import numpy as np
     import pyarrow as pa
@@ -38,21 +39,26 @@ def top_k_each(rows: DataFrame, every: int = 50, k: int = 10, key: str = "vec_id
     unit = normalized(rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")), "v")
     asked = F.col("id") % every == 0
     counts = unit.agg(F.count(F.lit(1)).alias("n"), F.count_if(asked).alias("q")).first()
-    blocks, parts = (-(-max(1, n) // block) for n in (counts.q, counts.n))
+    blocks, parts = -(-max(1, counts.q) // block), -(-max(1, counts.n) // part)
     packed = unit.where(asked).groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("qs"))
     spread = unit.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("ds"))
-    pairs = spread.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(packed, "block")
+    # a query is sent to as many parts as there are; no row is sent but once
+    pairs = packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))).join(spread, "part")
 
     def best(batches):
         for batch in batches:
             for qs, ds in zip(batch.column("qs").to_pylist(), batch.column("ds").to_pylist(), strict=True):
                 qi, di = (np.asarray([x["id"] for x in xs], np.int64) for xs in (qs, ds))
-                s = np.asarray([x["v"] for x in qs]) @ np.asarray([x["v"] for x in ds]).T
-                s[qi[:, None] == di[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(di, s.shape), -s), axis=1)[:, :k]
-                at = np.take_along_axis(s, order, 1).ravel()
-                keep = at > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, order.shape[1])[keep]), pa.array(di[order].ravel()[keep]), pa.array(at[keep])], names=["query_id", "id", "similarity"])
+                left, right = (np.asarray([x["v"] for x in xs]) for xs in (qs, ds))
+                # a stretch of rows at a time bounds the matrix
+                for at in range(0, len(di), 2048):
+                    d = di[at : at + 2048]
+                    s = left @ right[at : at + 2048].T
+                    s[qi[:, None] == d[None, :]] = -np.inf
+                    order = np.lexsort((np.broadcast_to(d, s.shape), -s), axis=1)[:, :k]
+                    best_s = np.take_along_axis(s, order, 1).ravel()
+                    keep = best_s > -np.inf
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, order.shape[1])[keep]), pa.array(d[order].ravel()[keep]), pa.array(best_s[keep])], names=["query_id", "id", "similarity"])
 
     from pyspark.sql import Window
 

@@ -194,9 +194,7 @@ class Engine:
         the generator makes of their contexts.
         """
         if not use_llm:
-            # ids alone, read several times
-            ids = stored(self.retrieve(text), "found")
-            return postprocess.contexts(retrieve.lookup(self.chunks, ids).withColumn("grp", F.lit("all")), "passages", "grp")
+            return postprocess.contexts(retrieve.lookup(self.chunks, self.retrieve(text)).withColumn("grp", F.lit("all")), "passages", "grp")
         return self.generator(text, self.contexts(text, strategies))
 
     def contexts(self, text: str, strategies: list[Q.Strategy] = Q.STRATEGIES) -> DataFrame:

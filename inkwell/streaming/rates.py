@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR, MINUTE = 3600, 60
@@ -13,20 +13,31 @@ def _seconds(ts: str):
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def _sliding(events: DataFrame, keys: tuple[str, ...], ts: str, seconds: int, name: str, value: Column) -> DataFrame:
+    """Adds `name`, `value` aggregated over the last `seconds` up to each row, itself and ties included, one exactly `seconds` old excluded.
+
+    Time is cut into spans of `seconds`, and every row also goes with the span after its own, which sees no further back: however many rows a key
+    has, or all of them without a key, a group is two spans of it.
+    """
+    t, span = _seconds(ts), seconds * 1_000_000
+    own = F.when(t.isNull(), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
+    rows = events.withColumn("_t", t).withColumn("_own", F.explode(own)).withColumn("_span", F.floor(F.col("_t") / span) + F.when(F.col("_own"), 0).otherwise(1))
+    window = Window.partitionBy(*keys, "_span").orderBy("_t").rangeBetween(-(span - 1), 0)
+    return rows.withColumn(name, value.over(window)).where("_own").drop("_t", "_own", "_span")
+
+
 def arrival_rate(events: DataFrame, key: str, ts: str, seconds: int = HOUR) -> DataFrame:
     """Adds `recent`: events of the key in the last `seconds` up to this one, itself and ties included, one exactly `seconds` old excluded."""
-    span = Window.partitionBy(key).orderBy(_seconds(ts)).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return events.withColumn("recent", F.count(F.lit(1)).over(span))
+    return _sliding(events, (key,), ts, seconds, "recent", F.count(F.lit(1)))
 
 
 def token_rate(events: DataFrame, tokens: str, ts: str, seconds: int = MINUTE, limit: int = 250_000, share: float = 0.9, *keys: str) -> DataFrame:
     """Adds `used`, the tokens of the last `seconds` with this request, and `wait`, the seconds to wait before it: over / limit * 60, else 0.
 
-    Give the keys whose budgets are separate; without any the whole stream is one budget and one ordered group.
+    Give the keys whose budgets are separate; without any the whole stream is one budget.
     """
-    span = Window.partitionBy(*keys).orderBy(_seconds(ts)).rangeBetween(-(seconds * 1_000_000 - 1), 0)
     over = F.col("used") - limit * share
-    return events.withColumn("used", F.sum(tokens).over(span)).withColumn("wait", F.when(over > 0, over / limit * seconds).otherwise(0.0))
+    return _sliding(events, keys, ts, seconds, "used", F.sum(tokens)).withColumn("wait", F.when(over > 0, over / limit * seconds).otherwise(0.0))
 
 
 def too_large(tokens, request_limit: int = 200_000, minute_limit: int = 250_000, share: float = 0.95):
