@@ -11,6 +11,9 @@ from inkwell.llm import bpe
 from inkwell.operators.hotkeys import numbered
 from inkwell.runtime import stored, width
 
+#: Rows of a source and bucket that one task numbers, about: buckets are as many as the records demand.
+BUCKET = 1 << 17
+
 
 def quality(text: Column) -> Column:
     """A weight in [0.1, 1] for drawing a text early: the share of letters among its characters, halved for texts under 200 characters."""
@@ -61,7 +64,8 @@ def mix(docs: DataFrame, weights: DataFrame, total: float | None = None, seed: i
     drawn = sized.join(F.broadcast(plan), "source").withColumn("_key", -F.log(uniform) / F.col("quality"))
     # rises with the key, so that buckets are ranges of keys; with the mean quality they are nearly equal in size
     usual = sized.agg(F.avg("quality").alias("_q")).select("_q").scalar()
-    bucket = F.floor((F.lit(1.0) - F.exp(-F.col("_key") * usual)) * F.lit(4 * width(docs.sparkSession)))
+    buckets = sized.agg(F.greatest(F.lit(4 * width(docs.sparkSession)), F.ceil(F.count(F.lit(1)) / BUCKET)).alias("_b")).select("_b").scalar()
+    bucket = F.floor((F.lit(1.0) - F.exp(-F.col("_key") * usual)) * buckets)
     placed = numbered(drawn, "source", ["_key", "doc_id"], "n_tokens", bucket)
     extra = ((F.col("_before") + F.col("n_tokens") / 2) <= F.col("rest")) & (F.col("epochs") < F.col("max_repeats"))
     used = placed.withColumn("uses", F.col("epochs") + extra.cast("int")).where("uses > 0")

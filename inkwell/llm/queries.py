@@ -52,6 +52,19 @@ def p5_pieces(spark, folder):
     return split.split(table(spark, folder, "documents"), CHUNK_WORDS, CHUNK_OVERLAP)
 
 
+def p5_coverage(spark, folder):
+    """Of every text with words: their number, and whether its pieces hold all of them in order, none more than the limit, each with the overlap asked for."""
+    pieces = split.split(table(spark, folder, "documents"), CHUNK_WORDS, CHUNK_OVERLAP, with_text=False)
+    own = F.col("n_words") - F.col("overlap_words")
+    # the k-th piece begins its own part where the ones before it end: the parts add up to the end of the last
+    ends = F.max(F.col("first_word") + F.col("n_words"))
+    overlap = F.col("overlap_words") == F.least(F.lit(CHUNK_OVERLAP), F.col("first_word") + F.col("overlap_words"))
+    return pieces.groupBy("doc_id").agg(
+        ends.cast("bigint").alias("n_words"), (F.sum(own) == ends).alias("all_words_once"), (F.max("n_words") <= CHUNK_WORDS).alias("within_limit"), F.every(overlap).alias("overlaps"),
+        (F.count(F.lit(1)) == F.max("piece") + 1).alias("numbered"),
+    )
+
+
 def p5_found(spark, folder):
     return split.oversized(table(spark, folder, "documents"), CHUNK_WORDS, CHUNK_OVERLAP)
 
@@ -105,6 +118,7 @@ QUERIES = {
     "p4_terms": p4_terms,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_coverage": p5_coverage,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
@@ -143,6 +157,7 @@ ORACLES = {
 r(doc_id, m) AS (SELECT doc_id, doc_id FROM l UNION SELECT v.b, r.m FROM r JOIN v ON v.a = r.doc_id), g AS (SELECT doc_id, min(m) AS group_id FROM r GROUP BY doc_id)
 SELECT doc_id, group_id, (SELECT count(*) FROM v WHERE v.a = g.doc_id) AS n_links FROM g""",
     "p5_found": f"SELECT DISTINCT doc_id FROM documents WHERE len(regexp_extract_all(text, '{_P5}')) > 400",
+    "p5_coverage": f"SELECT doc_id, len(regexp_extract_all(text, '{_P5}')) AS n_words, true AS all_words_once, true AS within_limit, true AS overlaps, true AS numbered FROM documents WHERE len(regexp_extract_all(text, '{_P5}')) > 0",
     "p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "p4_terms": _P4 + "SELECT term, n_mentions, n_records, mark FROM f",
     "p4_found": _P4 + "SELECT term, mark FROM f WHERE mark IS NOT NULL",
