@@ -32,6 +32,11 @@ def _opened(spark, folder):
     return _SAVED[key][1]
 
 
+def stored_index(spark, folder):
+    """The terms of the stored index, with mentions and chunks: saves it if this session has not."""
+    return index.terms(_opened(spark, folder).postings)
+
+
 def stored_search(spark, folder):
     return _opened(spark, folder).search("Quay Court's", 10).select("chunk_id", "filename", F.md5("text").alias("text_md5"))
 
@@ -82,7 +87,7 @@ def build_index(spark, folder):
     return index.terms(engine.Engine.build(docs, L.SAMPLE_GROUPS, lexicon=texts.LEXICON).postings)
 
 
-_NAMES = ["stored_search", "stored_intersection", "engine_retrieve", "engine_retrieve_phrase", "engine_retrieve_firm", "engine_retrieve_laws", "engine_control", "engine_ask", "engine_contexts", "engine_endnotes", "build_index"]
+_NAMES = ["stored_index", "stored_search", "stored_intersection", "engine_retrieve", "engine_retrieve_phrase", "engine_retrieve_firm", "engine_retrieve_laws", "engine_control", "engine_ask", "engine_contexts", "engine_endnotes", "build_index"]
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _TWO = f"(SELECT chunk_id FROM {_u('dunmerby', 'dunmerbys')} INTERSECT SELECT chunk_id FROM {_u('haskby', 'haskbys')})"
@@ -100,6 +105,7 @@ def _widest(both: str, either: str) -> str:
 _LATER = f", y AS (SELECT chunk_id, list_max({Q.years('text')}) AS y FROM c), mx AS (SELECT coalesce(max(y), 0) AS m FROM y WHERE chunk_id IN (SELECT chunk_id FROM ids)) SELECT chunk_id FROM ids UNION SELECT chunk_id FROM y WHERE chunk_id IN {_EITHER} AND y > (SELECT m FROM mx)"
 _KEPT = f", s AS (SELECT chunk_id, ord, unnest(range(0, len(l))) AS sent, unnest(l) AS sentence FROM (SELECT chunk_id, ord, {Q.sentences('text')} AS l FROM c WHERE chunk_id IN {_u('dunmerby', 'dunmerbys')} AND text IS NOT NULL)), r AS (SELECT *, row_number() OVER (PARTITION BY lower({Q.strip('sentence')}) ORDER BY ord, sent) AS n FROM s WHERE {Q.strip('sentence')} <> ''), kept AS (SELECT chunk_id, ord, string_agg(sentence, ' ' ORDER BY sent) AS text FROM r WHERE n = 1 GROUP BY ALL)"
 ORACLES = {
+    "stored_index": _P + "SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df FROM post GROUP BY term",
     "stored_search": _P + _C + f"SELECT chunk_id, 'archive' AS filename, md5(text) AS text_md5 FROM c WHERE chunk_id IN {_u('quay court')} ORDER BY ord LIMIT 10",
     "stored_intersection": _P + f"SELECT chunk_id FROM {_u(FIRST)} INTERSECT SELECT chunk_id FROM {_u(SECOND)}",
     "engine_retrieve": _P + _C + _widest(_TWO, _EITHER) + _LATER,

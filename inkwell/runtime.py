@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,8 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; where the session names none (tests, local mode) one is made on this machine."""
+    """The folder all executors share; where the session names none (tests, local mode) one is made on this machine, and removed
+    when Python ends."""
     context = spark.sparkContext
     named = context.getConf().get(CHECKPOINT_CONF) or spark.conf.get(CHECKPOINT_CONF, None)
     if not named:
@@ -27,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="inkwell-")
+        made = tempfile.mkdtemp(prefix="inkwell-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        named = "file://" + made
         context.setCheckpointDir(named)
     return named.rstrip("/")
 

@@ -16,4 +16,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from inkwell.runtime import sweep
+
+    sweep(session)
     session.stop()
