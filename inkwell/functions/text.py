@@ -75,6 +75,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{S}+|{S}+$", "")
 
 
+def is_blank(text: Column) -> Column:
+    """No character but white space, or none at all; a null text is blank."""
+    return F.coalesce(~text.rlike("[^" + S[1:]), F.lit(True))
+
+
 def shingles(text: Column, size: int = 5) -> Column:
     """The whole text and every run of `size` words, each once."""
     return F.array_distinct(F.concat(F.array(text), ngrams(words(text), size)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell import lexicons as L
 from inkwell.functions import text as X
+from inkwell.runtime import stored, width
 
 
 def best_tier(chunks: DataFrame, tier: Column) -> DataFrame:
@@ -114,32 +115,55 @@ def deduplicated(chunks: DataFrame, *scope: str) -> DataFrame:
     return kept.groupBy(*scope, "chunk_id", "ord").agg(F.array_join(ordered, " ").alias("text"))
 
 
+def _repeated(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunk_id, ord, sent, k, n) of the sentences that stand in more than one place, k being a hash of 128 bits of what they say and n their words, and
+    (chunk_id, own, words, again): how many sentences and words each chunk has alone, and which of its sentences stand elsewhere too.
+
+    Most sentences stand in one place, and belong to every term of their chunk: only the others have to be compared for each term.
+    """
+    # the sentences of a text that is not blank are trimmed and not empty
+    cut = chunks.where(~X.is_blank(F.col("text"))).select("chunk_id", "ord", F.posexplode(X.sentences(F.col("text"))).alias("sent", "s"))
+    cut = stored(cut.select("chunk_id", "ord", "sent", F.unhex(F.md5(F.lower("s"))).alias("k"), X.word_count(F.col("s")).alias("n")), "sentences")
+    several = cut.groupBy("k").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("k", F.lit(True).alias("_r"))
+    marked = stored(cut.join(several, "k", "left"), "marked")
+    each = marked.groupBy("chunk_id").agg(F.count_if(F.col("_r").isNull()).alias("own"), F.coalesce(F.sum(F.when(F.col("_r").isNull(), F.col("n"))), F.lit(0)).alias("words"), F.collect_list(F.when(F.col("_r"), F.col("sent"))).alias("again"))
+    return marked.where("_r").drop("_r"), each
+
+
 def term_texts(post: DataFrame, chunks: DataFrame, least: int = 25) -> DataFrame:
     """(term, n_chunks, n_sentences, n_words): for every term of at least `least` chunks its text without repeated sentences, measured.
 
     The text itself is in `term_passages`.
     """
-    wanted = post.groupBy("term").agg(F.count_distinct("chunk_id").alias("n_chunks")).where(F.col("n_chunks") >= least)
-    # sentences are cut once per chunk and travel as hashes: a chunk serves all its terms
-    cut = chunks.select("chunk_id", F.explode(X.sentences(F.col("text"))).alias("s"))
-    cut = cut.select("chunk_id", F.lower(X.strip(F.col("s"))).alias("k"), X.word_count(F.col("s")).alias("n")).where("k <> ''").select("chunk_id", F.md5("k").alias("k"), "n")
-    kept = post.select("term", "chunk_id").distinct().join(wanted, "term").join(cut, "chunk_id").groupBy("term", "n_chunks", "k").agg(F.max("n").alias("n"))
-    return kept.groupBy("term", "n_chunks").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n").alias("n_words"))
+    pairs = post.select("term", "chunk_id").distinct()
+    wanted = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n_chunks")).where(F.col("n_chunks") >= least)
+    repeated, each = _repeated(chunks)
+    chosen = pairs.join(wanted.select("term"), "term")
+    alone = chosen.join(each.select("chunk_id", "own", "words"), "chunk_id").groupBy("term").agg(F.sum("own").alias("n_sentences"), F.sum("words").alias("n_words"))
+    once = chosen.join(repeated.select("chunk_id", "k", "n"), "chunk_id").groupBy("term", "k").agg(F.max("n").alias("n")).groupBy("term").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("n").alias("n_words"))
+    both = alone.union(once).groupBy("term").agg(F.sum("n_sentences").alias("n_sentences"), F.sum("n_words").alias("n_words")).where("n_sentences > 0")
+    return wanted.join(both, "term")
 
 
 def term_passages(post: DataFrame, chunks: DataFrame, least: int = 25) -> DataFrame:
     """(term, chunk_id, ord, text): `deduplicated(..., "term")` for every term of at least `least` chunks.
 
-    Places of sentences travel and not sentences: the text is put together where each chunk meets the places it keeps for a term.
+    Of the sentences that stand in several places the places travel, and not the sentences: the text is put together where each chunk meets the places it
+    keeps for a term.
     """
-    wanted = post.groupBy("term").agg(F.count_distinct("chunk_id").alias("n_chunks")).where(F.col("n_chunks") >= least).select("term")
-    cut = chunks.select("chunk_id", "ord", F.posexplode(X.sentences(F.col("text"))).alias("sent", "s"))
-    cut = cut.select("chunk_id", "ord", "sent", F.lower(X.strip(F.col("s"))).alias("k")).where("k <> ''").withColumn("k", F.md5("k"))
-    first = post.select("term", "chunk_id").distinct().join(wanted, "term").join(cut, "chunk_id").groupBy("term", "k").agg(F.min(F.struct("ord", "sent", "chunk_id")).alias("p"))
-    kept = first.groupBy("term", "p.chunk_id", "p.ord").agg(F.array_sort(F.collect_list("p.sent")).alias("kept"))
-    parts = chunks.select("chunk_id", X.sentences(F.col("text")).alias("parts"))
-    text = F.array_join(F.transform("kept", lambda i: F.get("parts", i)), " ")
-    return kept.join(parts, "chunk_id").select("term", "chunk_id", "ord", text.alias("text"))
+    pairs = post.select("term", "chunk_id").distinct()
+    wanted = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("term")
+    repeated, each = _repeated(chunks)
+    chosen = pairs.join(wanted, "term")
+    first = chosen.join(repeated.drop("n"), "chunk_id").groupBy("term", "k").agg(F.min(F.struct("ord", "sent", "chunk_id")).alias("p"))
+    kept = first.groupBy("term", "p.chunk_id").agg(F.collect_list("p.sent").alias("kept"))
+    cut = chunks.where(~X.is_blank(F.col("text"))).select("chunk_id", "ord", X.sentences(F.col("text")).alias("parts"))
+    parts = cut.join(each.select("chunk_id", "again"), "chunk_id")
+    nothing = F.array().cast("array<int>")
+    dropped = F.array_except("again", F.coalesce("kept", nothing))
+    stays = F.when(F.size("dropped") == 0, F.col("parts")).otherwise(F.filter("parts", lambda x, i: ~F.array_contains("dropped", i)))
+    made = chosen.join(kept, ["term", "chunk_id"], "left").join(parts, "chunk_id").withColumn("dropped", dropped).select("term", "chunk_id", "ord", stays.alias("parts"))
+    return made.where(F.size("parts") > 0).select("term", "chunk_id", "ord", F.array_join("parts", " ").alias("text"))
 
 
 def joined_texts(passages: DataFrame) -> DataFrame:
@@ -218,8 +242,6 @@ def placed(rows: DataFrame, *order: str, one_sort: int = 4096) -> DataFrame:
     range grows with the table, and no row reaches the driver. Rows are read several times, and so are stored first. A row finds its range in two steps, among coarse cuts and then among the finer ones
     behind one of them. Rows of the same order may come in any order. Up to `one_sort` rows are simply sorted.
     """
-    from inkwell.runtime import stored, width
-
     rows = stored(rows, "placed")
     n = rows.agg(F.count(F.lit(1)).alias("n")).first().n
     if n <= one_sort:

@@ -199,7 +199,11 @@ def repaired_answers(spark, folder):
 
 
 def prepared_text(spark, folder):
-    return retrieve.prepared(postprocess.joined_texts(_passages(spark, folder)), question.text_candidates("Tell me about Vessel Row"))
+    """The text prepared for the subject of a question, made of the postings and chunks of what it may be filed under."""
+    candidates = question.text_candidates("Tell me about Vessel Row")
+    post = retrieve.of_terms(_post(spark, folder), candidates)
+    chunks = retrieve.lookup(_chunks(spark, folder), post.select("chunk_id")).select("chunk_id", "ord", "text")
+    return retrieve.prepared(postprocess.joined_texts(postprocess.term_passages(post, chunks)), candidates)
 
 
 def vector_topk(spark, folder):
