@@ -26,7 +26,7 @@ MEMORY = 400_000
 LONG = 256
 #: Rows that the steps of one recursive query may leave in memory.
 ROWS = 1_000_000
-#: Tokens that one decoding query puts together (a longer text alone).
+#: Tokens that one decoding query puts together; a longer text is put together from several.
 TOKENS = 500_000
 
 # Fixed value: Unicode white space, which the class \s of the published word pattern stands for.
@@ -207,12 +207,19 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", folde
     return cut.mapInArrow(_encoder(folder, vocabulary, True), f"_key {kind}, n_tokens bigint").withColumnRenamed("_key", key)
 
 
-#: The bytes of the tokens of each text in their order; bytes that are no UTF-8 give no text.
+#: The bytes of the tokens of each text in their order.
 DECODE = """
-SELECT r, try(decode(unhex(h))) AS t FROM (SELECT r, string_agg(h, '' ORDER BY p) AS h FROM _ids JOIN vocabulary USING (id) GROUP BY r) ORDER BY r
+SELECT r, unhex(string_agg(h, '' ORDER BY p)) AS t FROM _ids JOIN vocabulary USING (id) GROUP BY r ORDER BY r
 """
 
 
+def _text(raw: bytes) -> str | None:
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+
+
 def _decoder(folder: str, vocabulary: str):
     def run(batches):
         import numpy as np
@@ -226,19 +233,15 @@ def _decoder(folder: str, vocabulary: str):
                 con.execute("CREATE TABLE vocabulary AS SELECT * FROM _v")
             lists = batch.column(1)
             size = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            texts = np.full(len(size), "", object)
-            row = 0
-            while row < len(size):
-                # as many rows as make so many tokens
-                upto = row + max(1, int(np.searchsorted(np.cumsum(size[row:]), TOKENS, "right")))
-                part, n = lists.slice(row, upto - row), size[row:upto]
-                table = pa.table({"r": np.repeat(np.arange(len(n)), n), "p": np.arange(n.sum()), "id": part.flatten()})
-                con.register("_ids", table)
+            found: list[list[bytes]] = [[] for _ in size]
+            rows, ids = np.repeat(np.arange(len(size)), size), lists.flatten()
+            for at in range(0, len(rows), TOKENS):
+                part = rows[at : at + TOKENS]
+                con.register("_ids", pa.table({"r": part, "p": np.arange(len(part)), "id": ids.slice(at, TOKENS)}))
                 for r, t in con.sql(DECODE).fetchall():
-                    texts[row + r] = t
+                    found[r].append(t)
                 con.unregister("_ids")
-                row = upto
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts.tolist(), pa.string())], names=["_key", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_text(b"".join(x)) for x in found], pa.string())], names=["_key", "text"])
 
     return run
 

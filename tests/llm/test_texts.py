@@ -136,3 +136,16 @@ def test_decoding_is_the_inverse(spark):
     odd = spark.createDataFrame([(1, None), (2, [10**6]), (3, [bpe.ranks_of(bpe.DEFAULT_FOLDER, bpe.VOCABULARY)[b"\xff"]])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.text for r in bpe.decode(odd).collect()} == {1: "", 2: "", 3: None}
     assert bpe.decode(odd.limit(0)).count() == 0
+
+
+def test_a_long_text_is_decoded_from_several_queries():
+    import pyarrow as pa
+
+    encode = reference_ids()
+    texts = ["naïve 東京 🙂 " * 9, "", "short"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([encode(t) for t in texts], pa.list_(pa.int32()))], names=["k", "ids"])
+    kept, bpe.TOKENS = bpe.TOKENS, 5
+    try:
+        assert [b.column(1).to_pylist() for b in bpe._decoder(bpe.DEFAULT_FOLDER, bpe.VOCABULARY)([batch])] == [texts]
+    finally:
+        bpe.TOKENS = kept
