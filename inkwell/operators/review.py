@@ -15,6 +15,7 @@ from inkwell import lexicons as L
 from inkwell.functions import text as X
 from inkwell.runtime import steady
 
+# Fixed values, here and in the checks below: the names of the criteria and the wordings of details and issues, by which results are compared.
 RESULT = ("answer_id", "criterion", "passed", "score", "details", "issues")
 
 
