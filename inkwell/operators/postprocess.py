@@ -168,8 +168,23 @@ def term_passages(post: DataFrame, chunks: DataFrame, least: int = 25) -> DataFr
 
 def joined_texts(passages: DataFrame) -> DataFrame:
     """(term, text): the passages of each term in their order, as one text."""
+    # concat_ws measures before it allocates; array_join doubles its buffer as it goes
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "chunk_id", "text"))), lambda p: p.text)
-    return passages.groupBy("term").agg(F.array_join(ordered, " ").alias("text"))
+    return passages.groupBy("term").agg(F.concat_ws(" ", ordered).alias("text"))
+
+
+def term_text(chunks: DataFrame) -> DataFrame:
+    """(term, text): `deduplicated(..., "term")` of the chunks (term, chunk_id, ord, text) of one term, joined in their order. No row where no chunk has a text.
+
+    Of the sentences only hashes and places travel. The row is as long as the text, and whoever writes it copies it several times: it goes to a task of its
+    own, so that the parts from which it was made and the copies of its writer are never held together.
+    """
+    cut = chunks.where(~X.is_blank(F.col("text"))).select("term", "chunk_id", "ord", X.sentences(F.col("text")).alias("parts"))
+    keys = F.transform("parts", lambda s: F.unhex(F.md5(F.lower(s))))
+    first = cut.select("chunk_id", "ord", F.posexplode(keys).alias("sent", "k")).groupBy("k").agg(F.min(F.struct("ord", "sent", "chunk_id")).alias("p"))
+    kept = first.groupBy("p.chunk_id").agg(F.array_sort(F.collect_list("p.sent")).alias("kept"))
+    text = F.concat_ws(" ", F.transform("kept", lambda i: F.get("parts", i)))
+    return joined_texts(cut.join(kept, "chunk_id").select("term", "chunk_id", "ord", text.alias("text"))).repartition(1)
 
 
 def by_year(chunks: DataFrame) -> DataFrame:

@@ -165,14 +165,19 @@ def proximity(post: DataFrame, chunks: DataFrame, first: str, second: str) -> Da
     )
 
 
-def prepared(texts: DataFrame, candidates: list[str]) -> DataFrame:
-    """(term, text) of the first candidate that has a prepared text: as typed, in lower case, capitalised, in title case, each before the next candidate."""
+def filing_rank(candidates: list[str]) -> Column:
+    """The place of a term among what a text may be filed under: each candidate as typed, in lower case, capitalised, in title case; null for other terms."""
     order: dict[str, int] = {}
     for c in candidates:
         for v in (c, c.lower(), c.capitalize(), c.title()):
             order.setdefault(v, len(order))
     if not order:
-        return texts.select("term", "text").limit(0)
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("term"))
-    best = texts.where(F.col("term").isin(list(order))).agg(F.min_by(F.struct("term", "text"), rank).alias("b")).where("b IS NOT NULL")
+        return F.lit(None).cast("int")
+    return F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("term"))
+
+
+def prepared(texts: DataFrame, candidates: list[str]) -> DataFrame:
+    """(term, text) of the first candidate that has a prepared text, by `filing_rank`."""
+    rank = filing_rank(candidates)
+    best = texts.where(rank.isNotNull()).agg(F.min_by(F.struct("term", "text"), rank).alias("b")).where("b IS NOT NULL")
     return best.select("b.term", "b.text")

@@ -9,7 +9,7 @@ from inkwell.operators import chunking
 from inkwell.plans import engine, question
 from inkwell.queries import sql as Q
 from inkwell.queries.indexes import _C, _P, FIRST, THIRD, _chunks, _post, _u
-from inkwell.runtime import fresh, spread, table
+from inkwell.runtime import fresh, spread, stored, table
 from inkwell.sources import readers
 from inkwell.streaming import rates
 
@@ -199,11 +199,18 @@ def repaired_answers(spark, folder):
 
 
 def prepared_text(spark, folder):
-    """The text prepared for the subject of a question, made of the postings and chunks of what it may be filed under."""
+    """The text prepared for the subject of a question, made of the postings and chunks of what it may be filed under.
+
+    What it is filed under is found from ids: no text is made but the one that is returned.
+    """
     candidates = question.text_candidates("Tell me about Vessel Row")
-    post = retrieve.of_terms(_post(spark, folder), candidates)
-    chunks = retrieve.lookup(_chunks(spark, folder), post.select("chunk_id")).select("chunk_id", "ord", "text")
-    return retrieve.prepared(postprocess.joined_texts(postprocess.term_passages(post, chunks)), candidates)
+    post = stored(retrieve.of_terms(_post(spark, folder), candidates).select("term", "chunk_id"), "filed")
+    whole = _chunks(spark, folder).where(~X.is_blank(F.col("text")))
+    chunks = stored(retrieve.lookup(whole, post).select("chunk_id", "ord", "text"), "found")
+    enough = post.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 25").select("term")
+    filed = post.join(enough, "term").join(chunks.select("chunk_id"), "chunk_id")
+    chosen = postprocess.best_tier(filed, retrieve.filing_rank(candidates))
+    return postprocess.term_text(chunks.join(chosen, "chunk_id"))
 
 
 def vector_topk(spark, folder):

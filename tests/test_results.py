@@ -59,6 +59,21 @@ def test_prepared_text_is_the_text(spark, tmp_path):
     assert [tuple(r) for r in results.prepared_text(spark, str(tmp_path)).collect()] == [("vessel row", "Same. " + " ".join(f"Own {i}." for i in range(25)))]
 
 
+def test_prepared_text_is_made_for_the_first_term_that_has_one_and_written_by_another_task(spark, tmp_path):
+    from inkwell.queries import results
+
+    texts = [(f"chunk_{i}", i, " \n" if i < 25 else f"Same. Own {i}. SAME.") for i in range(75)]
+    spark.createDataFrame([*texts, ("chunk_80", 80, None)], "chunk_id string, doc_id long, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    # the first has blank chunks only, the second too few, the third is the one, the fourth comes later
+    filed = {"vessel row": range(25), "Vessel row": range(25, 49), "Vessel Row": [*range(25, 50), 80, 99], "vessel": range(50, 75)}
+    spark.createDataFrame([({t: [f"chunk_{i}" for i in ids] for t, ids in filed.items()},)], "term_to_chunks map<string,array<string>>").write.parquet(str(tmp_path / "indices.parquet"))
+    made = results.prepared_text(spark, str(tmp_path))
+    assert [tuple(r) for r in made.collect()] == [("Vessel Row", "Same. " + " ".join(f"Own {i}." for i in range(25, 50)))]
+    # no aggregate takes a whole text, and the task that writes the row does not hold what it was made of
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert "min_by" not in plan and plan.lstrip().startswith("Exchange SinglePartition")
+
+
 def test_order_and_samples(spark):
     c = chunk_set(spark, "in 1907", "none", "in 1850", *["in 1901"] * 7)
     assert [r.chunk_id for r in postprocess.by_year(c).collect()][:2] == ["c2", "c3"]
